@@ -1,17 +1,62 @@
-"""Corpus pipeline: language, toxicity, near copies, benchmark passages, packing."""
+"""Corpus pipeline: language, toxicity, near copies, benchmark passages, packing.
+
+Each stage takes what the one before kept, written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm import decontam, langid, ngram_join, packing, toxicity
+from tessera.llm.queries import WORD_BPE, tokenizer_path
 from tessera.llm.shared import materialise, table
 
-STAGES: list = []
+#: A text is kept if its language is known and its posterior probability is at least this.
+LANGUAGE_SCORE = 0.5
+
+
+def _keep(docs: DataFrame, judged: DataFrame, rejected: str) -> DataFrame:
+    """The rows of ``docs`` whose id has no judged row that meets ``rejected``."""
+    bad = judged.filter(rejected).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without letters and texts whose language is not clear."""
+    return _keep(docs, langid.identify(docs), f"lang_pred = '{langid.UNKNOWN}' or score < {LANGUAGE_SCORE}")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _keep(docs, toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")), "predicted = 1")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near copies."""
+    return ngram_join.one_of_each(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path(WORD_BPE))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("toxicity", drop_toxic),
+    ("ngram_join", near_copies),
+    ("decontamination", benchmark_passages),
+    ("packing", pack_sequences),
+]
+#: Trained models and tokenizers have no SQL form; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on ``documents``, each written as Parquet and read again."""
+    """The stages on ``documents``; the result is the last stage's, one row per packed piece."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
