@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.pieces import piece_table
+from tessera.llm.pieces import id_bytes, piece_table
 from tessera.llm.shared import materialise
 from tessera.llm.wordhash import chunks, text_buffer
 
@@ -117,7 +117,7 @@ def _cut(path: str, capacity: int, end_id: int):
                 known = table.add_ids(set().union(*(w for _, w in split if w)))
                 rows = []
                 for doc_id, (text, words) in zip(ids[a:b], split, strict=True):
-                    raw = np.array(table.whole(text), "<u4").tobytes() if words is None else b"".join([known[w] for w in words])
+                    raw = id_bytes(table.whole(text)) if words is None else b"".join(map(known.__getitem__, words))
                     raw += end
                     for piece, at in enumerate(range(0, len(raw), step)):
                         cut = raw[at : at + step]

@@ -2,28 +2,38 @@
 
 Both vocabularies cut a text into pre-tokens and then each pre-token into
 pieces, whatever stands around it.  So pieces are found once per distinct
-pre-token and kept; the table of a worker holds at most ``LIMIT`` entries and
-starts anew beyond that.  Texts with special strings, or with characters on
+pre-token and kept; the table of a worker holds at most ``LIMIT`` entries of
+``LIMIT_CHARS`` characters in all and starts anew beyond that.  Texts with special strings, or with characters on
 whose classes regular-expression engines might differ, go through the library.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import sys
+from array import array
 
-import numpy as np
 import regex
 
-LIMIT = 400_000
+LIMIT = 1_500_000
+LIMIT_CHARS = 16 * LIMIT
 
-# The pre-token patterns that the two tokenizer files state.
+# The pre-token pattern that the byte-level file states.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 # Below U+0250 composition changes nothing and letters and digits are settled;
 # U+0130 lower-cases to two characters, and separators other than U+0020 and
 # U+0009..U+000D are left to the library.
-_PLAIN = regex.compile(r"[\x00-\x1b\x20-\x84\x86-\x9f\xa1-įı-ɏ]*")
+_PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\x9f\xa1-įı-ɏ]*")
+
+
+def id_bytes(ids: list[int]) -> bytes:
+    """Little-endian uint32."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 class PieceTable:
@@ -35,25 +45,36 @@ class PieceTable:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.lower = self.tokenizer.normalizer is not None
-        self.find = regex.compile(WORD_PATTERN if self.lower else BYTE_PATTERN).findall
+        self.find = regex.compile(BYTE_PATTERN).findall
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, specials))).search
+        self.chars = 0
         self.counts: dict[str, int] = {}
         self.ids: dict[str, bytes] = {}
 
     def pretokens(self, text: str) -> list[str] | None:
-        """None where the library has to see the whole text."""
+        """Parts whose pieces don't depend on each other; None where the library has to see the whole text.
+
+        The lower-casing vocabulary drops white space and no piece spans it, so
+        runs between white space do as parts.
+        """
         if not _PLAIN.fullmatch(text) or ("<|" in text and self.special(text)):
             return None
-        return self.find(text.lower() if self.lower else text)
+        return text.lower().split() if self.lower else self.find(text)
 
     def _encode(self, words: list[str]):
         return self.tokenizer.encode_batch(words, add_special_tokens=False)
 
+    def _full(self, held: int, new: list[str]) -> bool:
+        more = sum(map(len, new))
+        full = held + len(new) > LIMIT or self.chars + more > LIMIT_CHARS
+        self.chars = more if full else self.chars + more
+        return full and held > 0
+
     def add_counts(self, words: set[str]) -> dict[str, int]:
         """Number of pieces of at least ``words``, each counted once."""
         new = [w for w in words if w not in self.counts]
-        if len(self.counts) + len(new) > LIMIT:
+        if self._full(len(self.counts), new):
             self.counts, new = {}, list(words)
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
@@ -63,14 +84,15 @@ class PieceTable:
     def add_ids(self, words: set[str]) -> dict[str, bytes]:
         """Little-endian uint32 ids of at least ``words``."""
         new = [w for w in words if w not in self.ids]
-        if len(self.ids) + len(new) > LIMIT:
+        if self._full(len(self.ids), new):
             self.ids, new = {}, list(words)
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
-            self.ids.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self._encode(part)), strict=True))
+            self.ids.update(zip(part, (id_bytes(e.ids) for e in self._encode(part)), strict=True))
         return self.ids
 
     def whole(self, text: str) -> list[int]:
+        """Ids of a text as the library gives them."""
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
