@@ -7,9 +7,10 @@ Passes over the texts, all linear in their words:
 2. PartEnum signatures, shuffled as packed arrays by signature range; a range
    keeps the signatures that two different sets share (``buckets``);
 3. inside a bucket, pairs whose parity sketches differ in more bits than linked
-   sets can differ in elements are dropped, which loses no link.  A first
-   round sends on only a forest of the remaining pairs over the components
-   known so far, a second one whatever still joins two components;
+   sets can differ in elements are dropped, which loses no link.  Buckets with
+   few remaining pairs send on all of them; of a bucket of many, a first round
+   sends on a forest, and once its links are known a second round whatever still
+   joins two components;
 4. the pairs sent on are checked on their whole shingle sets.
 
 Copies with equal sets are one node throughout, so a group of thousands of
@@ -59,13 +60,13 @@ def _set_hashes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def parity(values: np.ndarray) -> np.ndarray:
-    """Bit j: parity of the number of elements that hash to j; 4 to 8 bits an element, a power of two.
+    """Bit j: parity of the number of elements that hash to j; 2 to 4 bits an element, a power of two.
 
     Every element in one of two sets only flips one bit, so sketches cut to
     equal length differ in no more bits than the sets differ in elements.
     """
     bits = 64
-    while bits < 4 * len(values):
+    while bits < 2 * len(values):
         bits *= 2
     at = ((values >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(bool)).view(np.int64)
@@ -194,8 +195,11 @@ def _shared(part: pa.Table) -> pa.Table:
     return pa.table({"bucket": np.repeat(code[pick], size[pick]).view(np.int64), "node": node[rows].astype(np.int64)})
 
 
-def _near(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of one bucket over two components that the sketches can't rule out; forest: enough of them to join those."""
+def _near(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, most: int | None, forest: bool = False) -> list[tuple[int, int]] | None:
+    """Pairs of one bucket over two components that the sketches can't rule out; None for more than ``most``.
+
+    forest: only enough of them to join those components, if all were links.
+    """
     out, comp = [], comp.copy()
     for i in range(len(doc) - 1):
         j = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
@@ -211,10 +215,14 @@ def _near(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, sketch: np.ndarra
             j = j[at]
             comp[np.isin(comp, met)] = comp[i]
         out += [(int(doc[i]), int(doc[x])) for x in j]
+        if most is not None and len(out) > most:
+            return None
     return out
 
 
-def _bucket_pairs(forest: bool):
+def _bucket_pairs(last: bool):
+    """Rows (a, b) to check; in the first round also (bucket) of each bucket that the last round has to see."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in whole_groups(batches, "bucket"):
             bucket = group.column("bucket").to_numpy()
@@ -222,6 +230,7 @@ def _bucket_pairs(forest: bool):
             flat, lengths = list_values(group.column("parity"))
             ends = np.cumsum(lengths)
             pairs: list[tuple[int, int]] = []
+            again: list[int] = []
             starts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 if (comp[a:b] == comp[a]).all():
@@ -229,10 +238,17 @@ def _bucket_pairs(forest: bool):
                 words = int(lengths[a:b].min())
                 sketch = np.stack([fold(flat[e - n : e], words) for e, n in zip(ends[a:b], lengths[a:b], strict=True)])
                 sketch = sketch.view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
-                pairs += _near(doc[a:b], comp[a:b], size[a:b], sketch, forest)
+                found = _near(doc[a:b], comp[a:b], size[a:b], sketch, None if last else 4 * (b - a))
+                if found is None:
+                    found = _near(doc[a:b], comp[a:b], size[a:b], sketch, None, forest=True)
+                    again.append(int(bucket[a]))
+                pairs += found
             if pairs:
                 ab = np.unique(np.sort(np.array(pairs, np.int64), axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0].copy()), pa.array(ab[:, 1].copy())], ["a", "b"])
+                pads = pa.nulls(len(again), pa.int64())
+                columns = [pa.array(np.ascontiguousarray(ab[:, i])) for i in (0, 1)] + [pa.nulls(len(ab), pa.int64())]
+                more = [pads, pads, pa.array(again, pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(columns, more, strict=True)], ["a", "b", "bucket"])
 
     return run
 
@@ -294,29 +310,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     schema = "doc_id long, n_shingles long, node long, parity array<long>, block int, counts array<int>"
     profile = materialise(texts.mapInArrow(_profile, schema), "profile")
     own = profile.filter("block is null").select("doc_id", "n_shingles", "node", "parity")
-    nodes = own.filter("node is not null").groupBy("node")
-    reps = materialise(nodes.agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity")), "reps")
+    reps = materialise(own.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc")), "reps")
 
     ranges = parts(spark)
     sketch = spark.sparkContext.broadcast(_count_sketch(profile))
     packed = texts.mapInArrow(_signature_rows(sketch, ranges), "part int, sigs array<long>, nodes array<long>, runs array<int>")
     buckets = packed.groupBy("part").applyInArrow(_shared, "bucket long, node long").dropDuplicates(["bucket", "node"])
-    members = materialise(buckets.join(reps.select("node", "doc", "n_shingles", "parity"), "node"), "members")
-
-    links, comps = None, None
-    for forest in (True, False):
-        known = members.withColumn("comp", F.col("doc"))
-        if comps is not None:
-            known = members.join(comps.withColumnsRenamed({"node": "doc", "component": "comp"}), "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        dealt = known.select("bucket", "doc", "comp", "n_shingles", "parity").repartition(ranges, "bucket").sortWithinPartitions("bucket", "doc")
-        pairs = materialise(dealt.mapInArrow(_bucket_pairs(forest), "a long, b long").distinct(), "pairs")
+    buckets = materialise(buckets, "buckets")
+    needed = buckets.select("node").distinct().join(reps, "node").select("node", F.col("doc").alias("doc_id"))
+    sketches = own.join(needed, ["node", "doc_id"]).dropDuplicates(["node"]).withColumnRenamed("doc_id", "doc")
+    members = materialise(buckets.join(sketches, "node").select("bucket", "doc", "n_shingles", "parity"), "members")
+
+    links, comps, dealt = None, None, members.withColumn("comp", F.col("doc"))
+    for last in (False, True):
+        dealt = dealt.select("bucket", "doc", "comp", "n_shingles", "parity").repartition(ranges, "bucket").sortWithinPartitions("bucket", "doc")
+        found = materialise(dealt.mapInArrow(_bucket_pairs(last), "a long, b long, bucket long"), "found")
+        pairs = materialise(found.filter("bucket is null").select("a", "b").distinct(), "pairs")
         if pairs.isEmpty():
             break
-        more = _verify(texts, reps.select("node", "doc"), pairs)
+        more = _verify(texts, reps, pairs)
         links = materialise(more if links is None else links.unionByName(more), "links")
         comps = materialise(connected_components(links), "components")
+        again = found.filter("bucket is not null").select("bucket").distinct()
+        if last or again.isEmpty():
+            break
+        dealt = members.join(again, "bucket", "left_semi").join(comps.withColumnsRenamed({"node": "doc", "component": "comp"}), "doc", "left")
+        dealt = dealt.withColumn("comp", F.coalesce("comp", "doc"))
 
-    out = own.select("doc_id", "n_shingles", "node").join(reps.select("node", "doc"), "node", "left")
+    out = own.select("doc_id", "n_shingles", "node").join(reps, "node", "left")
     if comps is not None:
         out = out.join(comps.withColumnRenamed("node", "doc"), "doc", "left")
     else:
