@@ -2,8 +2,9 @@
 
 A turn is <|turn|> role <|text|> text <|end|>.  The three marks are reserved
 ids that no text encodes to; role and text are encoded apart from each other
-and from the marks.  Control strings inside texts get a backslash (and
-backslashes right before them are doubled), which :func:`unescape` undoes.
+and from the marks.  Control strings inside texts get a backslash after their
+first character (as do those that have backslashes there already), which
+:func:`unescape` undoes.
 """
 
 from __future__ import annotations
@@ -25,16 +26,19 @@ MARKS = {"<|turn|>": 50257, "<|text|>": 50258, "<|end|>": 50259}
 CONTROLS = (*MARKS, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 TURN, TEXT, END = MARKS.values()
 
-_ESCAPE = re.compile(r"(\\*)(" + "|".join(map(re.escape, CONTROLS)) + ")")
-_UNESCAPE = re.compile(r"(\\+)(" + "|".join(map(re.escape, CONTROLS)) + ")")
+# The first character of a control string and the backslashes after it, where the rest of the string follows.
+_AT = "|".join(f"{re.escape(f)}{{}}(?={'|'.join(re.escape(c[1:]) for c in CONTROLS if c[0] == f)})" for f in sorted({c[0] for c in CONTROLS}))
+_ESCAPE = re.compile(_AT.replace("{}", r"\\*"))
+_UNESCAPE = re.compile(_AT.replace("{}", r"\\+"))
 
 
 def escape(text: str) -> str:
-    return _ESCAPE.sub(lambda m: m[1] + m[1] + "\\" + m[2], text)
+    """One more backslash after the first character of every control string, so that the text holds none."""
+    return _ESCAPE.sub(lambda m: m[0] + "\\", text)
 
 
 def unescape(text: str) -> str:
-    return _UNESCAPE.sub(lambda m: m[1][: len(m[1]) // 2] + m[2], text)
+    return _UNESCAPE.sub(lambda m: m[0][:-1], text)
 
 
 _encodings: dict[str, object] = {}
