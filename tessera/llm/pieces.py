@@ -14,6 +14,7 @@ import re
 import sys
 from array import array
 
+import numpy as np
 import regex
 
 LIMIT = 1_500_000
@@ -48,6 +49,8 @@ class PieceTable:
         self.find = regex.compile(BYTE_PATTERN).findall
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, specials))).search
+        self.mark = specials[0]
+        self.mark_id = self.tokenizer.token_to_id(self.mark)
         self.chars = 0
         self.counts: dict[str, int] = {}
         self.ids: dict[str, bytes] = {}
@@ -82,13 +85,20 @@ class PieceTable:
         return self.counts
 
     def add_ids(self, words: set[str]) -> dict[str, bytes]:
-        """Little-endian uint32 ids of at least ``words``."""
+        """Little-endian uint32 ids of at least ``words``.
+
+        Words are encoded many at a time with a special string between them, at
+        whose id the ids are cut; no word holds one.
+        """
         new = [w for w in words if w not in self.ids]
         if self._full(len(self.ids), new):
             self.ids, new = {}, list(words)
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            self.ids.update(zip(part, (id_bytes(e.ids) for e in self._encode(part)), strict=True))
+        for a in range(0, len(new), 500):
+            part = new[a : a + 500]
+            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, "<u4")
+            cuts = (4 * np.flatnonzero(ids == self.mark_id)).tolist()
+            raw = ids.tobytes()
+            self.ids.update((w, raw[i:j]) for w, i, j in zip(part, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True))
         return self.ids
 
     def whole(self, text: str) -> list[int]:
