@@ -18,7 +18,7 @@ from tessera.llm.shared import materialise
 
 SHINGLE = 5
 SIMILARITY_PERCENT = 75
-RADIUS = 15
+RADIUS = 20
 BROADCAST_ANCHORS = 100_000
 
 
@@ -62,10 +62,11 @@ def find_leaks(
     """One row per document and item found in it: doc_id, item_id, first_shingle, n_windows, similarity.
 
     Texts are lower-cased and cut at U+0020 and U+0009..U+000D.  A match is a
-    window of a document as long as the item whose SimHash lies within
-    ``radius`` bits of the item's and whose weighted Jaccard similarity of 5-word
-    shingles is at least ``percent`` / 100; the row has the best one, the first of
-    equals, and n_windows counts all.  Null and empty texts and those of fewer
+    window of a document as long as the item (cut where the document begins or
+    ends), laid so that an anchor shingle has the place it has in the item, whose
+    SimHash lies within ``radius`` bits of the item's and whose weighted Jaccard
+    similarity of 5-word shingles is at least ``percent`` / 100; the row has the
+    best one, the first of equals, and n_windows counts all.  Null and empty texts and those of fewer
     than five words match nothing, on either side.  Rows that repeat an id count as one document, as do rows
     with a null id; other columns are ignored; an empty table gives no rows.
     """
@@ -84,8 +85,9 @@ def find_leaks(
         # outer: the filter that Spark derives for an inner explode would compute the shingles twice
         hits = rows.select("doc_id", "xs", F.posexplode_outer("xs").alias("pos", "h")).join(F.broadcast(anchors), "h")
     else:
-        met = rows.select("doc_id", F.xxhash64("xs").alias("key"), F.posexplode("xs").alias("pos", "h")).join(anchors, "h").drop("h")
-        hits = met.join(rows.withColumn("key", F.xxhash64("xs")), "key").filter(met.doc_id.eqNullSafe(rows.doc_id)).select(met.doc_id, "xs", "pos", "places")
+        keyed = rows.withColumn("key", F.xxhash64("xs"))
+        met = keyed.select(F.col("doc_id").alias("id"), F.col("key").alias("text_key"), F.posexplode("xs").alias("pos", "h")).join(anchors, "h").drop("h")
+        hits = met.join(keyed, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("key"))).select("doc_id", "xs", "pos", "places")
     placed = hits.select("doc_id", "xs", "pos", F.inline("places")).withColumn("first", F.col("pos") - F.col("at"))
     inside = F.slice("xs", F.greatest("first", F.lit(0)) + 1, F.greatest(F.col("m") + F.least("first", F.lit(0)), F.lit(1)))
     cut = placed.select("doc_id", F.greatest("first", F.lit(0)).alias("first"), "m", inside.alias("xs"))

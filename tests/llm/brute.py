@@ -90,8 +90,8 @@ def leaks(docs, items, percent: int, radius: int) -> tuple[dict, set]:
         for item, ys, weights, fp in wanted:
             if len(set(xs) & set(ys)) * 100 < percent * len(set(ys)) * 0.5:
                 continue
-            for first in range(max(1, len(xs) - len(ys) + 1)):
-                w = xs[first : first + len(ys)]
+            for first in range(1 - len(ys), len(xs)):
+                w = xs[max(first, 0) : first + len(ys)]
                 c = sum((Counter(w) & weights).values())
                 if c * 100 >= (len(w) + len(ys) - c) * percent:
                     every.add((doc_id, item))
