@@ -107,8 +107,7 @@ def within_band(left: DataFrame, right: DataFrame, year: str, other: str, band:
 
 def unique_match(df: DataFrame, by: str, value: str) -> DataFrame:
     """For each ``by`` its value if there is only one, else null."""
-    found = df.groupBy(by).agg(F.collect_set(value).alias("_v"))
-    return found.select(by, F.when(F.size("_v") == 1, F.element_at("_v", 1)).alias(value))
+    return df.groupBy(by).agg(F.when(F.min(value) == F.max(value), F.min(value)).alias(value))
 
 
 def latest_earlier(df: DataFrame, keys: list[str], time: str, condition: Column, value: Column, name: str) -> DataFrame:

@@ -9,6 +9,9 @@ from tessera.operators import reporting
 from tessera.session import table
 
 AS_OF = "2024-01-31 00:00:00"
+# Sums of whole hundredths don't depend on the order of rows.
+_CENTS = "sum(cast(round(value * 100) as long))"
+_MEAN = f"{_CENTS} / count(*) / 100"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +23,7 @@ def time_series_gapfill(spark: SparkSession, sf_dir: str) -> DataFrame:
         "searches": F.count("*"),
         "users": F.count_distinct("user_id"),
         "errors": F.count_if(F.col("event_type") == "error"),
-        "mean_value": F.round(F.avg("value"), 6),
+        "mean_value": F.expr(_MEAN),
     }
     found = reporting.daily_series(_events(spark, sf_dir), "ts", "2023-12-25", "2024-02-05", measures)
     return found.withColumn("day", F.col("day").cast("string"))
@@ -28,7 +31,7 @@ def time_series_gapfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     recent = _events(spark, sf_dir).filter(f"ts >= timestamp_ntz '{AS_OF}' - interval 14 days")
-    return recent.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).orderBy(F.desc("n"), "event_type")
+    return recent.groupBy("event_type").agg(F.count("*").alias("n"), F.expr(f"{_CENTS} / 100").alias("total")).orderBy(F.desc("n"), "event_type")
 
 
 def platform_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +41,7 @@ def platform_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_distinct("user_id").alias("active_users"),
         F.count_if(F.col("event_type") == "error").alias("errors"),
         F.coalesce(F.sum(F.when(F.col("event_type") == "refund", F.col("value"))), F.lit(0.0)).alias("refunds"),
-        F.round(F.avg("value"), 6).alias("mean_value"),
+        F.expr(_MEAN).alias("mean_value"),
     )
     return one.crossJoin(users.agg(F.count("*").alias("users")))  # two rows of aggregates
 
@@ -171,13 +174,13 @@ def _checksum_sql(name: str, columns: str) -> str:
 ORACLES = {
     "time_series_gapfill": """
         with d as (select unnest(generate_series(date '2023-12-25', date '2024-02-05', interval 1 day))::date as day),
-        e as (select ts::date as day, count(*) as searches, count(distinct user_id) as users, count(*) filter (event_type = 'error') as errors, round(avg(value), 6) as mean_value from events group by 1)
+        e as (select ts::date as day, count(*) as searches, count(distinct user_id) as users, count(*) filter (event_type = 'error') as errors, sum(round(value * 100)::bigint)::double / count(*) / 100 as mean_value from events group by 1)
         select d.day::varchar as day, coalesce(searches, 0) as searches, coalesce(users, 0) as users, coalesce(errors, 0) as errors, coalesce(mean_value, 0) as mean_value from d left join e on d.day = e.day
     """,
-    "event_mix": f"select event_type, count(*) as n, round(sum(value), 4) as total from events where ts >= timestamp '{AS_OF}' - interval 14 days group by 1",
+    "event_mix": f"select event_type, count(*) as n, sum(round(value * 100)::bigint)::double / 100 as total from events where ts >= timestamp '{AS_OF}' - interval 14 days group by 1",
     "platform_stats": """
         select count(*) as events, count(distinct user_id) as active_users, count(*) filter (event_type = 'error') as errors,
-               coalesce(sum(value) filter (event_type = 'refund'), 0) as refunds, round(avg(value), 6) as mean_value, (select count(*) from customer) as users from events
+               coalesce(sum(value) filter (event_type = 'refund'), 0) as refunds, sum(round(value * 100)::bigint)::double / count(*) / 100 as mean_value, (select count(*) from customer) as users from events
     """,
     "latency_percentiles": """
         select event_type, count(value) as n, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.9), 6) as p90, round(quantile_cont(value, 0.95), 6) as p95,

@@ -36,10 +36,10 @@ def engine(sf_dir: str):
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
-def test_query_equals_its_sql(spark, small, name):
+def test_query_equals_its_sql(spark, medium, name):
     assert name in catalog.QUERIES
-    got = catalog.QUERIES[name](spark, small)
-    said = engine(small).sql(catalog.ORACLES[name])
+    got = catalog.QUERIES[name](spark, medium)
+    said = engine(medium).sql(catalog.ORACLES[name])
     assert sorted(got.columns) == sorted(said.columns)
     assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(said.columns, said.fetchall())
 
