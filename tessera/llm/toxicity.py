@@ -179,9 +179,11 @@ def _scorer(words: list[str], stems: list[str]) -> Scorer:
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the smallest shingle hash of each text, which near copies tend to share."""
     for batch in batches:
-        values, bounds = shingles(Words(*text_buffer(batch.column("text"))))
-        key = np.append(values, np.uint64(0))[bounds[:-1]].view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), pa.array(key)], ["text", "toxic", "key"])
+        data, off = text_buffer(batch.column("text"))
+        for a, b in chunks(off):
+            values, bounds = shingles(Words(data[off[a] : off[b]], off[a : b + 1] - off[a]))
+            key = np.append(values, np.uint64(0))[bounds[:-1]].view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("text", "toxic")), pa.array(key)], ["text", "toxic", "key"])
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
