@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrowkit import list_array, list_values
+from tessera.llm.arrowkit import list_array, list_values, tidy
 from tessera.llm.shared import materialise, parts
 from tessera.llm.wordhash import _LOWER, Words, chunks, mix, text_buffer
 
@@ -310,8 +310,8 @@ def train(sequences: DataFrame, rounds: int = ROUNDS) -> Hmm:
     hmm = _seed([bytes(r.symbols) for r in chosen])
     for _ in range(rounds):
         model = spark.sparkContext.broadcast(hmm)
-        rows = sequences.select("symbols").mapInArrow(_count_round(model), "row int, counts array<double>")
-        summed = rows.repartition(2 * STATES + 1, "row").mapInArrow(_add_rows, rows.schema).collect()  # of fixed size
+        rows = sequences.select("symbols").mapInArrow(tidy(_count_round(model)), "row int, counts array<double>")
+        summed = rows.repartition(2 * STATES + 1, "row").mapInArrow(tidy(_add_rows), rows.schema).collect()  # of fixed size
         if not summed:
             break
         counts = np.zeros((2 * STATES + 1, CLASSES + 1))
@@ -351,9 +351,9 @@ def score_texts(docs: DataFrame, hold_out: tuple[int, int] = (7, 2), id_col: str
     mod, rest = hold_out
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % mod == rest, F.lit(True))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held_out"))
-    sequences = materialise(rows.mapInArrow(_sequences, "doc_id long, held_out boolean, key long, symbols binary"), "sequences")
+    sequences = materialise(rows.mapInArrow(tidy(_sequences), "doc_id long, held_out boolean, key long, symbols binary"), "sequences")
     ranges = parts(spark)
-    packed = rows.mapInArrow(_postings(ranges), _POSTING_SCHEMA)
+    packed = rows.mapInArrow(tidy(_postings(ranges)), _POSTING_SCHEMA)
     # The keys of a flush travel with its first range only.
     summed = materialise(packed.groupBy("part").applyInArrow(_add_counts, _SUM_SCHEMA), "sums")
     totals = summed.filter("size(class_tokens) > 0").select("class_tokens", "class_words")
@@ -364,11 +364,11 @@ def score_texts(docs: DataFrame, hold_out: tuple[int, int] = (7, 2), id_col: str
     ends = sequences.filter("not held_out").count()
     n, v = int(tokens.sum()) + ends, int(kinds.sum()) + (ends > 0)
     ordered = summed.select("flush", "sums", "known", "keys").repartition(ranges, "flush").sortWithinPartitions("flush")
-    by_key = ordered.mapInArrow(_add_flushes, "key long, sum_log double, n_known long").groupBy("key").agg(F.max("sum_log").alias("sum_log"), F.max("n_known").alias("n_known"))
+    by_key = ordered.mapInArrow(tidy(_add_flushes), "key long, sum_log double, n_known long").groupBy("key").agg(F.max("sum_log").alias("sum_log"), F.max("n_known").alias("n_known"))
 
     hmm = train(sequences.filter("not held_out").select("key", "symbols"))
     room = np.append(np.log10(tokens + kinds + 1.0), 0.0)
-    scored = sequences.mapInArrow(_score(spark.sparkContext.broadcast((hmm, room))), "doc_id long, held_out boolean, key long, n_tokens long, sequence_score double")
+    scored = sequences.mapInArrow(tidy(_score(spark.sparkContext.broadcast((hmm, room)))), "doc_id long, held_out boolean, key long, n_tokens long, sequence_score double")
     out = scored.join(by_key, "key", "left")
     base = F.col("sum_log") + float(np.log10(ends + 1)) - F.col("n_tokens") * float(np.log10(n + v + 1))
     known = F.col("n_known") + (1 if ends else 0)

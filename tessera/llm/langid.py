@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrowkit import list_array, list_values
+from tessera.llm.arrowkit import list_array, list_values, tidy
 from tessera.llm.shared import materialise, parts
 from tessera.llm.wordhash import chunks, text_buffer
 
@@ -102,8 +102,8 @@ def fit(docs: DataFrame) -> Model | None:
     The driver gets the finished matrix: at most MOST_LANGUAGES x BUCKETS numbers.
     """
     rows = docs.filter("text is not null and lang is not null").select("text", "lang")
-    found = rows.mapInArrow(_train, "lang string, block int, counts array<long>")
-    summed = materialise(found.repartition(parts(docs.sparkSession), "lang", "block").mapInArrow(_add_up, found.schema), "langcounts")
+    found = rows.mapInArrow(tidy(_train), "lang string, block int, counts array<long>")
+    summed = materialise(found.repartition(parts(docs.sparkSession), "lang", "block").mapInArrow(tidy(_add_up), found.schema), "langcounts")
     languages = sorted(r.lang for r in summed.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
@@ -155,4 +155,4 @@ def identify(docs: DataFrame, hold_out: tuple[int, int] = (4, 2), id_col: str =
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % mod == rest, F.lit(True))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), held.alias("held_out"))
     model = docs.sparkSession.sparkContext.broadcast(fit(rows.filter("not held_out")))
-    return rows.select("doc_id", "text", "held_out").mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.select("doc_id", "text", "held_out").mapInArrow(tidy(_predict(model)), "doc_id long, held_out boolean, lang_pred string, score double")

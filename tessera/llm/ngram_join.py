@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import partenum
-from tessera.llm.arrowkit import list_array, list_values, whole_groups
+from tessera.llm.arrowkit import list_array, list_values, tidy, whole_groups
 from tessera.llm.components import connected_components
 from tessera.llm.shared import materialise, parts
 from tessera.llm.wordhash import Words, chunks, mix, shingles, text_buffer
@@ -126,7 +126,7 @@ def _count_sketch(profile: DataFrame) -> np.ndarray:
     """The merged count sketch; 4 MB on the driver whatever the input."""
     blocks = profile.filter("block is not null").select("block", "counts").repartition(parts(profile.sparkSession), "block")
     sketch = np.zeros(SKETCH_CELLS, dtype=np.uint32)
-    for row in blocks.mapInArrow(_merge_blocks, "block int, counts array<int>").toLocalIterator():
+    for row in blocks.mapInArrow(tidy(_merge_blocks), "block int, counts array<int>").toLocalIterator():
         sketch[row.block * SKETCH_BLOCK : (row.block + 1) * SKETCH_BLOCK] = row.counts
     return sketch
 
@@ -283,7 +283,7 @@ def _verify(texts: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     wanted = materialise(reps.join(ends.withColumnRenamed("doc_id", "doc"), "doc", "left_semi").select(F.col("doc").alias("doc_id"), "node"), "wanted")
     cell = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).alias("cell")
-    found = texts.filter("doc_id is not null").select("doc_id", "text", cell).mapInArrow(_chosen_sets(_bitmap(wanted)), "doc_id long, node long, items array<long>")
+    found = texts.filter("doc_id is not null").select("doc_id", "text", cell).mapInArrow(tidy(_chosen_sets(_bitmap(wanted))), "doc_id long, node long, items array<long>")
     sets = found.join(wanted, ["doc_id", "node"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "items")
     sets = materialise(sets, "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("xs"))
@@ -308,13 +308,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n_shingles long, node long, parity array<long>, block int, counts array<int>"
-    profile = materialise(texts.mapInArrow(_profile, schema), "profile")
+    profile = materialise(texts.mapInArrow(tidy(_profile), schema), "profile")
     own = profile.filter("block is null").select("doc_id", "n_shingles", "node", "parity")
     reps = materialise(own.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc")), "reps")
 
     ranges = parts(spark)
     sketch = spark.sparkContext.broadcast(_count_sketch(profile))
-    packed = texts.mapInArrow(_signature_rows(sketch, ranges), "part int, sigs array<long>, nodes array<long>, runs array<int>")
+    packed = texts.mapInArrow(tidy(_signature_rows(sketch, ranges)), "part int, sigs array<long>, nodes array<long>, runs array<int>")
     buckets = packed.groupBy("part").applyInArrow(_shared, "bucket long, node long").dropDuplicates(["bucket", "node"])
     buckets = materialise(buckets, "buckets")
     needed = buckets.select("node").distinct().join(reps, "node").select("node", F.col("doc").alias("doc_id"))
@@ -324,7 +324,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links, comps, dealt = None, None, members.withColumn("comp", F.col("doc"))
     for last in (False, True):
         dealt = dealt.select("bucket", "doc", "comp", "n_shingles", "parity").repartition(ranges, "bucket").sortWithinPartitions("bucket", "doc")
-        found = materialise(dealt.mapInArrow(_bucket_pairs(last), "a long, b long, bucket long"), "found")
+        found = materialise(dealt.mapInArrow(tidy(_bucket_pairs(last)), "a long, b long, bucket long"), "found")
         pairs = materialise(found.filter("bucket is null").select("a", "b").distinct(), "pairs")
         if pairs.isEmpty():
             break

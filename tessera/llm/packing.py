@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.arrowkit import tidy
 from tessera.llm.pieces import id_bytes, piece_table
 from tessera.llm.shared import materialise
 from tessera.llm.wordhash import chunks, text_buffer
@@ -161,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
-    pieces = materialise(rows.mapInArrow(_cut(tokenizer, capacity, end_id), schema), "pieces")
+    pieces = materialise(rows.mapInArrow(tidy(_cut(tokenizer, capacity, end_id)), schema), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = materialise(counts.select("length", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift")), "shift")
@@ -169,4 +170,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     plan = np.array(best_fit_plan(histogram, capacity) or [(0, 0, 0, 0, 0)], dtype=np.int64)
     ranked = pieces.join(shift.drop("n"), ["length", "part"]).withColumn("rank", F.col("local") + F.col("shift"))
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(_place(plan), out)
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(tidy(_place(plan)), out)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.arrowkit import tidy
 from tessera.llm.shared import materialise
 from tessera.llm.wordhash import Words, chunks, mix, span_hashes, text_buffer
 
@@ -84,7 +85,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(n) for c, n in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))))
     counts = ", ".join(f"{c} long" for c in _COUNTS)
-    return rows.mapInArrow(_features, f"doc_id long, lang string, source string, {counts}")
+    return rows.mapInArrow(tidy(_features), f"doc_id long, lang string, source string, {counts}")
 
 
 # Name, expression, smallest spread.  The spread of a group is its interquartile

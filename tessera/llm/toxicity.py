@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.arrowkit import tidy
 from tessera.llm.shared import materialise
 from tessera.llm.wordhash import Words, chunks, shingles, text_buffer
 
@@ -253,14 +254,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for c in (1, 0)]
     chosen = materialise(sample[0].unionByName(sample[1]), "labelled")
     rows = docs.filter("text is not null").join(F.broadcast(chosen), "doc_id")  # at most 2 * SAMPLE_ROWS rows
-    rows = rows.dropDuplicates(["doc_id"]).select("text", "toxic").mapInArrow(_with_key, "text string, toxic int, key long")
+    rows = rows.dropDuplicates(["doc_id"]).select("text", "toxic").mapInArrow(tidy(_with_key), "text string, toxic int, key long")
     rows = materialise(rows.dropDuplicates(["toxic", "key"]), "labelled")
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         share = min(max(n1 / max(n1 + n0, 1), 0.01), 0.99)
         return Model([], [], np.append(np.log(share / (1 - share)), np.zeros(len(FEATURES))))
-    counted = rows.mapInArrow(_terms, "term string, is_stem boolean, toxic long, plain long")
+    counted = rows.mapInArrow(tidy(_terms), "term string, is_stem boolean, toxic long, plain long")
     counted = counted.groupBy("term", "is_stem").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
     least = max(5, n1 // 200)
     telling = counted.filter((F.col("toxic") >= least) & ((F.col("toxic") + 0.5) / (n1 + 1) >= 25 * (F.col("plain") + 0.5) / (n0 + 1)))
@@ -273,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             x = [scorer.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic")], ["x", "toxic"])
 
-    found = rows.selectExpr("text", "cast(toxic as int) as toxic").mapInArrow(measure, "x array<double>, toxic int").collect()
+    found = rows.selectExpr("text", "cast(toxic as int) as toxic").mapInArrow(tidy(measure), "x array<double>, toxic int").collect()
     return Model(words, stems, fit_logistic(np.array([r.x for r in found]), np.array([r.toxic for r in found], float)))
 
 
@@ -309,4 +310,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, hold_out: tuple[int, int]
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % mod != rest)
     model = docs.sparkSession.sparkContext.broadcast(fit(rows.select("doc_id", "text"), known))
-    return rows.mapInArrow(_score(model), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(_score(model)), "doc_id long, held_out boolean, score double, predicted int")
