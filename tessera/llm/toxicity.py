@@ -184,7 +184,7 @@ def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in chunks(off):
             values, bounds = shingles(Words(data[off[a] : off[b]], off[a : b + 1] - off[a]))
             key = np.append(values, np.uint64(0))[bounds[:-1]].view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("text", "toxic")), pa.array(key)], ["text", "toxic", "key"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "text", "toxic")), pa.array(key)], ["doc_id", "text", "toxic", "key"])
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,8 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     The rows are those with the smallest hashes of their ids, so the sample is
     the same whatever the partitioning; of rows of one class with the same
-    smallest shingle only one is kept, lest the words of a copied document pass
-    for telling ones.  Without rows of both classes the
+    smallest shingle only the one with the smallest id is kept, lest the words of a
+    copied document pass for telling ones.  Without rows of both classes the
     lexicon is empty and every score is the share of toxic labels (0.01 without any).
     """
     spark = docs.sparkSession
@@ -254,8 +254,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for c in (1, 0)]
     chosen = materialise(sample[0].unionByName(sample[1]), "labelled")
     rows = docs.filter("text is not null").join(F.broadcast(chosen), "doc_id")  # at most 2 * SAMPLE_ROWS rows
-    rows = rows.dropDuplicates(["doc_id"]).select("text", "toxic").mapInArrow(tidy(_with_key), "text string, toxic int, key long")
-    rows = materialise(rows.dropDuplicates(["toxic", "key"]), "labelled")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = rows.mapInArrow(tidy(_with_key), "doc_id long, text string, toxic int, key long")
+    rows = materialise(rows.groupBy("toxic", "key").agg(F.min_by("text", "doc_id").alias("text")), "labelled")
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
