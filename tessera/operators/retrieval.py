@@ -94,3 +94,18 @@ def fallback(variants: list[DataFrame]) -> DataFrame:
         every = every.unionByName(v)
     first = every.agg(F.min("priority").alias("_first"))
     return every.crossJoin(F.broadcast(first)).filter("priority = _first").drop("_first")  # first is one row
+
+
+def bm25_topk(docs: DataFrame, query: list[str], k: int = 50, key: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Rows (key, score, sparse_rank): the k best documents by BM25; document counts and the mean length come from one pass over all texts."""
+    counts = docs.select(key, terms(F.col(text)).alias("_t"))
+    counts = counts.select(key, F.size("_t").alias("_n"), *((F.size("_t") - F.size(F.array_remove("_t", w))).alias(f"_f{i}") for i, w in enumerate(query)))
+    stats = counts.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_mean"), *(F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(query))))
+    rows = counts.filter(" or ".join(f"_f{i} > 0" for i in range(len(query)))).crossJoin(F.broadcast(stats))  # stats is one row
+
+    def part(i: int) -> Column:
+        d, f = F.col(f"_d{i}"), F.col(f"_f{i}")
+        return F.ln(1 + (F.col("_docs") - d + 0.5) / (d + 0.5)) * f * (k1 + 1) / (f + k1 * ((1 - b) + b * F.col("_n") / F.col("_mean")))
+
+    scored = rows.select(key, F.round(sum((part(i) for i in range(1, len(query))), part(0)), 9).alias("score"))
+    return ranked(scored, [F.desc("score"), F.asc(key)], k, "sparse_rank")
