@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 import regex
 
-LIMIT = 600_000
+LIMIT = 1_200_000
 LIMIT_CHARS = 16 * LIMIT
 
 # The pre-token pattern that the byte-level file states.
