@@ -67,15 +67,16 @@ def find_leaks(
     SimHash lies within ``radius`` bits of the item's and whose weighted Jaccard
     similarity of 5-word shingles is at least ``percent`` / 100; the row has the
     best one, the first of equals, and n_windows counts all.  Null and empty texts and those of fewer
-    than five words match nothing, on either side.  Rows that repeat an id count as one document, as do rows
-    with a null id; other columns are ignored; an empty table gives no rows.
+    than five words match nothing, on either side.  Rows that repeat an id count as one document or item, as do rows
+    with a null id, but each text of an item is looked for by itself and repeated ones count once; other columns are ignored; an empty table gives no rows.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), shingle_hashes(text_col).alias("ys"))
-    items = items.filter("ys is not null").withColumn("m", F.size("ys"))
-    items = materialise(items.withColumn("ifp", simhash("ys")), "items")
-    places = items.select("item_id", "m", F.posexplode("ys").alias("at", "h"))
-    rarity = places.groupBy("h").agg(F.countDistinct("item_id").alias("df"))
-    ranked = places.join(rarity, "h").groupBy("item_id", "m").agg(F.array_sort(F.collect_list(F.struct("df", "h", "at"))).alias("a"))
+    items = benchmark.select(F.col(item_col).alias("item_id"), shingle_hashes(text_col).alias("ys")).filter("ys is not null").distinct()
+    items = materialise(items.withColumn("m", F.size("ys")).withColumn("ifp", simhash("ys")), "items")
+    # Anchors are ranked per text: ids may repeat or be null, and a repeated text is one.
+    places = items.select("ys", "m").distinct().select(F.col("ys").alias("item"), "m", F.posexplode("ys").alias("at", "h"))
+    places = places.withColumn("item", F.xxhash64("item"))
+    rarity = places.groupBy("h").agg(F.countDistinct("item").alias("df"))
+    ranked = places.join(rarity, "h").groupBy("item", "m").agg(F.array_sort(F.collect_list(F.struct("df", "h", "at"))).alias("a"))
     need = F.expr(f"m - cast(ceil(m * {percent} / 100D) as int) + 1")
     anchors = ranked.select("m", F.explode(F.slice("a", F.lit(1), need)).alias("x")).select("m", "x.h", "x.at").distinct()
     anchors = materialise(anchors.groupBy("h").agg(F.collect_list(F.struct("m", "at")).alias("places")), "anchors")

@@ -69,3 +69,16 @@ def test_odd_rows(spark, odd, odd_rows, nothing):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, *_ in odd_rows if i is not None and i not in (6, 7, 8, 9, 10))
     assert decontam.find_leaks(nothing, bench).collect() == [] and decontam.find_leaks(odd, bench.limit(0)).collect() == []
     assert decontam.without_leaks(odd, bench.limit(0)).count() == len(odd_rows)
+
+
+def test_repeated_and_null_item_ids(spark):
+    rng = random.Random(3)
+    texts = [sentence(rng, 54) for _ in range(40)]
+    items = [(7, texts[0])] * 13 + [(8, t) for t in texts[1:10]] + [(None, t) for t in texts[10:]]
+    change = lambda t, at: " ".join("edit" if i == at else w for i, w in enumerate(t.split()))
+    rows = [(n, f"{sentence(rng, 20)} {t if n % 2 else change(t, 12)} {sentence(rng, 20)}", None, None) for n, t in enumerate(texts)]
+    rows += [(100 + n, f"{sentence(rng, 20)} {change(texts[0], at)} {sentence(rng, 20)}", None, None) for n, at in enumerate(range(4, 50, 3))]
+    near, every = brute.leaks([r[:2] for r in rows], items, decontam.SIMILARITY_PERCENT, decontam.RADIUS)
+    got = decontam.find_leaks(table_of(spark, rows), items_of(spark, items))
+    once = {(r.doc_id, r.item_id): r.n_windows for r in decontam.find_leaks(table_of(spark, rows), items_of(spark, sorted(set(items), key=str))).collect()}
+    assert {d for d, _ in every} == {r[0] for r in rows} and set(pairs(got)) == set(near) and {(r.doc_id, r.item_id): r.n_windows for r in got.collect()} == once
