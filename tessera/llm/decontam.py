@@ -1,9 +1,9 @@
 """Benchmark decontamination by SimHash windows, in DataFrame operations only.
 
-Windows are as long as the benchmark items.  Only windows that hold one of an
-item's anchor shingles are looked at: of an item's m shingles, any window with
+Windows are as long as the benchmark items.  All windows that hold one of an
+item's anchor shingles at any place are looked at, and no others: of an item's m shingles, any window with
 similarity t or more holds at least one of m - ceil(t * m) + 1 fixed ones, so
-the others can't match.  Each window gets a 64-bit SimHash; its bits are cut into radius + 1
+the others can't match.  Each that is similar to the anchor's item gets a 64-bit SimHash; its bits are cut into radius + 1
 blocks, and a window meets the items of its length with which it has an equal
 block, which are all items within the radius.  Those pairs are verified by the
 weighted Jaccard similarity of their shingles (weight: multiplicity).
@@ -50,6 +50,12 @@ def _common(a: str, b: str) -> Column:
     return F.expr(f"if({plain}, size(array_intersect({a}, {b})), {counted})")
 
 
+def _similar(pairs: DataFrame, percent: int) -> DataFrame:
+    """The rows whose weighted Jaccard similarity c / u of xs and ys is at least ``percent`` / 100."""
+    counted = pairs.withColumn("c", _common("xs", "ys")).withColumn("u", F.size("xs") + F.size("ys") - F.col("c"))
+    return counted.filter(F.col("c") * 100 >= F.col("u") * percent)
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -63,8 +69,7 @@ def find_leaks(
 
     Texts are lower-cased and cut at U+0020 and U+0009..U+000D.  A match is a
     window of a document as long as the item (cut where the document begins or
-    ends), laid so that an anchor shingle has the place it has in the item, whose
-    SimHash lies within ``radius`` bits of the item's and whose weighted Jaccard
+    ends), wherever it holds one of the item's anchor shingles, whose SimHash lies within ``radius`` bits of the item's and whose weighted Jaccard
     similarity of 5-word shingles is at least ``percent`` / 100; the row has the
     best one, the first of equals, and n_windows counts all.  Null and empty texts and those of fewer
     than five words match nothing, on either side.  Rows that repeat an id count as one document or item, as do rows
@@ -73,26 +78,34 @@ def find_leaks(
     items = benchmark.select(F.col(item_col).alias("item_id"), shingle_hashes(text_col).alias("ys")).filter("ys is not null").distinct()
     items = materialise(items.withColumn("m", F.size("ys")).withColumn("ifp", simhash("ys")), "items")
     # Anchors are ranked per text: ids may repeat or be null, and a repeated text is one.
-    places = items.select("ys", "m").distinct().select(F.col("ys").alias("item"), "m", F.posexplode("ys").alias("at", "h"))
-    places = places.withColumn("item", F.xxhash64("item"))
+    texts = items.select(F.xxhash64("ys").alias("item"), "m", "ys").dropDuplicates(["item"])
+    places = texts.select("item", "m", F.posexplode("ys").alias("at", "h"))
     rarity = places.groupBy("h").agg(F.countDistinct("item").alias("df"))
     ranked = places.join(rarity, "h").groupBy("item", "m").agg(F.array_sort(F.collect_list(F.struct("df", "h", "at"))).alias("a"))
     need = F.expr(f"m - cast(ceil(m * {percent} / 100D) as int) + 1")
-    anchors = ranked.select("m", F.explode(F.slice("a", F.lit(1), need)).alias("x")).select("m", "x.h", "x.at").distinct()
-    anchors = materialise(anchors.groupBy("h").agg(F.collect_list(F.struct("m", "at")).alias("places")), "anchors")
+    anchors = ranked.select("m", "item", F.explode(F.slice("a", F.lit(1), need)).alias("x")).select("m", "item", "x.h").distinct()
+    anchors = materialise(anchors.groupBy("h").agg(F.collect_list(F.struct("m", "item")).alias("texts")), "anchors")
+
+    # Every start at which a window of length m holds the anchor at pos; windows cut to less than percent of m can't match.
+    least = f"cast(ceil(m * {percent} / 100D) as int)"
+    starts = f"explode(sequence(greatest(pos - m + 1, {least} - m), least(pos, n - {least}))) as first"
 
     rows = docs.select(F.col(id_col).alias("doc_id"), shingle_hashes(text_col).alias("xs"))
     if anchors.count() <= BROADCAST_ANCHORS:
         # outer: the filter that Spark derives for an inner explode would compute the shingles twice
         hits = rows.select("doc_id", "xs", F.posexplode_outer("xs").alias("pos", "h")).join(F.broadcast(anchors), "h")
+        placed = hits.select("doc_id", "xs", F.size("xs").alias("n"), "pos", F.inline("texts"))
+        placed = placed.filter(f"n >= {least}").selectExpr("doc_id", "xs", "m", "item", starts)
     else:
         keyed = rows.withColumn("key", F.xxhash64("xs"))
-        met = keyed.select(F.col("doc_id").alias("id"), F.col("key").alias("text_key"), F.posexplode("xs").alias("pos", "h")).join(anchors, "h").drop("h")
-        hits = met.join(keyed, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("key"))).select("doc_id", "xs", "pos", "places")
-    placed = hits.select("doc_id", "xs", "pos", F.inline("places")).withColumn("first", F.col("pos") - F.col("at"))
+        met = keyed.select(F.col("doc_id").alias("id"), F.col("key").alias("text_key"), F.size("xs").alias("n"), F.posexplode("xs").alias("pos", "h")).join(anchors, "h")
+        met = met.select("id", "text_key", "n", "pos", F.inline("texts")).filter(f"n >= {least}").selectExpr("id", "text_key", "m", "item", starts).distinct()
+        placed = met.join(keyed, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("key"))).select("doc_id", "xs", "m", "item", "first")
     inside = F.slice("xs", F.greatest("first", F.lit(0)) + 1, F.greatest(F.col("m") + F.least("first", F.lit(0)), F.lit(1)))
-    cut = placed.select("doc_id", F.greatest("first", F.lit(0)).alias("first"), "m", inside.alias("xs"))
-    windows = cut.groupBy("doc_id", "first", "m", F.xxhash64("xs").alias("key")).agg(F.first("xs").alias("xs")).withColumn("fp", simhash("xs"))
+    tried = placed.select("doc_id", F.greatest("first", F.lit(0)).alias("first"), "m", "item", inside.alias("xs")).distinct()
+    # A fingerprint costs far more than a comparison, so only windows similar to the anchor's text get one.
+    alike = _similar(tried.join(texts.select("item", "ys"), "item"), percent)
+    windows = alike.select("doc_id", "first", "m", "xs").distinct().withColumn("fp", simhash("xs"))
 
     left = windows.withColumn("b", F.explode(blocks("fp", radius))).select("*", "b.*").drop("b")
     right = items.withColumn("b", F.explode(blocks("ifp", radius))).select("*", "b.*").drop("b")
@@ -100,8 +113,7 @@ def find_leaks(
     near = same.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
     # A pair is verified at its first equal block only, so it needs no distinct.
     lower = F.expr("true") & ~F.exists(F.sequence(F.lit(0), F.lit(radius)), lambda j: (j < F.col("block")) & (F.get(blocks("fp", radius), j) == F.get(blocks("ifp", radius), j)))
-    pairs = near.filter(lower).withColumn("c", _common("xs", "ys")).withColumn("u", F.size("xs") + F.size("ys") - F.col("c"))
-    found = pairs.filter(F.col("c") * 100 >= F.col("u") * percent).withColumn("similarity", F.col("c") / F.col("u"))
+    found = _similar(near.filter(lower), percent).withColumn("similarity", F.col("c") / F.col("u"))
     best = F.min_by("first", F.struct(-F.col("similarity"), "first")).alias("first_shingle")
     return found.groupBy("doc_id", "item_id").agg(best, F.count("*").alias("n_windows"), F.max("similarity").alias("similarity"))
 

@@ -82,3 +82,19 @@ def test_repeated_and_null_item_ids(spark):
     got = decontam.find_leaks(table_of(spark, rows), items_of(spark, items))
     once = {(r.doc_id, r.item_id): r.n_windows for r in decontam.find_leaks(table_of(spark, rows), items_of(spark, sorted(set(items), key=str))).collect()}
     assert {d for d, _ in every} == {r[0] for r in rows} and set(pairs(got)) == set(near) and {(r.doc_id, r.item_id): r.n_windows for r in got.collect()} == once
+
+
+def test_insertions_move_anchors_within_the_window(spark, monkeypatch):
+    rng = random.Random(17)
+    items = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(54))) for i in range(30)]
+    rows = []
+    for n in range(90):
+        w = items[n % 30][1].split()
+        body = w[:2] + ["in"] + w[2:45] + ["put", "there"] + w[45:] if n < 30 else edited(rng, w, 1 + n % 3).split()
+        rows.append((n, " ".join([sentence(rng, n % 3 * 9), *body, sentence(rng, n % 4 * 9)]), None, None))
+    near, every = brute.leaks([r[:2] for r in rows], items, decontam.SIMILARITY_PERCENT, decontam.RADIUS)
+    for most in (decontam.BROADCAST_ANCHORS, 0):
+        monkeypatch.setattr(decontam, "BROADCAST_ANCHORS", most)
+        got = pairs(decontam.find_leaks(table_of(spark, rows), items_of(spark, items)))
+        assert set(got) == set(near) and all(abs(got[k] - near[k]) < 1e-9 for k in near)
+    assert {d for d, _ in every} >= set(range(30)) and len(near) >= 0.95 * len(every)
