@@ -92,15 +92,24 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
                 left = 0
                 continue
             first, n = runs[room].pop()
-            take = min(n, left)
-            plan.append((length, rank, take, first, capacity - room))
-            tree.add(room, -take)
-            if n > take:
-                runs[room].append((first + take, n - take))
-            if room > length:
-                runs[room - length].append((first, take))
-                tree.add(room - length, take)
-            rank, left = rank + take, left - take
+            # A bin just used is the tightest while it holds another piece, so each is filled before the next.
+            per_bin = room // length
+            full = min(n, left // per_bin)
+            rest = left - full * per_bin if full < n else 0
+            for at, take, each in ((first, full, per_bin), (first + full, int(rest > 0), rest)):
+                if not take:
+                    continue
+                for j in range(each):
+                    plan.append((length, rank, take, at, capacity - room + j * length))
+                    rank += take
+                if room > each * length:
+                    runs[room - each * length].append((at, take))
+                    tree.add(room - each * length, take)
+                left -= take * each
+            used = full + (rest > 0)
+            tree.add(room, -used)
+            if n > used:
+                runs[room].append((first + used, n - used))
     return plan
 
 

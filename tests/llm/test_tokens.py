@@ -88,6 +88,23 @@ def test_plan_is_best_fit_decreasing(lengths):
     assert len(rooms) == brute.best_fit_bins(lengths, 50)
 
 
+def test_plan_fills_an_open_bin_before_the_next():
+    for lengths, capacity, bins in (([30] * 3 + [10] * 3 + [6] * 4, 50, 3), ([1229] * 28 + [409] * 28 + [273] * 42, 2048, 28)):
+        plan = packing.best_fit_plan(dict(Counter(lengths)), capacity)
+        held: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for length, _, count, first, offset in plan:
+            for b in range(first, first + count):
+                held[b].append((offset, length))
+        ends = {b: [0, *(o + n for o, n in sorted(rows))] for b, rows in held.items()}
+        assert all([o for o, _ in sorted(held[b])] == ends[b][:-1] and ends[b][-1] <= capacity for b in held)
+        assert len(held) == brute.best_fit_bins(lengths, capacity) == bins
+    rng = random.Random(2)
+    for _ in range(300):
+        lengths = rng.choices(rng.sample(range(1, 51), 4), k=rng.randrange(1, 60))
+        plan = packing.best_fit_plan(dict(Counter(lengths)), 50)
+        assert sum(c for _, _, c, _, _ in plan) == len(lengths) and len({b for _, _, c, f, _ in plan for b in range(f, f + c)}) == brute.best_fit_bins(lengths, 50)
+
+
 CONTROL = st.lists(st.sampled_from([*chat.CONTROLS, "\\", "<", ">", "|", "/", "s", "INST]", "[", "turn|>", "a ", "SYS>>"]), max_size=12).map("".join)
 
 
