@@ -7,6 +7,9 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def give_back() -> None:
@@ -27,6 +30,24 @@ def tidy(run: Callable) -> Callable:
     return whole
 
 
+def annotate(docs: DataFrame, run: Callable, reads: list[str], added: str, **needed: Column) -> DataFrame:
+    """The rows of ``docs`` as ``row``, and the columns ``added`` that ``run`` finds for them.
+
+    ``run`` gets batches of ``row``, a struct of all columns so that no names
+    clash, and of ``needed``; it yields ``row`` and what it adds.  It takes
+    columns of ``docs``, those in ``reads``, with :func:`field`.
+    """
+    if missing := set(reads) - set(docs.columns):
+        raise ValueError(f"no column {', '.join(sorted(missing))}")
+    schema = StructType([StructField("row", docs.schema), *StructType.fromDDL(added).fields])
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in needed.items())).mapInArrow(tidy(run), schema)
+
+
+def field(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column of the batch, or of its ``row``."""
+    return batch.column(name) if name in batch.schema.names else batch.column("row").field(name)
+
+
 def list_array(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """values[bounds[i]:bounds[i+1]] as list i."""
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(kind.to_pandas_dtype())))

@@ -18,12 +18,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Rows (node, component): each node of ``edges`` (columns a, b, whole numbers) with the smallest node it can reach.
+    """Rows (node, component): each node of ``edges`` (columns a, b of one type with an order) with the smallest node it can reach.
 
     Rows with a null end or equal ends are ignored, repeated and reversed rows
     count once, and no edges give no rows.  Each round costs a few shuffles of
     the edges and writes them to the shared folder; the number of rounds grows
-    with the logarithm of the longest chain.
+    with the logarithm of the longest chain, and ``most_rounds`` is far beyond
+    what any table needs; if it is met, an error says so.
     """
     clean = edges.filter("a is not null and b is not null and a <> b")
     edges = materialise(clean.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")

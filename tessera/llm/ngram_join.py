@@ -13,9 +13,11 @@ Passes over the texts, all linear in their words:
    joins two components;
 4. the pairs sent on are checked on their whole shingle sets.
 
-Copies with equal sets are one node throughout, so a group of thousands of
-exact copies costs as much as one document, and a group of near copies sends
-on about one pair a document.
+Nodes are sets, told apart by a 64-bit hash of their shingles, and ids are met
+only at the end; so it doesn't matter whether ids repeat or are null.  Copies
+with equal sets are one node throughout: a group of thousands of exact copies
+costs as much as one document, and a group of near copies sends on about one
+pair a document.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import partenum
-from tessera.llm.arrowkit import list_array, list_values, tidy, whole_groups
+from tessera.llm.arrowkit import annotate, field, list_array, list_values, tidy, whole_groups
 from tessera.llm.components import connected_components
 from tessera.llm.shared import materialise, parts
 from tessera.llm.wordhash import Words, chunks, mix, shingles, text_buffer
@@ -36,22 +38,19 @@ from tessera.llm.wordhash import Words, chunks, mix, shingles, text_buffer
 SKETCH_CELLS = 1 << partenum.SKETCH_BITS
 SKETCH_BLOCK = 4096
 FLUSH = 1_200_000
+RANGE_SHINGLES = 4_000_000
+PAIR_ROWS = 250_000
+HUB_CHUNKS = 64
+NO_ID = (1 << 63) - 1  # stands in for a null id, so that it sorts last
 BITMAP_BITS = 1 << 23
 _SET_SEED = np.uint64(0x632BE59BD9B4E019)
 
 
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc ids, shingle hashes, bounds) of runs of documents; null ids are -1 and get no set."""
-    data, off = text_buffer(batch.column("text"))
-    known = np.asarray(batch.column("doc_id").is_valid())
-    ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
+def _sets(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(a, b, shingle hashes, bounds) of runs a..b-1 of texts."""
+    data, off = text_buffer(text)
     for a, b in chunks(off):
-        values, bounds = shingles(Words(data[off[a] : off[b]], off[a : b + 1] - off[a]))
-        if not known[a:b].all():
-            keep = np.repeat(known[a:b], np.diff(bounds))
-            sizes = np.where(known[a:b], np.diff(bounds), 0)
-            values, bounds = values[keep], np.concatenate(([0], np.cumsum(sizes)))
-        yield ids[a:b], values, bounds
+        yield a, b, *shingles(Words(data[off[a] : off[b]], off[a : b + 1] - off[a]))
 
 
 def _set_hashes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -84,16 +83,14 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int32())]
     names = ["doc_id", "n_shingles", "node", "parity", "block", "counts"]
     for batch in batches:
-        known = batch.column("doc_id").is_valid()
-        row = 0
-        for ids, values, bounds in _sets(batch):
+        for a, b, values, bounds in _sets(batch.column("text")):
             counts += np.bincount((values & np.uint64(SKETCH_CELLS - 1)).astype(np.int64), minlength=SKETCH_CELLS).astype(np.int32)
-            sizes, n = np.diff(bounds), len(ids)
-            sketches = [parity(values[a:b]) if b > a else values[:0].view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            sizes, n = np.diff(bounds), b - a
+            sketches = [parity(values[x:y]) if y > x else values[:0].view(np.int64) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
             lengths = np.concatenate(([0], np.cumsum([len(s) for s in sketches])))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, mask=~np.asarray(known[row : row + n])),
+                    batch.column("doc_id").slice(a, n),
                     pa.array(sizes.astype(np.int64)),
                     pa.array(_set_hashes(values, bounds), mask=sizes == 0),
                     list_array(np.concatenate(sketches) if n else values.view(np.int64), lengths, pa.int64()),
@@ -102,7 +99,6 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 names,
             )
-            row += n
     blocks = SKETCH_CELLS // SKETCH_BLOCK
     used = np.flatnonzero(counts.reshape(blocks, -1).any(axis=1))
     if len(used):
@@ -159,7 +155,7 @@ def _signature_rows(sketch, ranges: int):
             )
 
         for batch in batches:
-            for _, values, bounds in _sets(batch):
+            for _, _, values, bounds in _sets(batch.column("text")):
                 for node, a, b in zip(_set_hashes(values, bounds).tolist(), bounds[:-1], bounds[1:], strict=True):
                     if b > a and node not in seen:
                         seen.add(node)
@@ -195,13 +191,13 @@ def _shared(part: pa.Table) -> pa.Table:
     return pa.table({"bucket": np.repeat(code[pick], size[pick]).view(np.int64), "node": node[rows].astype(np.int64)})
 
 
-def _near(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, most: int | None, forest: bool = False) -> list[tuple[int, int]] | None:
-    """Pairs of one bucket over two components that the sketches can't rule out; None for more than ``most``.
+def _near(comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, forest: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, places j) of one bucket: pairs over two components that the sketches can't rule out.
 
     forest: only enough of them to join those components, if all were links.
     """
-    out, comp = [], comp.copy()
-    for i in range(len(doc) - 1):
+    comp = comp.copy()
+    for i in range(len(comp) - 1):
         j = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
         if not len(j):
             continue
@@ -214,23 +210,31 @@ def _near(doc: np.ndarray, comp: np.ndarray, size: np.ndarray, sketch: np.ndarra
             met, at = np.unique(comp[j], return_index=True)
             j = j[at]
             comp[np.isin(comp, met)] = comp[i]
-        out += [(int(doc[i]), int(doc[x])) for x in j]
-        if most is not None and len(out) > most:
-            return None
-    return out
+        if len(j):
+            yield i, j
 
 
 def _bucket_pairs(last: bool):
-    """Rows (a, b) to check; in the first round also (bucket) of each bucket that the last round has to see."""
+    """Rows (a, b) of nodes to check; in the first round also (bucket) of each bucket that the last round has to see.
+
+    Rows leave in batches of some PAIR_ROWS, however many a bucket has.
+    """
+
+    def out(pairs: list[np.ndarray], again: list[int]) -> pa.RecordBatch:
+        ab = np.concatenate([*pairs, np.zeros((0, 2), np.int64)])
+        ab = np.unique(np.sort(ab, axis=1), axis=0)
+        pads = pa.nulls(len(again), pa.int64())
+        columns = [pa.array(np.ascontiguousarray(ab[:, i])) for i in (0, 1)] + [pa.nulls(len(ab), pa.int64())]
+        more = [pads, pads, pa.array(again, pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(columns, more, strict=True)], ["a", "b", "bucket"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, again, rows = [], [], 0
         for group in whole_groups(batches, "bucket"):
             bucket = group.column("bucket").to_numpy()
-            doc, comp, size = (group.column(c).to_numpy() for c in ("doc", "comp", "n_shingles"))
+            node, comp, size = (group.column(c).to_numpy() for c in ("node", "comp", "n_shingles"))
             flat, lengths = list_values(group.column("parity"))
             ends = np.cumsum(lengths)
-            pairs: list[tuple[int, int]] = []
-            again: list[int] = []
             starts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 if (comp[a:b] == comp[a]).all():
@@ -238,17 +242,22 @@ def _bucket_pairs(last: bool):
                 words = int(lengths[a:b].min())
                 sketch = np.stack([fold(flat[e - n : e], words) for e, n in zip(ends[a:b], lengths[a:b], strict=True)])
                 sketch = sketch.view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
-                found = _near(doc[a:b], comp[a:b], size[a:b], sketch, None if last else 4 * (b - a))
-                if found is None:
-                    found = _near(doc[a:b], comp[a:b], size[a:b], sketch, None, forest=True)
-                    again.append(int(bucket[a]))
-                pairs += found
-            if pairs:
-                ab = np.unique(np.sort(np.array(pairs, np.int64), axis=1), axis=0)
-                pads = pa.nulls(len(again), pa.int64())
-                columns = [pa.array(np.ascontiguousarray(ab[:, i])) for i in (0, 1)] + [pa.nulls(len(ab), pa.int64())]
-                more = [pads, pads, pa.array(again, pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(columns, more, strict=True)], ["a", "b", "bucket"])
+                found, many = [], 0
+                if not last:
+                    for i, j in _near(comp[a:b], size[a:b], sketch):
+                        found.append((i, j))
+                        many += len(j)
+                        if many > 4 * (b - a):
+                            again.append(int(bucket[a]))
+                            break
+                for i, j in _near(comp[a:b], size[a:b], sketch, forest=not last) if last or many > 4 * (b - a) else found:
+                    pairs.append(np.column_stack((np.full(len(j), node[a + i]), node[a + j])))
+                    rows += len(j)
+                    if rows >= PAIR_ROWS:
+                        yield out(pairs, again)
+                        pairs, again, rows = [], [], 0
+        if rows or again:
+            yield out(pairs, again)
 
     return run
 
@@ -269,85 +278,149 @@ def _chosen_sets(bitmap):
             cell = batch.column("cell").to_numpy()
             hit = (bitmap.value[cell >> 6] >> (cell & 63)) & 1
             batch = batch.filter(pa.array(hit.astype(bool)))
-            for ids, values, bounds in _sets(batch):
+            for a, b, values, bounds in _sets(batch.column("text")):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array(_set_hashes(values, bounds)), list_array(values.view(np.int64), bounds, pa.int64())],
+                    [batch.column("doc_id").slice(a, b - a), pa.array(_set_hashes(values, bounds)), list_array(values.view(np.int64), bounds, pa.int64())],
                     ["doc_id", "node", "items"],
                 )
 
     return run
 
 
-def _verify(texts: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b of documents) whose whole shingle sets are linked."""
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = materialise(reps.join(ends.withColumnRenamed("doc_id", "doc"), "doc", "left_semi").select(F.col("doc").alias("doc_id"), "node"), "wanted")
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) out of rows (hub, chunk, node, items) in this order: a hub's own set comes before those it is to meet."""
+    hub, own = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        items, lengths = list_values(batch.column("items"))
+        items, ends = items.view(np.uint64), np.cumsum(lengths)
+        hubs, nodes = (batch.column(c).to_numpy() for c in ("hub", "node"))
+        own_rows = batch.column("own").to_numpy(zero_copy_only=False)
+        links = []
+        for i in range(batch.num_rows):
+            found = items[ends[i] - lengths[i] : ends[i]]
+            if own_rows[i]:
+                hub, own = hubs[i], found.copy()
+            elif hub == hubs[i]:
+                small, big = (found, own) if len(found) < len(own) else (own, found)
+                at = np.searchsorted(big, small)
+                inter = int((big[np.minimum(at, len(big) - 1)] == small).sum())
+                if partenum.linked(inter, len(own), len(found)):
+                    links.append((hub, nodes[i]))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["a", "b"])
+
+
+def _verify(texts: DataFrame, reps: DataFrame, pairs: DataFrame, ranges: int) -> DataFrame:
+    """The pairs (a, b of nodes) whose whole shingle sets are linked.
+
+    The first node of a pair is its hub (the centre, where a forest is a star).
+    A hub's partners are dealt over HUB_CHUNKS chunks, and its set travels once
+    to each chunk, not once to each partner.
+    """
+    pairs = pairs.withColumn("chunk", F.pmod(F.xxhash64("b"), F.lit(HUB_CHUNKS)).cast("int"))
+    roles = pairs.select(F.col("b").alias("node"), F.col("a").alias("hub"), "chunk", F.lit(False).alias("own"))
+    roles = roles.unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("hub"), "chunk", F.lit(True).alias("own")).distinct())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = materialise(reps.join(ends, "node", "left_semi").select("node", F.col("doc").alias("doc_id")), "wanted")
     cell = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).alias("cell")
-    found = texts.filter("doc_id is not null").select("doc_id", "text", cell).mapInArrow(tidy(_chosen_sets(_bitmap(wanted))), "doc_id long, node long, items array<long>")
-    sets = found.join(wanted, ["doc_id", "node"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "items")
-    sets = materialise(sets, "sets")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("xs"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("ys"))
-    inter = F.size(F.array_intersect("xs", "ys"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", inter.alias("i"), F.size("xs").alias("m"), F.size("ys").alias("n"))
-    return met.filter(partenum.linked(F.col("i"), F.col("m"), F.col("n"))).select("a", "b")
+    found = texts.select("doc_id", "text", cell).mapInArrow(tidy(_chosen_sets(_bitmap(wanted))), "doc_id long, node long, items array<long>")
+    met = found.join(wanted.withColumnRenamed("doc_id", "wanted"), "node").filter("doc_id <=> wanted")
+    sets = materialise(met.dropDuplicates(["node"]).select("node", "items"), "sets")
+    dealt = roles.join(sets, "node").repartition(ranges, "hub", "chunk").sortWithinPartitions("hub", "chunk", F.desc("own"))
+    return dealt.select("hub", "chunk", "own", "node", "items").mapInArrow(tidy(_meet), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
+def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows (doc_id, n_shingles, node) of the texts, rows (node, root_doc, root_node) of the sets).
 
-    Words are runs of characters other than U+0020, U+0009..U+000D of the text
-    with A-Z lower-cased.  Sets of 5-word shingles (the whole sequence, if
-    shorter) are linked if 100 * intersection >= 75 * union; component_id is the
-    smallest doc_id reachable by links.  A null, empty or wordless text has no
-    shingles and is linked with nothing; a row with a null id has a null
-    component.  Rows that repeat an id are returned once each; equal texts share
-    a component; an empty table gives no rows.  Other columns are ignored.
-    Shingles are told apart by 64-bit hashes.
+    A set's root is the least (id, set) it can reach by links; a null id counts
+    as the largest.  Texts without words have a null node.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    spark = texts.sparkSession
     schema = "doc_id long, n_shingles long, node long, parity array<long>, block int, counts array<int>"
     profile = materialise(texts.mapInArrow(tidy(_profile), schema), "profile")
     own = profile.filter("block is null").select("doc_id", "n_shingles", "node", "parity")
     reps = materialise(own.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc")), "reps")
 
-    ranges = parts(spark)
+    # Ranges hold a bounded part of the signatures, however many the shuffle partitions.
+    ranges = max(parts(spark), int((own.agg(F.sum("n_shingles")).first()[0] or 0) // RANGE_SHINGLES) + 1)
     sketch = spark.sparkContext.broadcast(_count_sketch(profile))
     packed = texts.mapInArrow(tidy(_signature_rows(sketch, ranges)), "part int, sigs array<long>, nodes array<long>, runs array<int>")
     buckets = packed.groupBy("part").applyInArrow(_shared, "bucket long, node long").dropDuplicates(["bucket", "node"])
     buckets = materialise(buckets, "buckets")
-    needed = buckets.select("node").distinct().join(reps, "node").select("node", F.col("doc").alias("doc_id"))
-    sketches = own.join(needed, ["node", "doc_id"]).dropDuplicates(["node"]).withColumnRenamed("doc_id", "doc")
-    members = materialise(buckets.join(sketches, "node").select("bucket", "doc", "n_shingles", "parity"), "members")
+    needed = buckets.select("node").distinct().join(reps, "node")
+    sketches = own.join(needed, "node").filter("doc_id <=> doc").dropDuplicates(["node"]).select("node", "n_shingles", "parity")
+    members = materialise(buckets.join(sketches, "node").select("bucket", "node", "n_shingles", "parity"), "members")
 
-    links, comps, dealt = None, None, members.withColumn("comp", F.col("doc"))
+    key = lambda c: F.struct(F.coalesce(f"{c}_doc", F.lit(NO_ID)).alias("doc"), F.col(c).alias("node"))
+    links, roots, dealt = None, None, members.withColumn("comp", F.col("node"))
     for last in (False, True):
-        dealt = dealt.select("bucket", "doc", "comp", "n_shingles", "parity").repartition(ranges, "bucket").sortWithinPartitions("bucket", "doc")
+        dealt = dealt.select("bucket", "node", "comp", "n_shingles", "parity").repartition(ranges, "bucket").sortWithinPartitions("bucket", "node")
         found = materialise(dealt.mapInArrow(tidy(_bucket_pairs(last)), "a long, b long, bucket long"), "found")
         pairs = materialise(found.filter("bucket is null").select("a", "b").distinct(), "pairs")
         if pairs.isEmpty():
             break
-        more = _verify(texts, reps, pairs)
+        more = _verify(texts, reps, pairs, parts(spark))
+        for c in ("a", "b"):
+            more = more.join(reps.select(F.col("node").alias(c), F.col("doc").alias(f"{c}_doc")), c)
+        more = more.select(key("a").alias("a"), key("b").alias("b"))
         links = materialise(more if links is None else links.unionByName(more), "links")
-        comps = materialise(connected_components(links), "components")
+        roots = materialise(connected_components(links).select("node.node", F.col("component.doc").alias("root_doc"), F.col("component.node").alias("root_node")), "components")
         again = found.filter("bucket is not null").select("bucket").distinct()
         if last or again.isEmpty():
             break
-        dealt = members.join(again, "bucket", "left_semi").join(comps.withColumnsRenamed({"node": "doc", "component": "comp"}), "doc", "left")
-        dealt = dealt.withColumn("comp", F.coalesce("comp", "doc"))
+        dealt = members.join(again, "bucket", "left_semi").join(roots.select("node", F.col("root_node").alias("comp")), "node", "left")
+        dealt = dealt.withColumn("comp", F.coalesce("comp", "node"))
+
+    if roots is None:
+        roots = spark.createDataFrame([], "node long, root_doc long, root_node long")
+    root_doc = F.nullif(F.coalesce("root_doc", "doc"), F.lit(NO_ID)).alias("root_doc")
+    return own.drop("parity"), reps.join(roots, "node", "left").select("node", root_doc, F.coalesce("root_node", "node").alias("root_node"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id.
 
-    out = own.select("doc_id", "n_shingles", "node").join(reps, "node", "left")
-    if comps is not None:
-        out = out.join(comps.withColumnRenamed("node", "doc"), "doc", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc", "doc_id").alias("component_id"))
+    Words are runs of characters other than U+0020, U+0009..U+000D of the text
+    with A-Z lower-cased.  Sets of 5-word shingles (the whole sequence, if
+    shorter) are linked if 100 * intersection >= 75 * union; component_id is the
+    smallest doc_id reachable by links.  A null, empty or wordless text has no
+    shingles and is linked with nothing.  Each row is a document of its own,
+    also where ids repeat with other texts or are null; a null id takes part
+    like any other, but is a component_id only where no id is reached.  Equal
+    texts share a component; an empty table gives no rows; other columns are
+    ignored.  Texts are read whole: a very long one is held in memory by one
+    task, at some 60 bytes a character, and its set travels whole to where it
+    is checked.  Shingles are told apart by 64-bit hashes.
+    """
+    own, classes = _classes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    out = own.join(classes, "node", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("root_doc")).alias("component_id"))
+
+
+def _nodes(text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, values, bounds in _sets(field(batch, text)):
+                node = pa.array(_set_hashes(values, bounds), mask=np.diff(bounds) == 0)
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), node], ["row", "node"])
+
+    return run
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's; rows with a null id stay."""
-    found = jaccard_components(docs, id_col, text_col)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.filter(F.col(id_col).isNotNull()).join(keep, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull())).select(*docs.columns)
+    """One row of ``docs`` from each component of :func:`jaccard_components`, and all rows without words.
+
+    The row that stays has the component's smallest id (a null id only where
+    there is no other); of rows with that id it is one with the least set hash,
+    and of several with that set too the first text in order.  Only this
+    operator's last step moves whole rows, and it moves them once.
+    """
+    _, classes = _classes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    roots = classes.filter("node = root_node").select(F.xxhash64("node", "root_doc").alias("key"), F.col("node").alias("kept"), F.col("root_doc").alias("kept_doc"))
+    rows = annotate(docs, _nodes(text_col), [text_col], "node long")
+    doc = F.col("row").getField(id_col).cast("long")
+    keyed = rows.withColumns({"doc": doc, "key": F.when(F.col("node").isNull(), F.xxhash64(doc)).otherwise(F.xxhash64("node", doc))})
+    met = keyed.join(roots, "key", "left").filter("node is null or (node = kept and doc <=> kept_doc)")
+    first = Window.partitionBy("key", "node").orderBy(F.col("row").getField(text_col))
+    return met.withColumn("nth", F.row_number().over(first)).filter("node is null or nth = 1").select("row.*")

@@ -1,4 +1,9 @@
-"""Toxicity scores: a learned lexicon, its Levenshtein automaton, and the words around each hit."""
+"""Toxicity scores: a learned lexicon, its Levenshtein automaton, and the words around each hit.
+
+Terms are learnt from a bounded sample of labelled rows (the parameter
+``sample_rows``).  Every term that passes the test of :func:`fit` is kept,
+however many there are.
+"""
 
 from __future__ import annotations
 
@@ -12,16 +17,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrowkit import tidy
+from tessera.llm.arrowkit import annotate, field, list_array, list_values, tidy
 from tessera.llm.shared import materialise
-from tessera.llm.wordhash import Words, chunks, shingles, text_buffer
+from tessera.llm.wordhash import Words, chunks, mix, shingles, text_buffer
 
-SAMPLE_ROWS = 10_000  # most labelled rows of each class that the model is fitted on
-MOST_TERMS = 400
+SAMPLE_ROWS = 10_000
+LEAST_TOXIC = 5
+LEAST_RATIO = 25
 STEM_LETTERS = (4, 5, 6)
 WINDOW = 6
 MEMO = 400_000
+MOST_STATES = 200_000
 NEAR_SHARE = 0.5
+MARKS = 16  # minima of a text's shingles by which near copies in the sample are told
 
 # Marks and words of reported speech, which make a hit a quotation.
 QUOTE_MARKS = "\"“”„«»‘’‚‹›"
@@ -42,7 +50,7 @@ class Automaton:
     """Levenshtein automaton of all lexicon terms at once, intersected with their trie.
 
     A state is the set of (trie node, errors so far); the table of states is
-    built as words ask for it.  A whole term matches a whole word; a stem
+    built as words ask for it, and anew beyond ``MOST_STATES``.  A whole term matches a whole word; a stem
     matches any word that starts with it.  ``match`` gives (errors, ends) or
     None; one error is allowed in terms of five letters or more, two in terms of
     ten or more.
@@ -66,6 +74,9 @@ class Automaton:
                 at = self.next[at][c]
                 self.budget[at] = max(self.budget[at], allowed)
             ends[at] = max(ends[at], allowed)
+        self._begin()
+
+    def _begin(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -106,6 +117,8 @@ class Automaton:
         return to
 
     def match(self, word: str) -> tuple[int, str] | None:
+        if len(self.sets) > MOST_STATES:
+            self._begin()
         state, stem = self.start, -1
         for c in word:
             to = self.moves[state].get(c)
@@ -178,13 +191,34 @@ def _scorer(words: list[str], stems: list[str]) -> Scorer:
 
 
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the smallest shingle hash of each text, which near copies tend to share."""
+    """Adds the smallest shingle hash of each text, which near copies tend to share, and the minima of MARKS rehashes; drops wordless texts."""
+    seeds = mix(np.arange(1, MARKS + 1, dtype=np.uint64))
     for batch in batches:
         data, off = text_buffer(batch.column("text"))
         for a, b in chunks(off):
             values, bounds = shingles(Words(data[off[a] : off[b]], off[a : b + 1] - off[a]))
-            key = np.append(values, np.uint64(0))[bounds[:-1]].view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "text", "toxic")), pa.array(key)], ["doc_id", "text", "toxic", "key"])
+            some = np.flatnonzero(np.diff(bounds))
+            if not len(some):
+                continue
+            marks = np.stack([np.minimum.reduceat(mix(values ^ s), bounds[some]) for s in seeds], axis=1)
+            kept = [batch.column(c).slice(a, b - a).take(pa.array(some)) for c in ("doc_id", "text", "toxic")]
+            key = pa.array(values[bounds[some]].view(np.int64))
+            lists = list_array(marks.ravel().view(np.int64), np.arange(len(some) + 1) * MARKS, pa.int64())
+            yield pa.RecordBatch.from_arrays([*kept, key, lists], ["doc_id", "text", "toxic", "key", "marks"])
+
+
+def _unlike(group: pa.Table) -> pa.Table:
+    """Of rows of one class with one smallest shingle: those that aren't near copies of a kept one before them, by id.
+
+    Near copies agree in 11 or more of 16 minima.  Texts that share no more than a header stay apart.
+    """
+    group = group.sort_by("doc_id")
+    flat, _ = list_values(group.column("marks"))
+    marks, kept = flat.reshape(-1, MARKS), []
+    for i, row in enumerate(marks):
+        if not kept or (marks[kept] == row).sum(axis=1).max() < 11:
+            kept.append(i)
+    return group.take(pa.array(kept)).select(["text", "toxic"])
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,20 +247,18 @@ def choose_terms(rows: list[tuple[str, bool, int]]) -> tuple[list[str], list[str
     """
     words = {t: n for t, stem, n in rows if not stem}
     stems = {t: n for t, stem, n in rows if stem}
-    for t in sorted(stems, key=len):
-        longer = [u for u in stems if len(u) == len(t) + 1 and u.startswith(t)]
-        if any(stems[u] >= 0.9 * stems[t] for u in longer):
-            del stems[t]
-        else:
-            for u in [u for u in stems if len(u) > len(t) and u.startswith(t)]:
-                del stems[u]
-    for t in list(stems):
-        best = max((n for w, n in words.items() if w.startswith(t)), default=0)
-        if stems[t] < 1.2 * best:
-            del stems[t]
-    words = {w: n for w, n in words.items() if not any(w.startswith(t) for t in stems)}
-    ranked = sorted([(n, t, True) for t, n in stems.items()] + [(n, t, False) for t, n in words.items()], key=lambda x: (-x[0], x[1]))[:MOST_TERMS]
-    return sorted(t for _, t, s in ranked if not s), sorted(t for _, t, s in ranked if s)
+    heads = lambda t, most: [t[:n] for n in STEM_LETTERS if n <= most]
+    longest: dict[str, int] = {}  # documents of the most frequent stem that is one letter longer
+    for t, n in stems.items():
+        longest[t[:-1]] = max(n, longest.get(t[:-1], 0))
+    stems = {t: n for t, n in stems.items() if longest.get(t, 0) < 0.9 * n}
+    stems = {t: n for t, n in stems.items() if not any(u in stems for u in heads(t, len(t) - 1))}
+    best: dict[str, int] = {}
+    for w, n in words.items():
+        for t in heads(w, len(w)):
+            best[t] = max(n, best.get(t, 0))
+    stems = {t: n for t, n in stems.items() if n >= 1.2 * best.get(t, 0)}
+    return sorted(w for w in words if not any(t in stems for t in heads(w, len(w)))), sorted(stems)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
@@ -240,23 +272,26 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), bounded to SAMPLE_ROWS rows of each class.
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), bounded to ``sample_rows`` ids of each class.
 
-    The rows are those with the smallest hashes of their ids, so the sample is
-    the same whatever the partitioning; of rows of one class with the same
-    smallest shingle only the one with the smallest id is kept, lest the words of a
-    copied document pass for telling ones.  Without rows of both classes the
-    lexicon is empty and every score is the share of toxic labels (0.01 without any).
+    The ids are those with the smallest hashes, so the sample is the same
+    whatever the partitioning; near copies within a class count once, lest the
+    words of a copied document pass for telling ones, and texts without words
+    don't count.  A term (a word, or the first 4 to 6 letters of words) is telling if
+    LEAST_TOXIC toxic texts have it and its share among toxic texts, with half
+    a text more on either side, is LEAST_RATIO times that among others; with as
+    many texts of both classes that is 12 to none.  All telling terms are kept.
+    Without rows of both classes the lexicon is empty and every score is the
+    share of toxic labels (0.01 without any).
     """
-    spark = docs.sparkSession
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS) for c in (1, 0)]
+    sample = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for c in (1, 0)]
     chosen = materialise(sample[0].unionByName(sample[1]), "labelled")
-    rows = docs.filter("text is not null").join(F.broadcast(chosen), "doc_id")  # at most 2 * SAMPLE_ROWS rows
+    rows = docs.filter("text is not null").join(F.broadcast(chosen), "doc_id")  # at most 2 * sample_rows rows
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    rows = rows.mapInArrow(tidy(_with_key), "doc_id long, text string, toxic int, key long")
-    rows = materialise(rows.groupBy("toxic", "key").agg(F.min_by("text", "doc_id").alias("text")), "labelled")
+    rows = rows.mapInArrow(tidy(_with_key), "doc_id long, text string, toxic int, key long, marks array<long>")
+    rows = materialise(rows.groupBy("toxic", "key").applyInArrow(_unlike, "text string, toxic int"), "labelled")
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
@@ -264,10 +299,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model([], [], np.append(np.log(share / (1 - share)), np.zeros(len(FEATURES))))
     counted = rows.mapInArrow(tidy(_terms), "term string, is_stem boolean, toxic long, plain long")
     counted = counted.groupBy("term", "is_stem").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-    least = max(5, n1 // 200)
-    telling = counted.filter((F.col("toxic") >= least) & ((F.col("toxic") + 0.5) / (n1 + 1) >= 25 * (F.col("plain") + 0.5) / (n0 + 1)))
-    top = telling.orderBy(F.desc("toxic"), "term", "is_stem").limit(20 * MOST_TERMS).collect()
-    words, stems = choose_terms([(r.term, r.is_stem, r.toxic) for r in top])
+    telling = counted.filter((F.col("toxic") >= LEAST_TOXIC) & ((F.col("toxic") + 0.5) / (n1 + 1) >= LEAST_RATIO * (F.col("plain") + 0.5) / (n0 + 1)))
+    words, stems = choose_terms([(r.term, r.is_stem, r.toxic) for r in telling.collect()])  # of the sample's words only
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(words, stems)
@@ -275,40 +308,56 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             x = [scorer.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic")], ["x", "toxic"])
 
-    found = rows.selectExpr("text", "cast(toxic as int) as toxic").mapInArrow(tidy(measure), "x array<double>, toxic int").collect()
+    found = rows.select("text", "toxic").mapInArrow(tidy(measure), "x array<double>, toxic int").collect()
     return Model(words, stems, fit_logistic(np.array([r.x for r in found]), np.array([r.toxic for r in found], float)))
 
 
-def _score(model):
+def _score(model, text: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         scorer = _scorer(m.words, m.stems)
         for batch in batches:
-            _, off = text_buffer(batch.column("text"))
-            texts = pc.fill_null(batch.column("text"), "")
+            column = field(batch, text)
+            _, off = text_buffer(column)
+            texts = pc.fill_null(column, "")
             for a, b in chunks(off, 1 << 22):
                 x = np.array([scorer.features(t) for t in texts.slice(a, b - a).to_pylist()])
                 score = 1 / (1 + np.exp(-np.clip(m.weights[0] + x @ m.weights[1:], -30, 30)))
-                kept = [batch.column(c).slice(a, b - a) for c in ("doc_id", "held_out")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+                kept = [batch.column(c).slice(a, b - a) for c in keep]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, hold_out: tuple[int, int] = (5, 0), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _taught(docs: DataFrame, labels: DataFrame, hold_out: tuple[int, int], sample_rows: int, id_col: str, text_col: str):
+    """(the model's broadcast, whether a row is held out)."""
+    mod, rest = hold_out
+    held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % mod == rest, F.lit(True))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    known = known.filter(F.crc32(F.col("doc_id").cast("string")) % mod != rest)
+    return docs.sparkSession.sparkContext.broadcast(fit(rows, known, sample_rows)), held
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, hold_out: tuple[int, int] = (5, 0), sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, score (0 to 1), predicted (score >= 0.5).
 
     ``labels`` has the ids and ``toxic`` (0 or 1; other values and nulls are no
     label, of several labels of an id the largest counts).  Only ids whose
-    crc32 as text mod ``hold_out[0]`` is not ``hold_out[1]`` are learnt from; a
-    row with a null id counts as held out.  A null or empty text scores as a
-    text without hits.  Ids may repeat; other columns are ignored; an empty
-    table gives no rows.
+    crc32 as text mod ``hold_out[0]`` is not ``hold_out[1]`` are learnt from,
+    and of these at most ``sample_rows`` of each class, chosen by a hash of the
+    id and, where hashes tie, the id; a row with a null id counts as held out,
+    and of several texts of an id the first in order is learnt from.  A null or
+    empty text scores as a text without hits.  Texts are scored whole, a very
+    long one by one task that holds it in memory as words.  Ids may repeat; other
+    columns are ignored; an empty table gives no rows.
     """
-    mod, rest = hold_out
-    held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % mod == rest, F.lit(True))
+    model, held = _taught(docs, labels, hold_out, sample_rows, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held_out"))
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    known = known.filter(F.crc32(F.col("doc_id").cast("string")) % mod != rest)
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows.select("doc_id", "text"), known))
-    return rows.mapInArrow(tidy(_score(model)), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(_score(model, "text", ["doc_id", "held_out"])), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, hold_out: tuple[int, int] = (5, 0), sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`score_toxicity` doesn't predict to be toxic, each judged by its own text."""
+    model, _ = _taught(docs, labels, hold_out, sample_rows, id_col, text_col)
+    return annotate(docs, _score(model, text_col, ["row"]), [text_col], "score double, predicted int").filter("predicted = 0").select("row.*")

@@ -25,12 +25,13 @@ def shingles(text: str | None) -> frozenset:
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
 
 
-def components(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
-    """doc_id -> (set size, smallest linked id); all pairs that share a shingle are tried."""
+def component_rows(rows: list[tuple[int | None, str | None]]) -> list[tuple[int | None, int, int | None]]:
+    """(doc_id, set size, smallest linked id) of each row; all pairs that share a shingle are tried."""
+    last = 1 << 63
     lowest: dict[frozenset, int] = {}
     for doc_id, text in rows:
         s = shingles(text)
-        lowest[s] = min(doc_id, lowest.get(s, doc_id))
+        lowest[s] = min(last if doc_id is None else doc_id, lowest.get(s, last))
     sets = [s for s in lowest if s]
     root = list(range(len(sets)))
 
@@ -51,9 +52,18 @@ def components(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]
                 root[find(i)] = find(j)
     least: dict[int, int] = {}
     for i, s in enumerate(sets):
-        least[find(i)] = min(lowest[s], least.get(find(i), lowest[s]))
+        least[find(i)] = min(lowest[s], least.get(find(i), last))
     which = {s: least[find(i)] for i, s in enumerate(sets)}
-    return {doc_id: (len(shingles(text)), which.get(shingles(text), doc_id)) for doc_id, text in rows}
+    out = []
+    for doc_id, text in rows:
+        c = which.get(shingles(text), doc_id)
+        out.append((doc_id, len(shingles(text)), None if c == last else c))
+    return out
+
+
+def components(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
+    """doc_id -> (set size, smallest linked id), of rows whose ids differ or repeat with equal texts."""
+    return {i: (n, c) for i, n, c in component_rows(rows)}
 
 
 def hash_long(value: int, seed: int) -> int:
@@ -81,10 +91,10 @@ def simhash(items: list[int]) -> int:
     return sum(1 << b for b in range(64) if sum(1 if x >> b & 1 else -1 for x in items) > 0)
 
 
-def leaks(docs, items, percent: int, radius: int) -> tuple[dict, set]:
-    """({(doc_id, item_id): best similarity}, the same pairs without the fingerprint test) over all windows of each document."""
+def leaks(docs, items, percent: int, radius: int) -> tuple[dict, dict]:
+    """{(doc_id, item_id): best similarity} over all windows of each document: those with a fingerprint in the radius, and all."""
     wanted = [(i, ys := shingle_hashes(t), Counter(ys), simhash(ys)) for i, t in items if len(words(t)) >= 5]
-    near, every = {}, set()
+    near, every = {}, {}
     for doc_id, text in docs:
         xs = shingle_hashes(text)
         for item, ys, weights, fp in wanted:
@@ -94,7 +104,7 @@ def leaks(docs, items, percent: int, radius: int) -> tuple[dict, set]:
                 w = xs[max(first, 0) : first + len(ys)]
                 c = sum((Counter(w) & weights).values())
                 if c * 100 >= (len(w) + len(ys) - c) * percent:
-                    every.add((doc_id, item))
+                    every[doc_id, item] = max(every.get((doc_id, item), 0), c / (len(w) + len(ys) - c))
                     if (simhash(w) ^ fp).bit_count() <= radius:
                         near[doc_id, item] = max(near.get((doc_id, item), 0), c / (len(w) + len(ys) - c))
     return near, every

@@ -1,15 +1,18 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
-from conftest import table_of
+from conftest import sentence, table_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import ngram_join, partenum
+from tessera.llm.arrowkit import list_array
 from tessera.llm.components import connected_components
 
 
@@ -46,21 +49,74 @@ def test_large_groups_equal_brute_force(spark):
     assert result(ngram_join.jaccard_components(table_of(spark, [(*r, None, None) for r in rows]).repartition(5))) == brute.components(rows)
 
 
-def test_odd_rows(odd, odd_rows, nothing):
-    got = ngram_join.jaccard_components(odd)
-    assert got.count() == len(odd_rows)
-    rows = [(i, t) for i, t, *_ in odd_rows if i is not None]
-    assert result(got.filter("doc_id is not null")) == brute.components(rows)
-    assert all(r.component_id is None for r in got.filter("doc_id is null").collect())
-    assert ngram_join.jaccard_components(nothing).collect() == []
+def all_rows(df):
+    return Counter((r.doc_id, r.n_shingles, r.component_id) for r in df.collect())
 
 
-def test_one_of_each_keeps_columns_and_null_ids(odd, odd_rows):
+def test_odd_rows(odd, odd_rows, nothing):
+    assert all_rows(ngram_join.jaccard_components(odd)) == Counter(brute.component_rows([r[:2] for r in odd_rows]))
+    assert ngram_join.jaccard_components(nothing).collect() == []
+    assert ngram_join.one_of_each(nothing).collect() == []
+
+
+def repeated_ids():
+    """Ids that repeat with other texts, and several null ids, each text with a near copy under another id."""
+    rng = random.Random(9)
+    rows = []
+    for n in range(120):
+        text = sentence(rng, 60)
+        rows += [(None if n % 6 == 0 else n % 40, text), (1000 + n % 7 if n % 3 else None, text + " end")]
+    return rows + [(5, rows[0][1]), (5, rows[0][1]), (None, None), (None, ""), (7, ""), (7, "")]
+
+
+def test_ids_that_repeat_with_other_texts_and_null_ids(spark):
+    rows = repeated_ids()
+    df = table_of(spark, [(*r, None, None) for r in rows]).repartition(5)
+    expected = brute.component_rows(rows)
+    assert all_rows(ngram_join.jaccard_components(df)) == Counter(expected)
+    kept = Counter((r.doc_id, r.text) for r in ngram_join.one_of_each(df).collect())
+    wordless = Counter(r for r in rows if not brute.words(r[1]))
+    assert {r: n for r, n in kept.items() if r in wordless} == wordless
+    classes = {frozenset(brute.shingles(t)): None for _, t in rows if brute.words(t)}
+    assert all(n == 1 for r, n in kept.items() if r not in wordless)
+    singles = [brute.shingles(t) for _, t in kept if brute.words(t)]
+    assert len(singles) == 120 and all(s in classes for s in singles)  # of each text and its near copy exactly one stays
+    assert all(100 * len(a & b) < 75 * len(a | b) for k, a in enumerate(singles) for b in singles[:k])
+
+
+def test_one_of_each_keeps_columns_and_smallest_ids(odd, odd_rows):
     kept = ngram_join.one_of_each(odd)
     assert kept.columns == odd.columns
-    ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
-    assert ids == sorted({c for _, c in brute.components([(i, t) for i, t, *_ in odd_rows if i is not None]).values()})
-    assert kept.filter("doc_id is null").count() == 2
+    wordless = [i for i, t, *_ in odd_rows if not brute.words(t)]
+    expected = {c for i, n, c in brute.component_rows([r[:2] for r in odd_rows]) if n}
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([*expected, *wordless])
+
+
+def test_a_hub_meets_its_partners_in_chunks(spark):
+    """One set with many near copies that are no near copies of each other: each link is found."""
+    rng = random.Random(21)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(0, " ".join(base))]
+    for n in range(1, 90):
+        own, at = list(base), rng.randrange(0, 96)
+        own[at : at + 12] = [f"x{n}_{j}" for j in range(12)]
+        rows.append((n, " ".join(own)))
+    got = all_rows(ngram_join.jaccard_components(table_of(spark, [(*r, None, None) for r in rows]).repartition(4)))
+    assert got == Counter(brute.component_rows(rows)) and {c for _, _, c in got} == {0}
+
+
+def test_a_bucket_s_pairs_leave_in_batches(monkeypatch):
+    monkeypatch.setattr(ngram_join, "PAIR_ROWS", 500)
+    n = 200
+    same = ngram_join.parity(np.arange(1, 40, dtype=np.uint64) << np.uint64(40))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1] * n), pa.array(range(n)), pa.array(range(n)), pa.array([39] * n), list_array(np.tile(same, n), np.arange(n + 1) * len(same), pa.int64())],
+        ["bucket", "node", "comp", "n_shingles", "parity"],
+    )
+    out = list(ngram_join._bucket_pairs(True)(iter([batch])))
+    assert sum(b.num_rows for b in out) == n * (n - 1) // 2 and max(b.num_rows for b in out) < 500 + n
+    forest = list(ngram_join._bucket_pairs(False)(iter([batch])))
+    assert sum(b.num_rows for b in forest) == n - 1 + 1  # a star, and the bucket that the last round has to see
 
 
 @settings(max_examples=150, deadline=None)
