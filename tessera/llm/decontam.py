@@ -1,16 +1,27 @@
 """Benchmark decontamination by SimHash windows, in DataFrame operations only.
 
-Windows are as long as the benchmark items.  All windows that hold one of an
-item's anchor shingles at any place are looked at, and no others: of an item's m shingles, any window with
-similarity t or more holds at least one of m - ceil(t * m) + 1 fixed ones, so
-the others can't match.  Each that is similar to the anchor's item gets a 64-bit SimHash; its bits are cut into radius + 1
-blocks, and a window meets the items of its length with which it has an equal
-block, which are all items within the radius.  Those pairs are verified by the
-weighted Jaccard similarity of their shingles (weight: multiplicity).
+1. Windows.  A window is as long as a benchmark text.  Of a text's m shingles,
+   any window with similarity t or more holds at least one of m - ceil(t * m) + 1
+   fixed ones, its anchors (the rarest of the benchmark).  So the windows that
+   hold an anchor, at whatever place, are all windows that can match.
+2. Fingerprints.  Each of these windows gets a 64-bit SimHash.  It is cut into
+   four blocks of 16 bits, and every benchmark text is listed under all block
+   values up to ``radius`` / 4 bits from its own; so a window meets, by equal
+   values, all texts of its length within the radius, and few others: 0.8 % of
+   unlike texts at radius 11.
+3. Check.  Pairs within the radius are verified by the weighted Jaccard
+   similarity of their shingles (weight: multiplicity).  A window and the text
+   whose anchor it holds are verified too if they lie beyond the radius: at
+   similarity 0.75 the expected distance is 11 bits, so no radius that still
+   selects reaches all.
+
+Ids and fingerprints alone go through the join; shingles are fetched last.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +29,10 @@ from tessera.llm.shared import materialise
 
 SHINGLE = 5
 SIMILARITY_PERCENT = 75
-RADIUS = 20
+BLOCKS = 4
+RADIUS = 11
 BROADCAST_ANCHORS = 100_000
+BROADCAST_LEAKS = 1_000_000
 
 
 def shingle_hashes(text: str) -> Column:
@@ -31,16 +44,27 @@ def shingle_hashes(text: str) -> Column:
 
 
 def simhash(items: str) -> Column:
-    """64-bit SimHash of an array of hashes."""
-    votes = f"aggregate({items}, 0, (c, h) -> c + if((shiftright(h, b) & 1) = 1, 1, -1))"
-    return F.expr(f"aggregate(sequence(0, 63), 0L, (fp, b) -> fp | if({votes} > 0, shiftleft(1L, b), 0L))")
+    """64-bit SimHash of an array of hashes: bit b is set if more than half of them have it.
+
+    Bits are counted several at a time, in lanes of a long wide enough for the array's size.
+    """
+
+    def by_lanes(width: int) -> str:
+        ones = sum(1 << at for at in range(0, 64, width))
+        sums = ", ".join(f"aggregate({items}, 0L, (c, h) -> c + (shiftrightunsigned(h, {k}) & {ones}L))" for k in range(width))
+        votes = f"2 * (shiftrightunsigned(c[b % {width}], b - b % {width}) & {(1 << width) - 1}L)"
+        return f"get(transform(array(array({sums})), c -> aggregate(sequence(0, 63), 0L, (fp, b) -> fp | if({votes} > size({items}), shiftleft(1L, b), 0L))), 0)"
+
+    # The highest lane's count stays below half its range, lest the sum overflow.
+    return F.expr(f"case when size({items}) < 128 then {by_lanes(8)} when size({items}) < 32768 then {by_lanes(16)} else {by_lanes(32)} end")
 
 
-def blocks(fingerprint: str, radius: int) -> Column:
-    """The fingerprint's radius + 1 blocks as (block, value); two within the radius have one in common."""
-    cuts = [64 * j // (radius + 1) for j in range(radius + 2)]
-    cut = lambda a, b: F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1))
-    return F.array(*(F.struct(F.lit(j).alias("block"), cut(a, b).alias("value")) for j, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))))
+def block_values(fingerprint: str, bits: int = 0) -> Column:
+    """Array of (block, value): the values of each 16-bit block of a fingerprint up to ``bits`` bits away."""
+    masks = [sum(1 << b for b in chosen) for n in range(bits + 1) for chosen in combinations(range(16), n)]
+    listed = f"array({', '.join(map(str, masks))})"
+    value = f"cast(shiftrightunsigned({fingerprint}, 16 * b) & 65535L as int)"
+    return F.expr(f"flatten(transform(sequence(0, {BLOCKS - 1}), b -> transform({listed}, x -> struct(b as block, {value} ^ x as value))))")
 
 
 def _common(a: str, b: str) -> Column:
@@ -56,6 +80,69 @@ def _similar(pairs: DataFrame, percent: int) -> DataFrame:
     return counted.filter(F.col("c") * 100 >= F.col("u") * percent)
 
 
+def _benchmark_texts(benchmark: DataFrame, text_col: str, item_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows (item_id, item), rows (item, m, ys, ifp)): ids may repeat or be null, and a repeated text is one."""
+    listed = benchmark.select(F.col(item_col).alias("item_id"), shingle_hashes(text_col).alias("ys")).filter("ys is not null")
+    listed = listed.withColumns({"item": F.xxhash64("ys"), "m": F.size("ys")})
+    texts = listed.dropDuplicates(["item"]).select("item", "m", "ys", simhash("ys").alias("ifp"))
+    return listed.select("item_id", "item").distinct(), materialise(texts, "items")
+
+
+def _anchors(texts: DataFrame, percent: int) -> DataFrame:
+    """Rows (h, texts): the texts that have an anchor with hash h, ranked per text by rarity in the benchmark."""
+    places = texts.select("item", "m", F.posexplode("ys").alias("at", "h"))
+    rarity = places.groupBy("h").agg(F.countDistinct("item").alias("df"))
+    ranked = places.join(rarity, "h").groupBy("item", "m").agg(F.array_sort(F.collect_list(F.struct("df", "h", "at"))).alias("a"))
+    need = F.expr(f"m - cast(ceil(m * {percent} / 100D) as int) + 1")
+    anchors = ranked.select("m", "item", F.explode(F.slice("a", F.lit(1), need)).alias("x")).select("m", "item", "x.h").distinct()
+    return materialise(anchors.groupBy("h").agg(F.collect_list(F.struct("m", "item")).alias("texts")), "anchors")
+
+
+def _matches(rows: DataFrame, keys: list[str], texts: DataFrame, percent: int, radius: int) -> DataFrame:
+    """Rows (keys, item, first, c, u, near): each window of ``rows`` (keys, xs) that is similar to a benchmark text.
+
+    near: its fingerprint lies within ``radius``.  Rows with equal keys have equal xs.
+    """
+    anchors = _anchors(texts, percent)
+    least = f"cast(ceil(m * {percent} / 100D) as int)"
+    if anchors.count() <= BROADCAST_ANCHORS:
+        # outer: the filter that Spark derives for an inner explode would compute the shingles twice
+        hits = rows.select(*keys, "xs", F.posexplode_outer("xs").alias("pos", "h")).join(F.broadcast(anchors), "h")
+        placed = hits.select(*keys, "xs", "pos", F.inline("texts")).filter(f"size(xs) >= {least}")
+        held = placed.groupBy(*keys, "item", "m").agg(F.first("xs").alias("xs"), F.collect_set("pos").alias("places"))
+    else:
+        met = rows.select(*keys, F.size("xs").alias("n"), F.posexplode("xs").alias("pos", "h")).join(anchors, "h")
+        met = met.select(*keys, "n", "pos", F.inline("texts")).filter(f"n >= {least}").groupBy(*keys, "item", "m").agg(F.collect_set("pos").alias("places"))
+        held = _fetch(met, rows, keys)
+    held = materialise(held, "held")
+
+    # Every start at which a window of length m holds an anchor; windows cut to less than percent of m can't match.
+    starts = F.expr(f"explode(array_distinct(flatten(transform(places, pos -> sequence(greatest(pos - m + 1, {least} - m), least(pos, size(xs) - {least}))))))")
+    inside = F.expr("slice(xs, greatest(first, 0) + 1, greatest(m + least(first, 0), 1))")
+    windows = held.select(*keys, "item", "m", "xs", starts.alias("first")).withColumn("xs", inside)
+    printed = windows.withColumn("fp", simhash("xs")).join(texts.select("item", "ifp"), "item")
+    apart = F.bit_count(F.expr("fp ^ ifp"))
+    printed = materialise(printed.select(*keys, "item", "m", "first", "fp", (apart > radius).alias("beyond")), "windows")
+
+    one = printed.select(*keys, "m", "first", "fp").distinct()
+    left = one.withColumn("b", F.explode(block_values("fp"))).select("*", "b.*").drop("b")
+    right = texts.select("item", "m", "ifp", F.explode(block_values("ifp", radius // BLOCKS)).alias("b")).select("item", "m", "ifp", "b.*")
+    near = left.join(right, ["m", "block", "value"]).filter(apart <= radius).select(*keys, "m", "first", "item", F.lit(True).alias("near")).distinct()
+    found = near.unionByName(printed.filter("beyond").select(*keys, "m", "first", "item", F.lit(False).alias("near")))
+    some = held.dropDuplicates(keys).select(*keys, "xs")
+    full = _fetch(found, some, keys).withColumn("xs", inside).join(texts.select("item", "ys"), "item")
+    return _similar(full, percent).select(*keys, "item", F.greatest("first", F.lit(0)).alias("first"), "c", "u", "near")
+
+
+def _fetch(found: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``found`` with the xs of its keys, of which any but the last may be null."""
+    other = rows.select(*(F.col(k).alias(f"_{k}") for k in keys), "xs").dropDuplicates([f"_{k}" for k in keys])
+    same = F.col(keys[-1]) == F.col(f"_{keys[-1]}")
+    for k in keys[:-1]:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return found.join(other, same).drop(*(f"_{k}" for k in keys))
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -65,60 +152,39 @@ def find_leaks(
     text_col: str = "text",
     item_col: str = "item_id",
 ) -> DataFrame:
-    """One row per document and item found in it: doc_id, item_id, first_shingle, n_windows, similarity.
+    """One row per document and item found in it: doc_id, item_id, first_shingle, n_windows, n_near, similarity.
 
     Texts are lower-cased and cut at U+0020 and U+0009..U+000D.  A match is a
     window of a document as long as the item (cut where the document begins or
-    ends), wherever it holds one of the item's anchor shingles, whose SimHash lies within ``radius`` bits of the item's and whose weighted Jaccard
-    similarity of 5-word shingles is at least ``percent`` / 100; the row has the
-    best one, the first of equals, and n_windows counts all.  Null and empty texts and those of fewer
-    than five words match nothing, on either side.  Rows that repeat an id count as one document or item, as do rows
-    with a null id, but each text of an item is looked for by itself and repeated ones count once; other columns are ignored; an empty table gives no rows.
+    ends), whose weighted Jaccard similarity of 5-word shingles with the item is
+    at least ``percent`` / 100; the row has the best one, the first of equals.
+    n_windows counts all of them, n_near those whose SimHash lies within
+    ``radius`` bits of the item's.  Null and empty texts and those of fewer than
+    five words match nothing, on either side.  Rows that repeat an id count as
+    one document or item, as do rows with a null id, but each text is looked at
+    by itself, and repeated ones count once.  Other columns are ignored; an
+    empty table gives no rows.  Texts are looked at whole; a very long one is
+    an array of its shingles in one row, at 8 bytes a word and a few copies.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), shingle_hashes(text_col).alias("ys")).filter("ys is not null").distinct()
-    items = materialise(items.withColumn("m", F.size("ys")).withColumn("ifp", simhash("ys")), "items")
-    # Anchors are ranked per text: ids may repeat or be null, and a repeated text is one.
-    texts = items.select(F.xxhash64("ys").alias("item"), "m", "ys").dropDuplicates(["item"])
-    places = texts.select("item", "m", F.posexplode("ys").alias("at", "h"))
-    rarity = places.groupBy("h").agg(F.countDistinct("item").alias("df"))
-    ranked = places.join(rarity, "h").groupBy("item", "m").agg(F.array_sort(F.collect_list(F.struct("df", "h", "at"))).alias("a"))
-    need = F.expr(f"m - cast(ceil(m * {percent} / 100D) as int) + 1")
-    anchors = ranked.select("m", "item", F.explode(F.slice("a", F.lit(1), need)).alias("x")).select("m", "item", "x.h").distinct()
-    anchors = materialise(anchors.groupBy("h").agg(F.collect_list(F.struct("m", "item")).alias("texts")), "anchors")
-
-    # Every start at which a window of length m holds the anchor at pos; windows cut to less than percent of m can't match.
-    least = f"cast(ceil(m * {percent} / 100D) as int)"
-    starts = f"explode(sequence(greatest(pos - m + 1, {least} - m), least(pos, n - {least}))) as first"
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), shingle_hashes(text_col).alias("xs"))
-    if anchors.count() <= BROADCAST_ANCHORS:
-        # outer: the filter that Spark derives for an inner explode would compute the shingles twice
-        hits = rows.select("doc_id", "xs", F.posexplode_outer("xs").alias("pos", "h")).join(F.broadcast(anchors), "h")
-        placed = hits.select("doc_id", "xs", F.size("xs").alias("n"), "pos", F.inline("texts"))
-        placed = placed.filter(f"n >= {least}").selectExpr("doc_id", "xs", "m", "item", starts)
-    else:
-        keyed = rows.withColumn("key", F.xxhash64("xs"))
-        met = keyed.select(F.col("doc_id").alias("id"), F.col("key").alias("text_key"), F.size("xs").alias("n"), F.posexplode("xs").alias("pos", "h")).join(anchors, "h")
-        met = met.select("id", "text_key", "n", "pos", F.inline("texts")).filter(f"n >= {least}").selectExpr("id", "text_key", "m", "item", starts).distinct()
-        placed = met.join(keyed, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("key"))).select("doc_id", "xs", "m", "item", "first")
-    inside = F.slice("xs", F.greatest("first", F.lit(0)) + 1, F.greatest(F.col("m") + F.least("first", F.lit(0)), F.lit(1)))
-    tried = placed.select("doc_id", F.greatest("first", F.lit(0)).alias("first"), "m", "item", inside.alias("xs")).distinct()
-    # A fingerprint costs far more than a comparison, so only windows similar to the anchor's text get one.
-    alike = _similar(tried.join(texts.select("item", "ys"), "item"), percent)
-    windows = alike.select("doc_id", "first", "m", "xs").distinct().withColumn("fp", simhash("xs"))
-
-    left = windows.withColumn("b", F.explode(blocks("fp", radius))).select("*", "b.*").drop("b")
-    right = items.withColumn("b", F.explode(blocks("ifp", radius))).select("*", "b.*").drop("b")
-    same = left.join(right, ["m", "block", "value"])
-    near = same.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
-    # A pair is verified at its first equal block only, so it needs no distinct.
-    lower = F.expr("true") & ~F.exists(F.sequence(F.lit(0), F.lit(radius)), lambda j: (j < F.col("block")) & (F.get(blocks("fp", radius), j) == F.get(blocks("ifp", radius), j)))
-    found = _similar(near.filter(lower), percent).withColumn("similarity", F.col("c") / F.col("u"))
+    listed, texts = _benchmark_texts(benchmark, text_col, item_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), shingle_hashes(text_col).alias("xs")).withColumn("text_key", F.xxhash64("xs"))
+    found = _matches(rows, ["doc_id", "text_key"], texts, percent, radius).join(listed, "item").distinct()
+    found = found.withColumn("similarity", F.col("c") / F.col("u"))
     best = F.min_by("first", F.struct(-F.col("similarity"), "first")).alias("first_shingle")
-    return found.groupBy("doc_id", "item_id").agg(best, F.count("*").alias("n_windows"), F.max("similarity").alias("similarity"))
+    return found.groupBy("doc_id", "item_id").agg(best, F.count("*").alias("n_windows"), F.count_if("near").alias("n_near"), F.max("similarity").alias("similarity"))
+
 
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, percent: int = SIMILARITY_PERCENT, radius: int = RADIUS, text_col: str = "text", item_col: str = "item_id"
+) -> DataFrame:
+    """The rows of ``docs`` in whose text :func:`find_leaks` finds no benchmark item, whatever their ids.
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is found; a row with a null id stays unless a row with a null id has one."""
-    found = find_leaks(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["_leak"]), "left_anti")
+    Texts with a leak are known by hash and length.  Up to BROADCAST_LEAKS of
+    them are broadcast, so the rows stay where they are; more are joined by shuffle.
+    """
+    _, texts = _benchmark_texts(benchmark, text_col, item_col)
+    known = {"text_hash": F.xxhash64(text_col), "text_length": F.length(text_col)}
+    rows = docs.select(shingle_hashes(text_col).alias("xs"), *(c.alias(n) for n, c in known.items()))
+    found = materialise(_matches(rows, [*known], texts, percent, radius).select(*known).distinct(), "leaks")
+    bad = F.broadcast(found) if found.count() <= BROADCAST_LEAKS else found
+    return docs.join(bad, (F.xxhash64(docs[text_col]) == bad["text_hash"]) & (F.length(docs[text_col]) == bad["text_length"]), "left_anti")
