@@ -1,12 +1,12 @@
 """Corpus pipeline: language, toxicity, near copies, benchmark passages, packing.
 
 Each stage takes what the one before kept, written as Parquet and read again.
+A row is judged by its own text, so ids may repeat or be null.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import decontam, langid, ngram_join, packing, toxicity
 from tessera.llm.queries import WORD_BPE, tokenizer_path
@@ -16,31 +16,28 @@ from tessera.llm.shared import materialise, table
 LANGUAGE_SCORE = 0.5
 
 
-def _keep(docs: DataFrame, judged: DataFrame, rejected: str) -> DataFrame:
-    """The rows of ``docs`` whose id has no judged row that meets ``rejected``."""
-    bad = judged.filter(rejected).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and texts whose language is not clear."""
-    return _keep(docs, langid.identify(docs), f"lang_pred = '{langid.UNKNOWN}' or score < {LANGUAGE_SCORE}")
+    """Drops texts without letters, nulls among them, and texts whose language is not clear."""
+    return langid.in_known_language(docs, LANGUAGE_SCORE)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")), "predicted = 1")
+    """Drops texts predicted to be toxic by a model of the labelled ones among ``docs``."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
+    """Keeps the document with the smallest id of each group of near copies, and all texts without words."""
     return ngram_join.one_of_each(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts with a passage similar to a benchmark item."""
     return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the tokens of all texts; one row a piece, a null text being its end id alone."""
     return packing.pack(docs, tokenizer_path(WORD_BPE))
 
 
