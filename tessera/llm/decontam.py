@@ -67,17 +67,18 @@ def block_values(fingerprint: str, bits: int = 0) -> Column:
     return F.expr(f"flatten(transform(sequence(0, {BLOCKS - 1}), b -> transform({listed}, x -> struct(b as block, {value} ^ x as value))))")
 
 
-def _common(a: str, b: str) -> Column:
-    """Size of the multiset intersection of two arrays."""
+def _common(a: str, b: str) -> str:
+    """SQL for the size of the multiset intersection of two arrays."""
     counted = f"aggregate(array_distinct({a}), 0, (c, h) -> c + least(size(filter({a}, x -> x = h)), size(filter({b}, x -> x = h))))"
     plain = f"size(array_distinct({a})) = size({a}) and size(array_distinct({b})) = size({b})"
-    return F.expr(f"if({plain}, size(array_intersect({a}, {b})), {counted})")
+    return f"if({plain}, size(array_intersect({a}, {b})), {counted})"
 
 
 def _similar(pairs: DataFrame, percent: int) -> DataFrame:
     """The rows whose weighted Jaccard similarity c / u of xs and ys is at least ``percent`` / 100."""
-    counted = pairs.withColumn("c", _common("xs", "ys")).withColumn("u", F.size("xs") + F.size("ys") - F.col("c"))
-    return counted.filter(F.col("c") * 100 >= F.col("u") * percent)
+    # As a generator the costly count is made once; a filter on a column would repeat it wherever it is used.
+    kept = f"inline(filter(array(named_struct('c', {_common('xs', 'ys')})), s -> s.c * 100 >= (size(xs) + size(ys) - s.c) * {percent}))"
+    return pairs.select("*", F.expr(kept)).withColumn("u", F.size("xs") + F.size("ys") - F.col("c"))
 
 
 def _benchmark_texts(benchmark: DataFrame, text_col: str, item_col: str) -> tuple[DataFrame, DataFrame]:
@@ -99,27 +100,26 @@ def _anchors(texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _matches(rows: DataFrame, keys: list[str], texts: DataFrame, percent: int, radius: int) -> DataFrame:
-    """Rows (keys, item, first, c, u, near): each window of ``rows`` (keys, xs) that is similar to a benchmark text.
+    """Rows (keys, item, first, c, u, near): each window of ``rows`` (keys, text) that is similar to a benchmark text.
 
-    near: its fingerprint lies within ``radius``.  Rows with equal keys have equal xs.
+    near: its fingerprint lies within ``radius``.  Rows with equal keys have equal texts.
     """
     anchors = _anchors(texts, percent)
     least = f"cast(ceil(m * {percent} / 100D) as int)"
-    if anchors.count() <= BROADCAST_ANCHORS:
-        # outer: the filter that Spark derives for an inner explode would compute the shingles twice
-        hits = rows.select(*keys, "xs", F.posexplode_outer("xs").alias("pos", "h")).join(F.broadcast(anchors), "h")
-        placed = hits.select(*keys, "xs", "pos", F.inline("texts")).filter(f"size(xs) >= {least}")
-        held = placed.groupBy(*keys, "item", "m").agg(F.first("xs").alias("xs"), F.collect_set("pos").alias("places"))
-    else:
-        met = rows.select(*keys, F.size("xs").alias("n"), F.posexplode("xs").alias("pos", "h")).join(anchors, "h")
-        met = met.select(*keys, "n", "pos", F.inline("texts")).filter(f"n >= {least}").groupBy(*keys, "item", "m").agg(F.collect_set("pos").alias("places"))
-        held = _fetch(met, rows, keys)
+    # The exploded rows hold a place and a hash only: with the array beside them a long text would cost its length squared.
+    # outer: the filter that Spark derives for an inner explode would compute the shingles twice
+    places = rows.select(*keys, F.posexplode_outer(shingle_hashes("text")).alias("pos", "h"))
+    hits = places.join(F.broadcast(anchors) if anchors.count() <= BROADCAST_ANCHORS else anchors, "h").select(*keys, "pos", F.inline("texts"))
+    met = materialise(hits.groupBy(*keys, "item", "m").agg(F.collect_set("pos").alias("places")), "met")
+    some = met.select(*keys).distinct()
+    some = F.broadcast(some) if met.count() <= BROADCAST_LEAKS else some
+    held = _beside(rows, some, keys, "left_semi").dropDuplicates(keys).select(*keys, shingle_hashes("text").alias("xs"))
     held = materialise(held, "held")
 
     # Every start at which a window of length m holds an anchor; windows cut to less than percent of m can't match.
     starts = F.expr(f"explode(array_distinct(flatten(transform(places, pos -> sequence(greatest(pos - m + 1, {least} - m), least(pos, size(xs) - {least}))))))")
     inside = F.expr("slice(xs, greatest(first, 0) + 1, greatest(m + least(first, 0), 1))")
-    windows = held.select(*keys, "item", "m", "xs", starts.alias("first")).withColumn("xs", inside)
+    windows = _beside(met, held, keys).filter(f"size(xs) >= {least}").select(*keys, "item", "m", "xs", starts.alias("first")).withColumn("xs", inside)
     printed = windows.withColumn("fp", simhash("xs")).join(texts.select("item", "ifp"), "item")
     apart = F.bit_count(F.expr("fp ^ ifp"))
     printed = materialise(printed.select(*keys, "item", "m", "first", "fp", (apart > radius).alias("beyond")), "windows")
@@ -129,18 +129,17 @@ def _matches(rows: DataFrame, keys: list[str], texts: DataFrame, percent: int, r
     right = texts.select("item", "m", "ifp", F.explode(block_values("ifp", radius // BLOCKS)).alias("b")).select("item", "m", "ifp", "b.*")
     near = left.join(right, ["m", "block", "value"]).filter(apart <= radius).select(*keys, "m", "first", "item", F.lit(True).alias("near")).distinct()
     found = near.unionByName(printed.filter("beyond").select(*keys, "m", "first", "item", F.lit(False).alias("near")))
-    some = held.dropDuplicates(keys).select(*keys, "xs")
-    full = _fetch(found, some, keys).withColumn("xs", inside).join(texts.select("item", "ys"), "item")
+    full = _beside(found, held, keys).withColumn("xs", inside).join(texts.select("item", "ys"), "item")
     return _similar(full, percent).select(*keys, "item", F.greatest("first", F.lit(0)).alias("first"), "c", "u", "near")
 
 
-def _fetch(found: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``found`` with the xs of its keys, of which any but the last may be null."""
-    other = rows.select(*(F.col(k).alias(f"_{k}") for k in keys), "xs").dropDuplicates([f"_{k}" for k in keys])
+def _beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right`` on keys, of which any but the last may be null."""
+    other = right.withColumnsRenamed({k: f"_{k}" for k in keys})
     same = F.col(keys[-1]) == F.col(f"_{keys[-1]}")
     for k in keys[:-1]:
         same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return found.join(other, same).drop(*(f"_{k}" for k in keys))
+    return left.join(other, same, how).drop(*(f"_{k}" for k in keys))
 
 
 def find_leaks(
@@ -167,7 +166,7 @@ def find_leaks(
     an array of its shingles in one row, at 8 bytes a word and a few copies.
     """
     listed, texts = _benchmark_texts(benchmark, text_col, item_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), shingle_hashes(text_col).alias("xs")).withColumn("text_key", F.xxhash64("xs"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     found = _matches(rows, ["doc_id", "text_key"], texts, percent, radius).join(listed, "item").distinct()
     found = found.withColumn("similarity", F.col("c") / F.col("u"))
     best = F.min_by("first", F.struct(-F.col("similarity"), "first")).alias("first_shingle")
@@ -184,7 +183,7 @@ def without_leaks(
     """
     _, texts = _benchmark_texts(benchmark, text_col, item_col)
     known = {"text_hash": F.xxhash64(text_col), "text_length": F.length(text_col)}
-    rows = docs.select(shingle_hashes(text_col).alias("xs"), *(c.alias(n) for n, c in known.items()))
+    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), *(c.alias(n) for n, c in known.items()))
     found = materialise(_matches(rows, [*known], texts, percent, radius).select(*known).distinct(), "leaks")
     bad = F.broadcast(found) if found.count() <= BROADCAST_LEAKS else found
     return docs.join(bad, (F.xxhash64(docs[text_col]) == bad["text_hash"]) & (F.length(docs[text_col]) == bad["text_length"]), "left_anti")
