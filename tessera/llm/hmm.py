@@ -6,36 +6,39 @@ Markov model, times that of each word within its class, (c + 1) / (C + V + 1)
 with c, C and V the counts of the word, of its class's tokens and of its class's
 distinct words in the training texts; unseen words of a class share one place.
 
-* Word counts cover all training tokens.  They never travel to the documents:
-  each task packs its (word, document, frequency) postings by word-hash range,
-  a range adds up its words' counts and sends back each document's part of the
-  sums that need them.
-* Baum-Welch rounds run over all training texts; a task returns expected
-  counts of fixed size, and these are added up across tasks.
+* Word counts cover all training tokens.  The most frequent words, at most
+  ``FREQUENT`` of them, are broadcast with their counts, and each text adds up
+  its own; only the rest of its words, none of which is frequent, is shuffled
+  to meet the counts.  So no word fills a task, however common it is.
+* Baum-Welch rounds run over all training texts, each as one sequence whatever
+  its length; a task returns expected counts of fixed size, and these are
+  added up across tasks.
 * Scores come from the scaled forward recursion over whole texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrowkit import list_array, list_values, tidy
-from tessera.llm.shared import materialise, parts
+from tessera.llm.shared import materialise
 from tessera.llm.wordhash import _LOWER, Words, chunks, mix, text_buffer
 
 CLASSES = 4096
 END = CLASSES
 STATES = 8
 ROUNDS = 4
-SEGMENT = 256
 SEEDS = 400
-POSTINGS = 1_500_000
+FREQUENT = 1 << 17
+HELD_WORDS = 2_000_000  # most distinct words that a task holds before it sends their counts on
+BLOCK = 256  # steps of a recursion that are in memory at once
+GROUP_ROWS, GROUP_WORDS, LONG = 1500, 400_000, 2048
 
 
 def word_classes(words: Words) -> np.ndarray:
@@ -48,143 +51,100 @@ def word_classes(words: Words) -> np.ndarray:
     return (mix(tail) % np.uint64(CLASSES)).astype(np.uint16)
 
 
-def _row_keys(batch: pa.RecordBatch, a: int, b: int, words: Words, hashes: np.ndarray) -> np.ndarray:
-    """A hash of id and words, so rows that share it have equal sums."""
-    ids = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False)[a:b].astype(np.uint64)
-    place = np.arange(len(hashes), dtype=np.uint64) - np.repeat(words.bounds[:-1], words.count).astype(np.uint64)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes + mix(place)), dtype=np.uint64)))
-    return mix(mix(ids) + total[words.bounds[1:]] - total[words.bounds[:-1]]).view(np.int64)
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (word, class, learnt, total): tokens of each word in the training texts and in all, of what the task has read."""
+    held: list[np.ndarray] = []
+    rows = 0
 
+    def merged() -> np.ndarray:
+        word, cls, learnt, total = np.concatenate(held, axis=1)
+        order = np.argsort(word, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(word[order]) != 0))
+        return np.stack([word[order][first], cls[order][first], np.add.reduceat(learnt[order], first), np.add.reduceat(total[order], first)])
+
+    def out(found: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, found.shape[1], 100_000):
+            columns = [pa.array(np.ascontiguousarray(c[a : a + 100_000])) for c in found]
+            yield pa.RecordBatch.from_arrays([columns[0], columns[1].cast(pa.int32()), *columns[2:]], ["word", "class", "learnt", "total"])
 
-def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = text_buffer(batch.column("text"))
+        trained = ~np.asarray(batch.column("held_out"))
         for a, b in chunks(off):
             words = Words(data[off[a] : off[b]], off[a : b + 1] - off[a])
-            raw = word_classes(words).astype("<u2").tobytes()
-            kept = [batch.column(c).slice(a, b - a) for c in ("doc_id", "held_out")]
-            symbols = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((2 * words.bounds).astype(np.int32).tobytes()), pa.py_buffer(raw)])
-            key = pa.array(_row_keys(batch, a, b, words, words.hashes()))
-            yield pa.RecordBatch.from_arrays([*kept, key, symbols], ["doc_id", "held_out", "key", "symbols"])
+            if not len(words):
+                continue
+            word, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+            learnt = np.bincount(inverse, weights=trained[a:b][words.doc], minlength=len(word)).astype(np.int64)
+            held.append(np.stack([word.view(np.int64), word_classes(words)[first].astype(np.int64), learnt, np.bincount(inverse)]))
+            rows += len(word)
+            if rows >= 2 * HELD_WORDS:
+                held = [merged()]
+                rows = held[0].shape[1]
+                if rows >= HELD_WORDS:
+                    yield from out(held[0])
+                    held, rows = [], 0
+    if held:
+        yield from out(merged())
+
+
+def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes ascending, their training counts) of the words found in any text at least so often that there are ``most`` or fewer."""
+    level = F.floor(8 * F.log2("total")).alias("level")
+    levels = sorted(counts.groupBy(level).agg(F.count("*").alias("n")).collect(), reverse=True)  # some hundreds
+    least, held = None, 0
+    for r in levels:
+        held += r.n
+        if held > most:
+            break
+        least = r.level
+    found = counts.filter(level >= least).select("word", "learnt").collect() if least is not None else []
+    words, learnt = np.array([r.word for r in found], np.int64).view(np.uint64), np.array([r.learnt for r in found], np.int64)
+    order = np.argsort(words)
+    return words[order], learnt[order]
 
 
-def _postings(ranges: int):
-    """Rows (part, flush, words, classes, docs_per_word, docs, freqs, keys, learn): postings of a run of documents for one range."""
+def _sequences(frequent):
+    """Rows (doc_id, held_out, symbols, n_tokens, sum_log, n_known, rare, times): what frequent words add, and the other words with how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        keys: list[np.ndarray] = []
-        learn: list[np.ndarray] = []
-        docs = total = flushes = 0
-
-        def flush() -> pa.RecordBatch:
-            h, cls, doc, freq = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(h, kind="stable")
-            h, cls, doc, freq = h[order], cls[order], doc[order], freq[order]
-            part = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-            word = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-            bounds = np.searchsorted(part, np.arange(ranges + 1))
-            words_at = np.searchsorted(word, bounds)
-            every, taught = np.concatenate(keys), np.concatenate(learn)
-            repeat = np.arange(ranges + 1) * len(every)
-            number = (TaskContext.get().partitionId() << 24) + flushes
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(range(ranges), pa.int32()),
-                    pa.array([number] * ranges, pa.int64()),
-                    list_array(h[word].view(np.int64), words_at, pa.int64()),
-                    list_array(cls[word].astype(np.int16), words_at, pa.int16()),
-                    list_array(np.diff(np.append(word, len(h))), words_at, pa.int32()),
-                    list_array(doc, bounds, pa.int32()),
-                    list_array(freq, bounds, pa.int32()),
-                    list_array(every, np.append(0, np.full(ranges, len(every))), pa.int64()),
-                    list_array(np.tile(taught, ranges), repeat, pa.int8()),
-                ],
-                ["part", "flush", "words", "classes", "per_word", "docs", "freqs", "keys", "learn"],
-            )
-
+        known, learnt = frequent.value
+        logs = np.log10(learnt + 1.0)
         for batch in batches:
             data, off = text_buffer(batch.column("text"))
-            trained = ~np.asarray(batch.column("held_out"))
             for a, b in chunks(off):
+                n = b - a
                 words = Words(data[off[a] : off[b]], off[a : b + 1] - off[a])
-                h, cls = words.hashes(), word_classes(words)
-                order = np.lexsort((h, words.doc))
-                sh, sd = h[order], words.doc[order]
-                first = np.flatnonzero(np.append(True, (sh[1:] != sh[:-1]) | (sd[1:] != sd[:-1]))) if len(sh) else np.zeros(0, np.int64)
-                held.append((sh[first], cls[order][first], sd[first] + docs, np.diff(np.append(first, len(sh)))))
-                keys.append(_row_keys(batch, a, b, words, h))
-                learn.append(trained[a:b].astype(np.int8))
-                docs, total = docs + b - a, total + len(first)
-                if total >= POSTINGS:
-                    yield flush()
-                    held, keys, learn, docs, total, flushes = [], [], [], 0, 0, flushes + 1
-        if docs:
-            yield flush()
+                h, doc = words.hashes(), words.doc
+                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                common = known[at] == h if len(known) else np.zeros(len(h), bool)
+                inside, of = at[common], doc[common]
+                sums = np.bincount(of, weights=logs[inside], minlength=n).astype(np.float64)
+                seen = np.bincount(of, weights=learnt[inside] > 0, minlength=n).astype(np.int64)
+                rare, owner = h[~common], doc[~common]
+                order = np.lexsort((rare, owner))
+                rare, owner = rare[order], owner[order]
+                first = np.flatnonzero(np.append(True, (np.diff(rare) != 0) | (np.diff(owner) != 0))) if len(rare) else np.zeros(0, np.int64)
+                bounds = np.searchsorted(owner[first], np.arange(n + 1))
+                raw = word_classes(words).astype("<u2").tobytes()
+                symbols = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * words.bounds).astype(np.int32).tobytes()), pa.py_buffer(raw)])
+                kept = [batch.column(c).slice(a, n) for c in ("doc_id", "held_out")]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *kept,
+                        symbols,
+                        pa.array(words.count.astype(np.int64) + 1),
+                        pa.array(sums),
+                        pa.array(seen),
+                        list_array(rare[first].view(np.int64), bounds, pa.int64()),
+                        list_array(np.diff(np.append(first, len(rare))), bounds, pa.int64()),
+                    ],
+                    ["doc_id", "held_out", "symbols", "n_tokens", "sum_log", "n_known", "rare", "times"],
+                )
 
     return run
 
 
-_POSTING_SCHEMA = "part int, flush long, words array<long>, classes array<short>, per_word array<int>, docs array<int>, freqs array<int>, keys array<long>, learn array<byte>"
-_SUM_SCHEMA = "flush long, sums array<double>, known array<int>, keys array<long>, class_tokens array<long>, class_words array<long>"
-
-
-def _add_counts(part: pa.Table) -> pa.Table:
-    """For one word range: each flush's document sums of log10(c + 1) and of known tokens; and the classes' totals."""
-    words, _ = list_values(part.column("words"))
-    classes, n_words = list_values(part.column("classes"))
-    per_word, _ = list_values(part.column("per_word"))
-    docs, n_posts = list_values(part.column("docs"))
-    freqs, _ = list_values(part.column("freqs"))
-    learn, n_docs = list_values(part.column("learn"))
-    keys, n_keys = list_values(part.column("keys"))
-    base = np.cumsum(n_docs) - n_docs
-    doc = docs + np.repeat(base, n_posts)
-    distinct, first, inverse = np.unique(words, return_index=True, return_inverse=True)
-    word = np.repeat(inverse, per_word)
-    count = np.bincount(word, weights=freqs * learn[doc].astype(np.int64), minlength=len(distinct)).astype(np.int64)
-    seen = count > 0
-    sums = np.bincount(doc, weights=freqs * np.log10(count + 1.0)[word], minlength=len(learn))
-    known = np.bincount(doc, weights=freqs * seen[word], minlength=len(learn)).astype(np.int32)
-    bounds = np.append(base, len(learn))
-    cls = classes[first].astype(np.int64)
-    tokens = np.bincount(cls, weights=count, minlength=CLASSES).astype(np.int64)
-    kinds = np.bincount(cls[seen], minlength=CLASSES)
-    n = len(base)
-    first_list = lambda x: list_array(x, np.append(0, np.full(n, CLASSES)), pa.int64())
-    return pa.table(
-        {
-            "flush": part.column("flush").combine_chunks(),
-            "sums": list_array(sums, bounds, pa.float64()),
-            "known": list_array(known, bounds, pa.int32()),
-            "keys": list_array(keys, np.append(0, np.cumsum(n_keys)), pa.int64()),
-            "class_tokens": first_list(tokens),
-            "class_words": first_list(kinds),
-        }
-    )
-
-
-def _add_flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, sum_log, n_known) of documents, from the ranges' parts, which come sorted by flush."""
-    held, number = None, None
-
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1]), pa.array(held[2])], ["key", "sum_log", "n_known"])
-
-    for batch in batches:
-        for i, flush in enumerate(batch.column("flush").to_pylist()):
-            one = batch.slice(i, 1)
-            sums, known, keys = (list_values(one.column(c))[0] for c in ("sums", "known", "keys"))
-            if flush != number:
-                if held is not None:
-                    yield out()
-                held, number = [keys, sums.copy(), known.astype(np.int64)], flush
-            else:
-                held = [keys if len(keys) else held[0], held[1] + sums, held[2] + known]
-    if held is not None:
-        yield out()
-
-
 class Hmm:
     """start (S), move (S x S) and emit (CLASSES + 1 x S) probabilities."""
 
@@ -197,46 +157,72 @@ class Hmm:
         return cls(share(start, 0.1, 0), share(move, 0.1, 1), share(emit, 0.02, 0))
 
 
-def _split(symbols: pa.Array, segment: int | None) -> list[np.ndarray]:
-    """Class sequences with their end sign, cut into segments if asked for."""
-    raw = symbols.fill_null(b"").to_pylist()
-    whole = [np.append(np.frombuffer(x, "<u2").astype(np.int64), END) for x in raw]
-    if segment is None:
-        return whole
-    return [w[a : a + segment] for w in whole for a in range(0, len(w), segment)]
+def _split(symbols: pa.Array) -> list[np.ndarray]:
+    """Class sequences with their end sign."""
+    return [np.append(np.frombuffer(x, "<u2"), np.uint16(END)) for x in symbols.fill_null(b"").to_pylist()]
+
+
+def groups(sequences: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Sequences to be worked on together, of bounded size in all (or one longer one); long ones apart, since the longest sets the number of steps."""
+    held: dict[bool, list[np.ndarray]] = {False: [], True: []}
+    words = {False: 0, True: 0}
+    for s in sequences:
+        kind = len(s) > LONG
+        held[kind].append(s)
+        words[kind] += len(s)
+        if len(held[kind]) >= GROUP_ROWS or words[kind] >= GROUP_WORDS:
+            yield held[kind]
+            held[kind], words[kind] = [], 0
+    yield from filter(None, held.values())
 
 
 def expected_counts(hmm: Hmm, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts (start, move, emit) of sequences by scaled forward and backward recursions."""
+    """Baum-Welch counts (start, move, emit) of whole sequences by scaled forward and backward recursions.
+
+    BLOCK steps are in memory at once.  Of longer sequences a first pass keeps
+    the forward values at the blocks' edges only, from which each block's are
+    found again on the way back.
+    """
     sequences = sorted(sequences, key=len, reverse=True)
     lengths = np.array([len(s) for s in sequences])
-    steps, n, k = int(lengths[0]), len(sequences), len(hmm.start)
-    symbol = np.full((steps, n), END, dtype=np.int64)
-    for i, s in enumerate(sequences):
-        symbol[: len(s), i] = s
-    active = (lengths[None, :] > np.arange(steps)[:, None]).sum(axis=1)
-    move, emit = hmm.move.astype(np.float32), hmm.emit.astype(np.float32)
-    seen = emit[symbol]
-    alpha, scale = np.zeros((steps, n, k), np.float32), np.ones((steps, n, 1), np.float32)
-    for t in range(steps):
-        m = active[t]
-        a = seen[t, :m] * (hmm.start.astype(np.float32) if t == 0 else alpha[t - 1, :m] @ move)
-        scale[t, :m] = a.sum(axis=1, keepdims=True)
-        alpha[t, :m] = a / scale[t, :m]
-    later = np.zeros((steps, n, k), np.float32)  # at t: emission times backward value over scale, of step t
-    moves = np.zeros((k, k))
-    beta = np.ones((n, k), np.float32)
-    gamma = np.zeros((steps, n, k), np.float32)
-    for t in range(steps - 1, -1, -1):
-        m = active[t]
-        gamma[t, :m] = alpha[t, :m] * beta[:m]
-        later[t, :m] = seen[t, :m] * beta[:m] / scale[t, :m]
-        beta[:m] = later[t, :m] @ move.T
-        if t:
-            moves += alpha[t - 1, :m].T.astype(np.float64) @ later[t, :m]
-    flat, weights = symbol.ravel(), gamma.reshape(-1, k)
-    emits = np.stack([np.bincount(flat, weights=weights[:, j], minlength=CLASSES + 1) for j in range(k)], axis=1)
-    return gamma[0].sum(axis=0, dtype=np.float64), moves * hmm.move, emits
+    flat, ends = np.concatenate(sequences), np.cumsum(lengths)
+    first, last, steps, k = ends - lengths, ends - 1, int(lengths[0]), len(hmm.start)
+    start, move, emit = (x.astype(np.float32) for x in (hmm.start, hmm.move, hmm.emit))
+    active = np.searchsorted(-lengths, -np.arange(steps), side="left")
+
+    def forward(t0: int, alpha: np.ndarray | None):
+        """(symbols, emission probabilities, forward values, scales) of a block."""
+        n = active[t0]
+        symbol = flat[np.minimum(first[:n] + np.arange(t0, min(t0 + BLOCK, steps))[:, None], last[:n])]
+        seen = emit[symbol]
+        alphas, scales = np.zeros_like(seen), np.ones((*symbol.shape, 1), np.float32)
+        for j in range(len(symbol)):
+            m = active[t0 + j]
+            a = seen[j, :m] * (start if alpha is None else alpha[:m] @ move)
+            scales[j, :m] = a.sum(axis=1, keepdims=True)
+            alpha = alphas[j, :m] = a / scales[j, :m]
+        return symbol, seen, alphas, scales
+
+    begins = range(0, steps, BLOCK)
+    edges: list[np.ndarray | None] = [None]
+    for t0 in begins[:-1]:
+        edges.append(forward(t0, edges[-1])[2][-1][: active[t0 + BLOCK - 1]].copy())
+    starts, moves, emits, beta = None, np.zeros((k, k)), np.zeros((CLASSES + 1, k)), np.ones((len(sequences), k), np.float32)
+    for t0, edge in zip(reversed(begins), reversed(edges), strict=True):
+        symbol, seen, alphas, scales = forward(t0, edge)
+        n = active[t0]
+        later, gamma = np.zeros_like(seen), np.zeros_like(seen)  # later: emission times backward value over scale
+        for j in range(len(symbol) - 1, -1, -1):
+            m = active[t0 + j]
+            gamma[j, :m] = alphas[j, :m] * beta[:m]
+            later[j, :m] = seen[j, :m] * beta[:m] / scales[j, :m]
+            beta[:m] = later[j, :m] @ move.T
+        before = np.concatenate((np.zeros((1, n, k), np.float32) if edge is None else edge[None, :n], alphas[:-1]))
+        moves += before.reshape(-1, k).T.astype(np.float64) @ later.reshape(-1, k).astype(np.float64)
+        weights = gamma.reshape(-1, k)
+        emits += np.stack([np.bincount(symbol.ravel(), weights=weights[:, j], minlength=CLASSES + 1) for j in range(k)], axis=1)
+        starts = gamma[0].sum(axis=0, dtype=np.float64)
+    return starts, moves * hmm.move, emits
 
 
 def forward_log10(hmm: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
@@ -257,20 +243,27 @@ def forward_log10(hmm: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _seed(rows: list[bytes]) -> Hmm:
+def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seen = [np.bincount(s[:-1], minlength=CLASSES) for s in _split(batch.column("symbols"))]
+        if seen:
+            yield pa.RecordBatch.from_arrays([list_array(np.concatenate(seen), np.arange(len(seen) + 1) * CLASSES, pa.int64())], ["seen"])
+
+
+def _seed(seen: list[np.ndarray]) -> Hmm:
     """States that start from class shares of mutually distant texts out of a bounded sample."""
-    seen = [np.bincount(np.frombuffer(r, "<u2"), minlength=CLASSES) for r in rows] or [np.zeros(CLASSES)]
+    seen = seen or [np.zeros(CLASSES)]
     root = np.array([np.sqrt(x / max(x.sum(), 1)) for x in seen])
     chosen = [int(np.argmax([x.sum() for x in seen]))]
     apart = 1 - root @ root[chosen[0]]
     while len(chosen) < STATES:
         chosen.append(int(apart.argmax()))
         apart = np.minimum(apart, 1 - root @ root[chosen[-1]])
-    groups = np.argmax(root @ root[chosen].T, axis=1)
+    nearest = np.argmax(root @ root[chosen].T, axis=1)
     everyone = np.sum(seen, axis=0)
     emit = np.zeros((CLASSES + 1, STATES))
     for j in range(STATES):
-        emit[:CLASSES, j] = sum((x for x, g in zip(seen, groups, strict=True) if g == j), np.zeros(CLASSES))
+        emit[:CLASSES, j] = sum((x for x, g in zip(seen, nearest, strict=True) if g == j), np.zeros(CLASSES))
     emit[:CLASSES] += 0.01 * (everyone[:, None] + 0.1) * (1 + 0.1 * np.arange(STATES))
     emit[END] = len(seen)
     return Hmm.from_counts(np.ones(STATES), np.full((STATES, STATES), 1.0) + 50 * np.eye(STATES), emit)
@@ -279,12 +272,9 @@ def _seed(rows: list[bytes]) -> Hmm:
 def _count_round(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hmm, sums = model.value, None
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                pieces = _split(batch.column("symbols").slice(a, 1000), SEGMENT)
-                for b in range(0, len(pieces), 2000):
-                    found = expected_counts(hmm, pieces[b : b + 2000])
-                    sums = found if sums is None else tuple(x + y for x, y in zip(sums, found, strict=True))
+        for group in groups(s for batch in batches for s in _split(batch.column("symbols"))):
+            found = expected_counts(hmm, group)
+            sums = found if sums is None else tuple(x + y for x, y in zip(sums, found, strict=True))
         if sums is not None:
             rows = np.vstack([sums[2].T, np.pad(np.vstack([sums[1], sums[0]]), ((0, 0), (0, CLASSES + 1 - STATES)))])
             lists = list_array(rows.ravel(), np.arange(len(rows) + 1) * (CLASSES + 1), pa.float64())
@@ -304,10 +294,11 @@ def _add_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(sequences: DataFrame, rounds: int = ROUNDS) -> Hmm:
-    """Baum-Welch over all rows (key, symbols); the start is set by at most SEEDS of them."""
+    """Baum-Welch over all rows (row, symbols); SEEDS of them, chosen by a hash of their content, set where it starts."""
     spark = sequences.sparkSession
-    chosen = sequences.filter("length(symbols) between 100 and 4000").orderBy("key").limit(SEEDS).select("symbols").collect()
-    hmm = _seed([bytes(r.symbols) for r in chosen])
+    chosen = [r.row for r in sequences.filter("length(symbols) > 0").select("row", F.xxhash64("symbols").alias("h")).orderBy("h", "row").limit(SEEDS).collect()]
+    seen = sequences.filter(F.col("row").isin(chosen)).select("symbols").mapInArrow(tidy(_histograms), "seen array<long>").collect() if chosen else []
+    hmm = _seed([np.array(r.seen) for r in sorted(seen)])
     for _ in range(rounds):
         model = spark.sparkContext.broadcast(hmm)
         rows = sequences.select("symbols").mapInArrow(tidy(_count_round(model)), "row int, counts array<double>")
@@ -325,18 +316,17 @@ def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hmm, room = model.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 4000):
-                part = batch.slice(a, 4000)
-                sequences = _split(part.column("symbols"), None)
+            lengths = pc.fill_null(pc.binary_length(batch.column("symbols")), 0).to_numpy(zero_copy_only=False)
+            for a, b in chunks(np.append(0, np.cumsum(lengths, dtype=np.int64)), 4 * GROUP_WORDS):
+                sequences = _split(batch.column("symbols").slice(a, b - a))
                 inner = np.array([room[s].sum() for s in sequences])
                 score = forward_log10(hmm, sequences) - inner
-                n = np.array([len(s) for s in sequences])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "held_out", "key")), pa.array(n, pa.int64()), pa.array(score)], ["doc_id", "held_out", "key", "n_tokens", "sequence_score"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), pa.array(score)], ["row", "sequence_score"])
 
     return run
 
 
-def score_texts(docs: DataFrame, hold_out: tuple[int, int] = (7, 2), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, hold_out: tuple[int, int] = (7, 2), frequent: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words (A-Z lower-cased, cut at U+0020 and U+0009..U+000D) and
@@ -345,31 +335,37 @@ def score_texts(docs: DataFrame, hold_out: tuple[int, int] = (7, 2), id_col: str
     train.  base_score sums log10((c + 1) / (N + V + 1)) over the tokens; score is
     the model's log10 probability of the text.  A null text is empty: its one
     token is the end.  Rows may repeat, and each counts; other columns are ignored;
-    an empty table gives no rows.
+    an empty table gives no rows.  A very long text is one sequence: its task
+    holds its words (some 60 bytes a character while they are found) and
+    BLOCK steps of its recursion.  ``frequent`` bounds the words that are
+    broadcast and changes no result.
     """
     spark = docs.sparkSession
     mod, rest = hold_out
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % mod == rest, F.lit(True))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held.alias("held_out"))
-    sequences = materialise(rows.mapInArrow(tidy(_sequences), "doc_id long, held_out boolean, key long, symbols binary"), "sequences")
-    ranges = parts(spark)
-    packed = rows.mapInArrow(tidy(_postings(ranges)), _POSTING_SCHEMA)
-    # The keys of a flush travel with its first range only.
-    summed = materialise(packed.groupBy("part").applyInArrow(_add_counts, _SUM_SCHEMA), "sums")
-    totals = summed.filter("size(class_tokens) > 0").select("class_tokens", "class_words")
+    counted = rows.select("text", "held_out").mapInArrow(tidy(_word_counts), "word long, class int, learnt long, total long")
+    counts = counted.groupBy("word").agg(F.min("class").alias("class"), F.sum("learnt").alias("learnt"), F.sum("total").alias("total"))
+    counts = materialise(counts, "counts")
     tokens, kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    per_class = totals.select(F.posexplode(F.arrays_zip("class_tokens", "class_words")).alias("c", "x")).groupBy("c").agg(F.sum("x.class_tokens").alias("t"), F.sum("x.class_words").alias("w"))
-    for r in per_class.collect():  # of fixed size
-        tokens[r.c], kinds[r.c] = r.t, r.w
+    for r in counts.groupBy("class").agg(F.sum("learnt").alias("t"), F.count_if(F.col("learnt") > 0).alias("k")).collect():  # of fixed size
+        tokens[r["class"]], kinds[r["class"]] = r.t, r.k
+
+    table = spark.sparkContext.broadcast(_frequent(counts, frequent))
+    schema = "doc_id long, held_out boolean, symbols binary, n_tokens long, sum_log double, n_known long, rare array<long>, times array<long>"
+    sequences = materialise(rows.mapInArrow(tidy(_sequences(table)), schema).withColumn("row", F.monotonically_increasing_id()), "sequences")
     ends = sequences.filter("not held_out").count()
     n, v = int(tokens.sum()) + ends, int(kinds.sum()) + (ends > 0)
-    ordered = summed.select("flush", "sums", "known", "keys").repartition(ranges, "flush").sortWithinPartitions("flush")
-    by_key = ordered.mapInArrow(tidy(_add_flushes), "key long, sum_log double, n_known long").groupBy("key").agg(F.max("sum_log").alias("sum_log"), F.max("n_known").alias("n_known"))
+    others = sequences.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), "x.times")
+    others = others.join(counts.select("word", "learnt"), "word")
+    more = [F.sum(F.col("times") * F.log10(F.col("learnt") + 1)).alias("more_log"), F.sum(F.when(F.col("learnt") > 0, F.col("times")).otherwise(0)).alias("more_known")]
+    others = others.groupBy("row").agg(*more)
 
-    hmm = train(sequences.filter("not held_out").select("key", "symbols"))
+    hmm = train(sequences.filter("not held_out").select("row", "symbols"))
     room = np.append(np.log10(tokens + kinds + 1.0), 0.0)
-    scored = sequences.mapInArrow(tidy(_score(spark.sparkContext.broadcast((hmm, room)))), "doc_id long, held_out boolean, key long, n_tokens long, sequence_score double")
-    out = scored.join(by_key, "key", "left")
-    base = F.col("sum_log") + float(np.log10(ends + 1)) - F.col("n_tokens") * float(np.log10(n + v + 1))
-    known = F.col("n_known") + (1 if ends else 0)
-    return out.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("sequence_score") + F.col("sum_log")).alias("score"))
+    scored = sequences.select("row", "symbols").mapInArrow(tidy(_score(spark.sparkContext.broadcast((hmm, room)))), "row long, sequence_score double")
+    out = sequences.drop("symbols", "rare", "times").join(scored, "row").join(others, "row", "left")
+    sum_log = F.col("sum_log") + F.coalesce("more_log", F.lit(0.0))
+    known = F.col("n_known") + F.coalesce("more_known", F.lit(0)) + (1 if ends else 0)
+    base = sum_log + float(np.log10(ends + 1)) - F.col("n_tokens") * float(np.log10(n + v + 1))
+    return out.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("sequence_score") + sum_log).alias("score"))

@@ -9,12 +9,14 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import sentence, table_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import hmm, langid, toxicity
+from tessera.llm.wordhash import Words, text_buffer
 
 
 @pytest.fixture(scope="module")
@@ -162,6 +164,49 @@ def test_scores_of_odd_rows(odd, odd_rows, nothing):
     assert hmm.score_texts(nothing).collect() == []
 
 
+def test_rare_words_meet_their_counts(documents, document_rows):
+    """With no broadcast words, few and all of them the results are the same."""
+    found = [{(r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in hmm.score_texts(documents, frequent=n).collect()} for n in (0, 50, hmm.FREQUENT)]
+    assert found[0] == found[1] == found[2]
+
+
+def test_a_word_of_every_text_is_not_shuffled(spark):
+    counts = spark.createDataFrame([(w, 0, 1000 if w == 7 else 1, 1000 if w == 7 else 1) for w in range(100)], "word long, class int, learnt long, total long")
+    words, learnt = hmm._frequent(counts, 10)
+    assert words.tolist() == [7] and learnt.tolist() == [1000] and len(hmm._frequent(counts, 100)[0]) == 100
+
+
+def test_scores_equal_a_plain_form(spark):
+    """The whole score, with the model's own probabilities, by a recursion in plain Python; held-out texts don't change it."""
+    rng = random.Random(12)
+    rows = [(i, sentence(rng, rng.randrange(0, 40)), None, None) for i in range(60)]
+    got = {r.doc_id: r.score for r in hmm.score_texts(table_of(spark, rows)).collect()}
+    changed = [(i, t + " zebra zebra" if brute.held_out(i, 7, 2) else t, a, b) for i, t, a, b in rows]
+    again = {r.doc_id: r.score for r in hmm.score_texts(table_of(spark, changed)).collect()}
+    assert all(abs(again[i] - s) < 1e-6 * abs(s) for i, s in got.items() if not brute.held_out(i, 7, 2))
+
+    def symbols(text):
+        return hmm.word_classes(Words(*text_buffer(pa.array([text])))).tolist()
+
+    taught = [t for i, t, *_ in rows if not brute.held_out(i, 7, 2)]
+    stored = spark.createDataFrame([(k, b"".join(int(x).to_bytes(2, "little") for x in symbols(t))) for k, t in enumerate(taught)], "row long, symbols binary")
+    m = hmm.train(stored)
+    count = Counter(w for t in taught for w in brute.words(t))
+    in_class, kinds = Counter(), Counter()
+    for w, c in count.items():
+        in_class[symbols(w)[0]] += c
+        kinds[symbols(w)[0]] += 1
+    for i, text, *_ in rows:
+        log, alpha = 0.0, None
+        for x in [*symbols(text), hmm.END]:
+            alpha = [(m.start[j] if alpha is None else sum(alpha[k] * m.move[k, j] for k in range(hmm.STATES))) * m.emit[x, j] for j in range(hmm.STATES)]
+            log += math.log10(sum(alpha))
+            alpha = [a / sum(alpha) for a in alpha]
+        for w, x in zip(brute.words(text), symbols(text), strict=True):
+            log += math.log10((count[w] + 1) / (in_class[x] + kinds[x] + 1))
+        assert abs(got[i] - log) < 1e-5 * max(abs(log), 1)
+
+
 @pytest.fixture()
 def model():
     rng = np.random.default_rng(1)
@@ -182,6 +227,34 @@ def test_forward_is_the_sum_over_all_paths(model):
         assert abs(got - math.log10(total)) < 1e-9
 
 
+def test_blocks_give_the_counts_of_whole_sequences(model, monkeypatch):
+    rng = np.random.default_rng(5)
+    sequences = [np.append(rng.integers(0, 40, int(n)), hmm.END) for n in (0, 1, 6, 7, 8, 20, 21, 100, 333)]
+    whole = hmm.expected_counts(model, sequences)
+    monkeypatch.setattr(hmm, "BLOCK", 7)
+    for x, y in zip(whole, hmm.expected_counts(model, sequences), strict=True):
+        assert np.allclose(x, y, rtol=1e-3, atol=1e-4)
+    k, seq = hmm.STATES, sequences[3]  # and of one sequence by plain forward and backward values
+    fwd, bwd = [model.start * model.emit[seq[0]]], [np.ones(k)]
+    for x in seq[1:]:
+        fwd.append(fwd[-1] @ model.move * model.emit[x])
+    for x in seq[:0:-1]:
+        bwd.insert(0, model.move @ (model.emit[x] * bwd[0]))
+    total = fwd[-1].sum()
+    gamma = [f * b / total for f, b in zip(fwd, bwd, strict=True)]
+    moves = sum(np.outer(fwd[t], model.emit[seq[t + 1]] * bwd[t + 1]) * model.move / total for t in range(len(seq) - 1))
+    start, move, emit = hmm.expected_counts(model, [seq])
+    assert np.allclose(start, gamma[0], atol=1e-4) and np.allclose(move, moves, atol=1e-4)
+    assert all(np.allclose(emit[x], sum(g for g, y in zip(gamma, seq, strict=True) if y == x), atol=1e-4) for x in set(seq.tolist()))
+
+
+def test_groups_hold_every_sequence_once():
+    lengths = [1, 5000, 3, 2049, 2048, 10, 600_000, 7] * 5
+    found = list(hmm.groups(np.zeros(n, np.uint16) for n in lengths))
+    assert sorted(len(s) for g in found for s in g) == sorted(lengths)
+    assert all(len({len(s) > hmm.LONG for s in g}) == 1 for g in found)
+
+
 def test_baum_welch_counts_are_expectations_and_raise_the_likelihood(model):
     rng = np.random.default_rng(2)
     sequences = [np.append(rng.integers(0, 12, int(n)), hmm.END) for n in rng.integers(0, 30, 40)]
