@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.arrowkit import tidy
-from tessera.llm.pieces import id_bytes, piece_table
+from tessera.llm.pieces import piece_table
 from tessera.llm.shared import materialise
 from tessera.llm.wordhash import chunks, text_buffer
 
@@ -123,12 +123,11 @@ def _cut(path: str, capacity: int, end_id: int):
             texts = pc.fill_null(batch.column("text"), "")
             ids = batch.column("doc_id").to_pylist()
             for a, b in chunks(off, 1 << 22):
-                split = [(t, table.pretokens(t)) for t in texts.slice(a, b - a).to_pylist()]
-                known = table.add_ids(set().union(*(w for _, w in split if w)))
+                split = [table.pretokens(t) for t in texts.slice(a, b - a).to_pylist()]
+                known = table.add_ids(set().union(*split))
                 rows = []
-                for doc_id, (text, words) in zip(ids[a:b], split, strict=True):
-                    raw = id_bytes(table.whole(text)) if words is None else b"".join(map(known.__getitem__, words))
-                    raw += end
+                for doc_id, words in zip(ids[a:b], split, strict=True):
+                    raw = b"".join(map(known.__getitem__, words)) + end
                     for piece, at in enumerate(range(0, len(raw), step)):
                         cut = raw[at : at + step]
                         length = len(cut) // 4
@@ -168,6 +167,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     offset 0.  A null or empty text is the end id alone; ids may repeat or be
     null (each row is a document of its own); other columns are ignored; an
     empty table gives no rows.  ``ids_crc32`` is over little-endian uint32 ids.
+    Texts are encoded whole; a very long one is held in memory by its task as its
+    pre-tokens and ids.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"

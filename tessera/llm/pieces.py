@@ -1,14 +1,19 @@
-"""Pre-tokens of two tokenizer files and a bounded table of their pieces.
+"""Pre-tokens of a ``tokenizers`` file and a bounded table of their pieces.
 
-Both vocabularies cut a text into pre-tokens and then each pre-token into
-pieces, whatever stands around it.  So pieces are found once per distinct
-pre-token and kept; the table of a worker holds at most ``LIMIT`` entries of
-``LIMIT_CHARS`` characters in all and starts anew beyond that.  Texts with special strings, or with characters on
-whose classes regular-expression engines might differ, go through the library.
+A tokenizer cuts a text at special strings, normalises what lies between, cuts
+it into pre-tokens and each of them into pieces, whatever stands around it.  So
+pieces are found once per distinct pre-token and kept; the table of a worker
+holds at most ``LIMIT`` entries of ``LIMIT_CHARS`` characters in all and starts
+anew beyond that.
+
+Any file is cut by its own normaliser and pre-tokenizer.  For the two pre-token
+rules known here, texts of characters on which regular-expression engines and
+Unicode versions agree are cut faster, by the same rule.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -20,13 +25,26 @@ import regex
 LIMIT = 1_200_000
 LIMIT_CHARS = 16 * LIMIT
 
-# The pre-token pattern that the byte-level file states.
+# The pre-token pattern that the byte-level file states, and the
+# settings by which the two known rules are told.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-# Below U+0250 composition changes nothing and letters and digits are settled;
-# U+0130 lower-cases to two characters, and separators other than U+0020 and
-# U+0009..U+000D are left to the library.
-_PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\x9f\xa1-įı-ɏ]*")
+BYTE_RULE = (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True})
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_RULE = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+# Characters that composition leaves alone and whose class is settled: Latin
+# below U+0250 but for separators and U+0130 (which lower-cases to two),
+# Cyrillic letters, dashes, quotes and other marks, kana, CJK and Hangul.
+_PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\x9f\xa1-įı-ɏЀ-ҁҊ-ӿ‐-‧‰-⁞€™ぁ-ゖァ-ヺ一-鿯가-힣]*")
 
 
 def id_bytes(ids: list[int]) -> bytes:
@@ -38,73 +56,101 @@ def id_bytes(ids: list[int]) -> bytes:
 
 
 class PieceTable:
-    """Pieces by pre-token of one ``tokenizers`` file."""
+    """Pieces by pre-token of one ``tokenizers`` file.
+
+    A pre-token is a string of the text where a known rule cuts it, the bytes of
+    the library's form of it where the library does, and the id of a special string.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.lower = self.tokenizer.normalizer is not None
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        spec = json.loads(self.tokenizer.to_str())
+        if spec["model"].get("dropout"):
+            raise ValueError(f"{path}: pieces are drawn at random")
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError(f"{path}: added tokens that depend on what stands around them")
+        self.rule = next((n for n, r in (("byte", BYTE_RULE), ("word", WORD_RULE)) if r == (spec["normalizer"], spec["pre_tokenizer"])), None)
         self.find = regex.compile(BYTE_PATTERN).findall
-        specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(map(regex.escape, specials))).search
-        self.mark = specials[0]
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
+        self.special_ids = {t.content: i for i, t in added.items()}
+        listed = sorted(self.special_ids, key=len, reverse=True)
+        self.special = re.compile(f"({'|'.join(map(re.escape, listed))})") if listed else None
         self.chars = 0
-        self.counts: dict[str, int] = {}
-        self.ids: dict[str, bytes] = {}
+        self.counts: dict[str | bytes | int, int] = {}
+        self.ids: dict[str | bytes | int, bytes] = {}
 
-    def pretokens(self, text: str) -> list[str] | None:
-        """Parts whose pieces don't depend on each other; None where the library has to see the whole text.
+    def pretokens(self, text: str) -> list[str | bytes | int]:
+        """Parts whose pieces don't depend on each other.
 
-        The lower-casing vocabulary drops white space and no piece spans it, so
-        runs between white space do as parts.
+        The rule of the lower-casing file drops white space and no piece spans
+        it, so runs between white space do as its parts.
         """
-        if not _PLAIN.fullmatch(text) or ("<|" in text and self.special(text)):
-            return None
-        return text.lower().split() if self.lower else self.find(text)
-
-    def _encode(self, words: list[str]):
-        return self.tokenizer.encode_batch(words, add_special_tokens=False)
-
-    def _full(self, held: int, new: list[str]) -> bool:
-        more = sum(map(len, new))
+        if self.special and self.special.search(text):
+            parts = self.special.split(text)
+            return [x for i, part in enumerate(parts) for x in ([self.special_ids[part]] if i % 2 else self._between(part))]
+        return self._between(text)
+
+    def _between(self, text: str) -> list[str | bytes]:
+        if self.rule and _PLAIN.fullmatch(text):
+            return text.lower().split() if self.rule == "word" else self.find(text)
+        tokenizer = self.tokenizer
+        text = tokenizer.normalizer.normalize_str(text) if tokenizer.normalizer else text
+        parts = [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)] if tokenizer.pre_tokenizer else [text] if text else []
+        return [p.encode() for p in parts]
+
+    def _full(self, held: int, new: list) -> bool:
+        more = sum(len(w) for w in new if not isinstance(w, int))
         full = held + len(new) > LIMIT or self.chars + more > LIMIT_CHARS
         self.chars = more if full else self.chars + more
         return full and held > 0
 
-    def add_counts(self, words: set[str]) -> dict[str, int]:
+    def _others(self, words: list) -> list[tuple[bytes | int, list[int]]]:
+        """Ids of those of ``words`` that aren't strings of a text."""
+        return [(w, [w] if isinstance(w, int) else [t.id for t in self.tokenizer.model.tokenize(w.decode())]) for w in words if not isinstance(w, str)]
+
+    def add_counts(self, words: set) -> dict[str | bytes | int, int]:
         """Number of pieces of at least ``words``, each counted once."""
         new = [w for w in words if w not in self.counts]
         if self._full(len(self.counts), new):
             self.counts, new = {}, list(words)
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            self.counts.update(zip(part, (len(e.ids) for e in self._encode(part)), strict=True))
+        self.counts.update((w, len(ids)) for w, ids in self._others(new))
+        plain = [w for w in new if isinstance(w, str)]
+        for a in range(0, len(plain), 20_000):
+            part = plain[a : a + 20_000]
+            self.counts.update(zip(part, (len(e.ids) for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
         return self.counts
 
-    def add_ids(self, words: set[str]) -> dict[str, bytes]:
+    def add_ids(self, words: set) -> dict[str | bytes | int, bytes]:
         """Little-endian uint32 ids of at least ``words``.
 
-        Words are encoded many at a time with a special string between them, at
-        whose id the ids are cut; no word holds one.
+        Plain words are encoded many at a time with a special string between
+        them, at whose id the ids are cut; no word holds one.
         """
         new = [w for w in words if w not in self.ids]
         if self._full(len(self.ids), new):
             self.ids, new = {}, list(words)
-        for a in range(0, len(new), 500):
-            part = new[a : a + 500]
-            ids = np.array(self.tokenizer.encode(self.mark.join(part), add_special_tokens=False).ids, "<u4")
-            cuts = (4 * np.flatnonzero(ids == self.mark_id)).tolist()
+        self.ids.update((w, id_bytes(ids)) for w, ids in self._others(new))
+        plain = [w for w in new if isinstance(w, str)]
+        if not plain:
+            return self.ids
+        if not self.special_ids:
+            encoded = self.tokenizer.encode_batch(plain, add_special_tokens=False)
+            self.ids.update((w, id_bytes(e.ids)) for w, e in zip(plain, encoded, strict=True))
+            return self.ids
+        mark, mark_id = next(iter(self.special_ids.items()))
+        for a in range(0, len(plain), 500):
+            part = plain[a : a + 500]
+            ids = np.array(self.tokenizer.encode(mark.join(part), add_special_tokens=False).ids, "<u4")
+            cuts = (4 * np.flatnonzero(ids == mark_id)).tolist()
             raw = ids.tobytes()
             self.ids.update((w, raw[i:j]) for w, i, j in zip(part, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True))
         return self.ids
 
-    def whole(self, text: str) -> list[int]:
-        """Ids of a text as the library gives them."""
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
 
 _tables: dict[str, PieceTable] = {}
 

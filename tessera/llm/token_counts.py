@@ -22,16 +22,9 @@ def _count(path: str, limit: int):
             _, off = text_buffer(batch.column("text"))
             texts = pc.fill_null(batch.column("text"), "")
             for a, b in chunks(off, 1 << 22):
-                tokens = []
-                frequencies, whole = [], {}
-                for i, text in enumerate(texts.slice(a, b - a).to_pylist()):
-                    words = table.pretokens(text)
-                    if words is None:
-                        whole[i], words = len(table.whole(text)), []
-                    frequencies.append(Counter(words))
+                frequencies = [Counter(table.pretokens(text)) for text in texts.slice(a, b - a).to_pylist()]
                 pieces = table.add_counts(set().union(*frequencies))
-                for i, of in enumerate(frequencies):
-                    tokens.append(whole.get(i, 0) + sum(n * pieces[w] for w, n in of.items()))
+                tokens = [sum(n * pieces[w] for w, n in of.items()) for of in frequencies]
                 n_bytes = (off[a + 1 : b + 1] - off[a:b]).copy()
                 n_tokens = pa.array(tokens, pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -45,12 +38,13 @@ def _count(path: str, limit: int):
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
-    ``tokenizer`` is a path of a ``tokenizers`` JSON file known to
-    :mod:`tessera.llm.pieces`, readable on every executor.  Counts are the
+    ``tokenizer`` is a path of a ``tokenizers`` JSON file, readable on every
+    executor; files whose pieces depend on more than their pre-token are refused.  Counts are the
     library's for the whole text, without added special tokens; special strings
     in a text count as it counts them by default.  A null or empty text has 0
     bytes and 0 tokens; ids may repeat or be null and are passed on; other
-    columns are ignored; an empty table gives no rows.
+    columns are ignored; an empty table gives no rows.  Texts are counted whole; a
+    very long one is held in memory by its task as a list of pre-tokens.
 
     A chunk of documents (4 MB) is reduced to frequencies of its pre-tokens by
     document, which meet the pieces of the chunk's distinct pre-tokens.  The

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import brute
 import public_tokenizers
@@ -35,17 +37,46 @@ def test_counts_are_the_library_s(documents, document_rows, odd, odd_rows, nothi
     assert token_counts.token_counts(nothing, BYTES).collect() == []
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.one_of(st.text(max_size=60), st.lists(st.sampled_from(["I'll ", "don't", " 12", "<|endoftext|>", "<|", "\x1c", "  ", "\n", "\t", "É", "ǅ", "İ", "ſ", "K", " ", "\u0085", "!!", "word"])).map("".join)))
+SCRIPTS = ["I'll ", "don't", " 12", "<|endoftext|>", "<|startoftext|>", "<|", "\x1c", "  ", "\n", "\t", "É", "ǅ", "İ", "ſ", "K", " ", "\u0085", "!!", "word", "“quoted”", "—", "…", "Привет", "Ёж", "и\u0306", "中文字", "カナ", "か\u3099", "한국어", "Σίσυφος", "ΟΔΟΣ", "हिन्दी", "عربى", "١٢", "\U0001f600", "\u200b", "\u2028", "e\u0301", "€5", "ﬁ", "½", "²", "\xa0"]
+
+
+def pieces_of(table, parts):
+    known, counts = table.add_ids(set(parts)), table.add_counts(set(parts))
+    return b"".join(known[p] for p in parts), sum(counts[p] for p in parts)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.lists(st.sampled_from(SCRIPTS)).map("".join)))
 def test_pieces_of_pretokens_are_those_of_the_text(text):
     for path in (BYTES, WORDS):
         table = pieces.piece_table(path)
-        parts = table.pretokens(text)
-        if parts is not None:
-            known = table.add_ids(set(parts))
-            counts = table.add_counts(set(parts))
-            assert b"".join(known[p] for p in parts) == pieces.id_bytes(table.whole(text))
-            assert sum(counts[p] for p in parts) == len(table.whole(text))
+        expected = table.tokenizer.encode(text, add_special_tokens=False).ids
+        assert pieces_of(table, table.pretokens(text)) == (pieces.id_bytes(expected), len(expected))
+
+
+def test_known_rules_are_told_by_the_file(tmp_path):
+    assert {pieces.piece_table(p).rule for p in (BYTES, WORDS)} == {"byte", "word"}
+    for path in (BYTES, WORDS):
+        spec = json.loads(Path(path).read_text())
+        spec["pre_tokenizer"] = {"type": "Whitespace"}
+        other = tmp_path / Path(path).name
+        other.write_text(json.dumps(spec))
+        table = pieces.PieceTable(str(other))
+        text = "Plain words, “others” и Привет <|endoftext|>12"
+        expected = table.tokenizer.encode(text, add_special_tokens=False).ids
+        assert table.rule is None and pieces_of(table, table.pretokens(text)) == (pieces.id_bytes(expected), len(expected))
+        spec["added_tokens"][0]["lstrip"] = True
+        other.write_text(json.dumps(spec))
+        with pytest.raises(ValueError, match="added tokens"):
+            pieces.PieceTable(str(other))
+
+
+def test_every_script_goes_through_pretokens(spark, library):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(SCRIPTS) for _ in range(rng.randrange(60)))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, BYTES).collect()} == {i: len(ids_of(library, BYTES, t)) for i, t in rows}
+    check_packing(rows, packing.pack(df, WORDS).collect(), library, 2048)
 
 
 def check_packing(rows, got, library, capacity):
