@@ -1,4 +1,10 @@
-"""Quality rules with thresholds learned per language and source from KLL sketches."""
+"""Quality rules with thresholds learned per language and source from quantile sketches.
+
+A sketch counts the values of a metric by logarithmic bins (1 % wide), so it is
+mergeable, holds every quantile to the bin, and is the same in every run.  A
+group's sketch is blended with its language's and that with all documents',
+so small groups lean on larger ones without a switch at any size.
+"""
 
 from __future__ import annotations
 
@@ -88,68 +94,95 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return rows.mapInArrow(tidy(_features), f"doc_id long, lang string, source string, {counts}")
 
 
-# Name, expression, smallest spread.  The spread of a group is its interquartile
-# range; the smallest spread stands in where most documents share one value.
-METRICS = (
-    ("symbols", "n_symbols / word_chars", 0.01),
-    ("dup_lines", "n_dup_lines / n_lines", 0.12),
-    ("repeats", "n_repeat_words / n_words", 0.12),
-    ("word_length", "word_chars / n_words", 0.5),
-)
-SKETCH_K = 1024
+METRICS = {
+    "symbols": "n_symbols / nullif(word_chars, 0)",
+    "dup_lines": "n_dup_lines / nullif(n_lines, 0)",
+    "repeats": "n_repeat_words / nullif(n_words, 0)",
+    "word_length": "word_chars / nullif(n_words, 0)",
+}
+BIN = 1.01  # ratio of a bin's edges
+ZERO = -100_000  # the bin of 0, below every other
 
 
 def with_metrics(feats: DataFrame) -> DataFrame:
-    safe = {m: F.expr(e.replace("/ ", "/ nullif(") + ", 0)") for m, e, _ in METRICS}
-    return feats.withColumns(safe)
+    return feats.withColumns({m: F.expr(e) for m, e in METRICS.items()})
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """lang and source as keys that tell a null from an empty string."""
+    return df.withColumns({c: F.coalesce(F.concat(F.lit("="), c), F.lit("")) for c in ("lang", "source")})
+
+
+def quantile(bins: np.ndarray, weights: np.ndarray, q: float) -> int:
+    """The bin (ascending) in which the share ``q`` of the weight is reached."""
+    total = np.cumsum(weights)
+    return int(bins[min(int(np.searchsorted(total, q * total[-1] * (1 - 1e-12))), len(bins) - 1)])
 
 
-def thresholds(feats: DataFrame, fences: float = 3.0, min_group: int = 200) -> DataFrame:
-    """Rows (lang, source, and low and high of each metric).
+def fence(sketches: list[tuple[np.ndarray, np.ndarray]], fences: float, prior_docs: float) -> tuple[float, float]:
+    """(low, high) of a metric, from the sketches of a group, of its language and of all documents.
 
-    Every group's quartiles come from a KLL sketch of its documents, which
-    Spark builds per task and merges.  A group of fewer than ``min_group``
-    documents takes the thresholds of its language, a language of fewer those
-    of all documents; the coarser sketches are merged from the finer ones.
-    low/high lie ``fences`` spreads beyond the quartiles.
+    A level weighs as many documents as it has, the one above it ``prior_docs``.
+    The fences lie ``fences`` spreads beyond the quartiles.  The spread on a
+    side is the interquartile range, or the way from the median to the outer
+    tenth where that is longer, as it is for metrics that are 0 for most.
     """
-    names = [m for m, _, _ in METRICS]
-    keyed = with_metrics(feats).select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), *names)
-    sketches = [F.kll_sketch_agg_double(F.col(m), F.lit(SKETCH_K)).alias(m) for m in names]
-    own = materialise(keyed.groupBy("lang", "source").agg(F.count("*").alias("n"), *sketches), "sketches")
-    merged = [F.kll_merge_agg_double(F.col(m), F.lit(SKETCH_K)).alias(m) for m in names]
-    lang = materialise(own.groupBy("lang").agg(F.sum("n").alias("n"), *merged), "sketches")
-    every = lang.agg(F.sum("n").alias("n"), *merged)
-
-    def fenced(df: DataFrame, level: str) -> DataFrame:
-        out = df
-        for name, _, least in METRICS:
-            quartile = lambda q, name=name: F.when(F.kll_sketch_get_n_double(name) > 0, F.kll_sketch_get_quantile_double(F.col(name), F.lit(q)))
-            spread = F.greatest(quartile(0.75) - quartile(0.25), F.lit(least)) * fences
-            out = out.withColumns({f"{name}_low": quartile(0.25) - spread, f"{name}_high": quartile(0.75) + spread})
-        bounds = [f"{m}_{side}" for m in names for side in ("low", "high")]
-        keys = [c for c in ("lang", "source") if c in df.columns]
-        return out.select(*keys, F.struct("n", *bounds).alias(level))
-
-    levels = fenced(own, "g").join(fenced(lang, "l"), "lang").crossJoin(fenced(every, "a"))  # one row on the right
-    enough = F.when(F.col("g.n") >= min_group, F.col("g")).when(F.col("l.n") >= min_group, F.col("l")).otherwise(F.col("a"))
-    return levels.select("lang", "source", enough.alias("t")).select("lang", "source", "t.*").drop("n")
-
-
-def judge(docs: DataFrame, fences: float = 3.0, min_group: int = 200, **columns: str) -> DataFrame:
+    bins = np.unique(np.concatenate([b for b, _ in sketches]))
+    blend = np.zeros(len(bins))
+    for b, n in reversed(sketches):
+        above = blend / blend.sum() * prior_docs if blend.any() else blend
+        blend = above + np.bincount(np.searchsorted(bins, b), weights=n, minlength=len(bins))
+    at = [quantile(bins, blend, q) for q in (0.1, 0.25, 0.5, 0.75, 0.9)]
+    low = [0.0 if b == ZERO else BIN ** (b - 1) for b in at]
+    high = [0.0 if b == ZERO else BIN**b for b in at]
+    between = lambda i, j: max(high[j] - low[i], 0.0) if at[i] != at[j] else 0.0
+    middle = between(1, 3)
+    return (low[1] - fences * max(middle, between(0, 2))) * (1 - 1e-9), (high[3] + fences * max(middle, between(2, 4))) * (1 + 1e-9)
+
+
+def thresholds(feats: DataFrame, fences: float = 3.0, prior_docs: float = 50.0) -> DataFrame:
+    """Rows (lang, source, and low and high of each metric), lang and source as :func:`_keyed` has them."""
+    known = _keyed(with_metrics(feats)).select("lang", "source", F.expr(f"stack({len(METRICS)}, {', '.join(f'{chr(39)}{m}{chr(39)}, {m}' for m in METRICS)}) as (metric, value)"))
+    bins = F.when(F.col("value") == 0, ZERO).otherwise(F.ceil(F.log("value") / float(np.log(BIN)))).cast("int")
+    own = known.filter("value is not null").groupBy("lang", "source", "metric", bins.alias("bin")).agg(F.count("*").alias("n"))
+    own = materialise(own, "sketches")
+
+    def sketch(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        """One row a group: its bins, of which a metric's range bounds the number."""
+        return df.groupBy(*keys, "bin").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias(name))
+
+    every = F.broadcast(sketch(own, ["metric"], "all"))  # a row a metric
+    levels = sketch(own, ["lang", "source", "metric"], "own").join(sketch(own, ["lang", "metric"], "language"), ["lang", "metric"]).join(every, "metric")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c) for c in ("own", "language", "all")]
+            flat = [(c.values.field("bin").to_numpy(), c.values.field("n").to_numpy(), np.asarray(c.offsets)) for c in columns]
+            rows = [fence([(b[o[i] : o[i + 1]], n[o[i] : o[i + 1]]) for b, n, o in flat], fences, prior_docs) for i in range(batch.num_rows)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("lang", "source", "metric")), *(pa.array(x, pa.float64()) for x in zip(*rows, strict=True))], ["lang", "source", "metric", "low", "high"])
+
+    fenced = levels.select("lang", "source", "metric", "own", "language", "all").mapInArrow(tidy(found), "lang string, source string, metric string, low double, high double")
+    sides = [F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{m}_{side}") for m in METRICS for side in ("low", "high")]
+    return fenced.groupBy("lang", "source").agg(*sides)
+
+
+def judge(docs: DataFrame, fences: float = 3.0, prior_docs: float = 50.0, **columns: str) -> DataFrame:
     """One row per input row: doc_id, the counts, base_failed, kept and the metrics that failed it.
 
     base_failed: fewer than 50 words, or more than half of the words in
     repeated 3-word windows.  kept: not base_failed, and no metric outside the
-    thresholds of the row's language and source (a null counts as a value of
-    its own).  Null and empty texts have no words and fail.  Ids may repeat or
-    be null; other columns are ignored; an empty table gives no rows.
+    thresholds of the row's language and source; a null is a value of its own,
+    other than the empty string.  ``fences`` and ``prior_docs`` are those of
+    :func:`fence`.  Null and empty texts have no words and fail.  Ids may repeat
+    or be null; other columns are ignored; an empty table gives no rows.  Texts
+    are read whole, a very long one by one task at some 60 bytes a character.
+    Two runs over the same rows give the same result, however they are dealt.
     """
     feats = materialise(features(docs, **columns), "features")
-    known = materialise(thresholds(feats, fences, min_group), "thresholds")
-    keyed = with_metrics(feats).withColumns({"lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))})
+    known = materialise(thresholds(feats, fences, prior_docs), "thresholds")
     base = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    outside = [F.when((F.col(m) < F.col(f"{m}_low")) | (F.col(m) > F.col(f"{m}_high")), F.lit(m)) for m, _, _ in METRICS]
-    judged = keyed.join(known, ["lang", "source"], "left").withColumns({"base_failed": base, "failed": F.concat_ws(",", *outside)})
+    outside = [F.when((F.col(m) < F.col(f"{m}_low")) | (F.col(m) > F.col(f"{m}_high")), F.lit(m)) for m in METRICS]
+    judged = _keyed(with_metrics(feats)).join(known, ["lang", "source"], "left").withColumns({"base_failed": base, "failed": F.concat_ws(",", *outside)})
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *counts, "base_failed", (~F.col("base_failed") & (F.col("failed") == "")).alias("kept"), "failed")

@@ -1,41 +1,61 @@
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import math
+import random
+from collections import Counter
 
 import brute
-import numpy as np
 from conftest import sentence, table_of
 
 from tessera.llm import quality
 
 
-def expected(rows):
-    """The rules with exact quartiles, which sketches have of groups smaller than their size."""
-    counted = [(i, brute.quality(t), len([x for x in (t or "").split("\n") if brute.words(x)]), lang or "", source or "") for i, t, lang, source in rows]
+def edges(value):
+    """(bin, lower edge, upper edge) of a value."""
+    if value == 0:
+        return -math.inf, 0.0, 0.0
+    b = math.ceil(math.log(value) / math.log(quality.BIN))
+    return b, quality.BIN ** (b - 1), quality.BIN**b
+
+
+def expected(rows, fences=3.0, prior=50.0):
+    """The rules with weighted quantiles of single documents, each document of a group, its language and all with its weight."""
+    counted = [(i, brute.quality(t), len([x for x in (t or "").split("\n") if brute.words(x)]), lang, source) for i, t, lang, source in rows]
 
     def metrics(c, lines):
         share = lambda a, b: a / b if b else None
         return share(c[2], c[1]), share(c[3], lines), share(c[4], c[0]), share(c[1], c[0])
 
-    groups = defaultdict(list)
-    for _, c, lines, lang, source in counted:
-        for key in ((lang, source), lang, None):
-            groups[key].append(metrics(c, lines))
+    measured = [(lang, source, metrics(c, lines)) for _, c, lines, lang, source in counted]
 
-    def fences(values, least):
-        values = sorted(v for v in values if v is not None)
-        if not values:
+    def bounds(lang, source, j):
+        levels = [[m[j] for a, b, m in measured if m[j] is not None and fits(a, b)] for fits in (lambda a, b: (a, b) == (lang, source), lambda a, b: a == lang, lambda a, b: True)]
+        weighted: list[tuple[float, float]] = []
+        for values in reversed(levels):
+            total = sum(w for _, w in weighted)
+            weighted = [(v, w * prior / total) for v, w in weighted] + [(v, 1.0) for v in values]
+        if not weighted:
             return None
-        at = lambda q: values[max(int(np.ceil(q * len(values))) - 1, 0)]
-        spread = 3.0 * max(at(0.75) - at(0.25), least)
-        return at(0.25) - spread, at(0.75) + spread
-
-    known = {k: [fences([m[j] for m in ms], least) for j, (_, _, least) in enumerate(quality.METRICS)] for k, ms in groups.items()}
+        weighted.sort()
+        total = sum(w for _, w in weighted)
+
+        def at(q):
+            done = 0.0
+            for v, w in weighted:
+                done += w
+                if done >= q * total * (1 - 1e-9):
+                    return edges(v)
+            return edges(weighted[-1][0])
+
+        q10, q25, q50, q75, q90 = (at(q) for q in (0.1, 0.25, 0.5, 0.75, 0.9))
+        spread = lambda a, b: b[2] - a[1] if a[0] != b[0] else 0.0
+        return q25[1] - fences * max(spread(q25, q75), spread(q10, q50)), q75[2] + fences * max(spread(q25, q75), spread(q50, q90))
+
+    known = {(a, b): [bounds(a, b, j) for j in range(4)] for a, b, _ in measured}
     out = []
     for i, c, lines, lang, source in counted:
-        key = next(k for k in ((lang, source), lang, None) if k is None or len(groups[k]) >= 200)
         failed = c[0] < 50 or 100 * c[4] > 50 * c[0]
-        fine = all(v is None or f is None or f[0] <= v <= f[1] for v, f in zip(metrics(c, lines), known[key], strict=True))
+        fine = all(v is None or f[0] - 1e-9 <= v <= f[1] * (1 + 1e-8) for v, f in zip(metrics(c, lines), known[lang, source], strict=True))
         out.append((i, *c, failed, not failed and fine))
     return Counter(out)
 
@@ -57,8 +77,6 @@ def test_odd_rows(odd, odd_rows, nothing):
 
 def test_groups_have_thresholds_of_their_own(spark):
     """What is usual in one source is an outlier in another."""
-    import random
-
     rng = random.Random(2)
     plain = [(i, sentence(rng, 80), "en", "prose") for i in range(300)]
     code = [(1000 + i, " ".join(f"{w} #" if j % 4 == 0 else w for j, w in enumerate(sentence(rng, 80).split())), "en", "code") for i in range(300)]
@@ -67,6 +85,21 @@ def test_groups_have_thresholds_of_their_own(spark):
     assert not got[5000] and got[1000] and sum(got.values()) >= 590
 
 
+def test_two_runs_agree(spark, medium):
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    one, two = (sorted(map(str, quality.thresholds(quality.features(d)).collect())) for d in (docs.repartition(3), docs.repartition(11, "text")))
+    assert one == two
+
+
+def test_null_and_empty_names_are_groups_of_their_own(spark):
+    rng = random.Random(3)
+    rows = [(i, sentence(rng, 80), None, None) for i in range(200)] + [(500 + i, " ".join(w + " #" for w in sentence(rng, 80).split()), "", "") for i in range(200)]
+    rows += [(999, rows[250][1], None, None)]
+    got = {r.doc_id: r.kept for r in quality.judge(table_of(spark, rows)).collect()}
+    assert got[0] and got[550] and not got[999]
+    check(table_of(spark, rows), rows)
+
+
 def test_clean_documents_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").filter("quality = 1").select("doc_id")
