@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.arrowkit import list_array
+from tessera.llm.arrowkit import list_array, list_values, tidy
+from tessera.llm.wordhash import chunks, text_buffer
 
 # The marks of this template with their reserved ids, and other templates' control strings.
 MARKS = {"<|turn|>": 50257, "<|text|>": 50258, "<|end|>": 50259}
@@ -56,28 +57,31 @@ def encoding(path: str):
     return _encodings[path]
 
 
+def _ids(enc, text: str) -> np.ndarray:
+    return enc.encode_to_numpy(escape(text), disallowed_special=()).astype(np.int32)
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
+        marks = [np.array([x], np.int32) for x in (TURN, TEXT, END)]
         for batch in batches:
-            roles, texts = ([x or "" for x in batch.column(c).to_pylist()] for c in ("role", "text"))
-            role_ids = [enc.encode_ordinary(escape(r)) for r in roles]
-            text_ids = [enc.encode_ordinary(escape(t)) for t in texts]
-            ids = [[TURN, *r, TEXT, *t, END] for r, t in zip(role_ids, text_ids, strict=True)]
-            bounds = np.append(0, np.cumsum([len(x) for x in ids]))
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(bounds[-1]))
-            head = pa.array([2 + len(r) for r in role_ids], pa.int64())
-            body = pa.array([len(t) for t in text_ids], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("conv_id", "turn", "role")), list_array(flat, bounds, pa.int32()), head, body],
-                ["conv_id", "turn", "role", "ids", "head", "body"],
-            )
+            _, off = text_buffer(batch.column("text"))
+            for a, b in chunks(off):
+                part = batch.slice(a, b - a)
+                roles = [_ids(enc, x or "") for x in part.column("role").to_pylist()]
+                texts = [_ids(enc, x or "") for x in part.column("text").to_pylist()]
+                flat = np.concatenate([x for r, t in zip(roles, texts, strict=True) for x in (marks[0], r, marks[1], t, marks[2])])
+                head, body = (np.array([len(x) for x in xs], np.int64) for xs in (roles, texts))
+                bounds = np.append(0, np.cumsum(head + body + 3))
+                kept = [part.column(c) for c in ("conv_id", "own", "turn", "role")]
+                yield pa.RecordBatch.from_arrays([*kept, list_array(flat, bounds, pa.int32()), pa.array(head + 2), pa.array(body)], ["conv_id", "own", "turn", "role", "ids", "head", "body"])
 
     return run
 
 
 def format_turns(conversations: DataFrame, ranks: str, learn_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """One row per turn: conv_id, turn, ids, start, loss_from, loss_to.
+    """One row per turn: conv_id, own, turn, ids, start, loss_from, loss_to.
 
     ``conversations`` has conv_id, turn, role and text; other columns are
     ignored.  A conversation's ids are its rows' ``ids`` in the order of
@@ -85,25 +89,28 @@ def format_turns(conversations: DataFrame, ranks: str, learn_roles: tuple[str, .
     positions loss_from..loss_to-1 of the conversation, the text of a turn whose
     role is in ``learn_roles`` (an empty span otherwise); positions are prefix
     sums of segment lengths in the order of turn, role and ids.  Null role and
-    text count as empty, and so do null ids: rows with a null conv_id form one
-    conversation.  Rows that repeat a turn follow each other; an empty table
-    gives no rows.
+    text count as empty.  A row with a null conv_id belongs to no other: it is
+    a conversation of its own, told by ``own``, a hash of its content, so only
+    rows equal in all count as one; ``own`` is null for all others.  Rows that
+    repeat a turn follow each other; an empty table gives no rows.  Texts are
+    encoded whole; a very long one is held by its task with its ids.
     """
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    schema = "conv_id long, turn long, role string, ids array<int>, head long, body long"
-    parts = rows.mapInArrow(_encode(ranks), schema)
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "ids").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("own", F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")))
+    schema = "conv_id long, own long, turn long, role string, ids array<int>, head long, body long"
+    parts = rows.mapInArrow(tidy(_encode(ranks)), schema)
+    order = Window.partitionBy("conv_id", "own").orderBy("turn", "role", "ids").rowsBetween(Window.unboundedPreceding, -1)
     placed = parts.withColumn("start", F.coalesce(F.sum(F.size("ids").cast("long")).over(order), F.lit(0)))
     begin = F.col("start") + F.col("head")
     end = F.when(F.coalesce("role", F.lit("")).isin(*learn_roles), begin + F.col("body")).otherwise(begin)
-    return placed.select("conv_id", "turn", "ids", "start", begin.alias("loss_from"), end.alias("loss_to"))
+    return placed.select("conv_id", "own", "turn", "ids", "start", begin.alias("loss_from"), end.alias("loss_to"))
 
 
 class _Digest:
     """Digests of one conversation, read back turn by turn from its ids and mask."""
 
-    def __init__(self, conv_id):
-        self.conv_id, self.turns, self.loss_chars, self.chars = conv_id, 0, 0, 0
+    def __init__(self, conv_id: int | None, own: int | None):
+        self.conv_id, self.own, self.turns, self.loss_chars, self.chars = conv_id, own, 0, 0, 0
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
 
     def add(self, enc, ids: list[int], start: int, loss_from: int, loss_to: int) -> None:
@@ -128,11 +135,13 @@ def _digests(path: str):
         enc, now = encoding(path), None
         for batch in batches:
             done = []
-            for conv_id, *turn in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "ids", "start", "loss_from", "loss_to")), strict=True):
-                if now is None or conv_id != now.conv_id:
+            keys = [batch.column(c).to_pylist() for c in ("conv_id", "own", "start", "loss_from", "loss_to")]
+            ids, lengths = list_values(batch.column("ids"))
+            for conv_id, own, start, loss_from, loss_to, n, end in zip(*keys, lengths, np.cumsum(lengths), strict=True):
+                if now is None or (conv_id, own) != (now.conv_id, now.own):
                     done += [now.row()] if now else []
-                    now = _Digest(conv_id)
-                now.add(enc, *turn)
+                    now = _Digest(conv_id, own)
+                now.add(enc, ids[end - n : end].tolist(), start, loss_from, loss_to)
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names)
         if now:
@@ -147,4 +156,4 @@ def read_back(turns: DataFrame, ranks: str) -> DataFrame:
     A conversation's turns are read one after the other, however many it has.
     """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "start").mapInArrow(_digests(ranks), schema)
+    return turns.repartition("conv_id", "own").sortWithinPartitions("conv_id", "own", "start").mapInArrow(tidy(_digests(ranks)), schema)

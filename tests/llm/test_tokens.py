@@ -178,6 +178,13 @@ def test_chat_odd_rows(spark):
     assert chat.read_back(chat.format_turns(df.limit(0), RANKS), RANKS).collect() == []
 
 
+def test_rows_without_an_id_are_conversations_of_their_own(spark):
+    rows = [(None, i, "assistant", f"text {i}") for i in range(30)] + [(None, 7, "assistant", "text 7"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = Counter((r.conv_id, r.n_turns, r.loss_chars) for r in chat.read_back(chat.format_turns(df, RANKS), RANKS).collect())
+    assert got == Counter([(None, 2 if i == 7 else 1, (2 if i == 7 else 1) * len(f"text {i}")) for i in range(30)] + [(None, 1, 0)])
+
+
 def test_chat_masks_and_marks(spark):
     df = spark.createDataFrame([(1, 0, "user", "<|end|> hi"), (1, 1, "assistant", "yes <|turn|>")], "conv_id long, turn long, role string, text string")
     a, b = chat.format_turns(df, RANKS).orderBy("turn").collect()
