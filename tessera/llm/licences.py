@@ -1,9 +1,26 @@
-"""Licence scans: digests of whole normalised texts, joined to those of known licences."""
+"""Licence scans: digests of normalised texts, joined to those of known licences.
+
+The canonical form of a text is its words line by line, without copyright
+lines, list marks and punctuation, in lower case and one spelling.  A known
+text is looked up wherever it may stand as whole lines, however they are
+wrapped: at each line that begins with the first words of a known text, the run
+of as many words as that has is taken if it ends with a line, and its digest is
+joined to the known ones.  A text that is a licence from its first line to its
+last is such a run too.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+
+from tessera.llm.arrowkit import tidy
 
 # Short public licence texts and notices by SPDX identifier.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -13,6 +30,24 @@ _ISC = """Permission to use, copy, modify, and/or distribute this software for a
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD2 = f"""Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{_DISCLAIMER}"""
+_BSD3 = _BSD2.replace("THIS SOFTWARE IS", "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE IS", 1)
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+_0BSD = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>"""
 KNOWN = (
     ("MIT", _MIT),
     ("MIT", "Released under the MIT License."),
@@ -37,74 +72,160 @@ KNOWN = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-2-Clause", _BSD2),
+    ("BSD-3-Clause", _BSD3),
+    ("Zlib", _ZLIB),
+    ("Zlib", "SPDX-License-Identifier: Zlib"),
+    ("0BSD", _0BSD),
+    ("Unlicense", _UNLICENSE),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-# Spellings that count as equal, applied in this order to lower-case text.
-SPELLINGS = (
-    ("licence", "license"),
-    ("sub-license", "sublicense"),
-    ("non-infringement", "noninfringement"),
-    ("copyright owner", "copyright holder"),
-    ("organisation", "organization"),
-    ("favour", "favor"),
-    ("https://", "http://"),
-    ("&", " and "),
-    ("v2.0", "version 2.0"),
-    ("v3", "version 3"),
-)
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
-#: Every known text has one of these in lower case, whichever spelling it uses, so other texts need no digest.
-MARKERS = ("licen", "permission", "public domain")
+# Words that count as equal; a hyphen parts words, so a line may end there.
+SPELLINGS = {
+    "licence": "license",
+    "licences": "licenses",
+    "licenced": "licensed",
+    "owner": "holder",
+    "owners": "holders",
+    "organisation": "organization",
+    "favour": "favor",
+    "https": "http",
+    "sublicense": "sub license",
+    "sublicence": "sub license",
+    "noninfringement": "non infringement",
+}
+_COPYRIGHT = re.compile(r"[^a-z0-9(©]*(copyright[^a-z0-9]*(\(c\)|©)|\(c\)\s*copyright|(copyright|\(c\)|©).*((19|20)[0-9]{2}|<year>|\[year\]|\[yyyy\]))")
+_RIGHTS = re.compile(r"[^a-z0-9]*all rights reserved[^a-z0-9]*")
+_LIST_MARK = re.compile(r"[^a-z0-9(]*\(?([0-9]{1,2}|[a-z])[.)]\s+")
+_WORD = re.compile(r"[a-z0-9à-öø-ÿ]+")
+HEAD_WORDS = 3
+TITLE_WORDS = 6
+MOST_KNOWN = 100_000
+#: Other texts need no digest.  Lower case; every text of the table of known ones has to hold one.
+MARKERS = ("licen", "permission", "permitted", "public domain")
+
+
+def line_words(line: str) -> list[str]:
+    """Canonical words of a line; none for a copyright line (one with a year or a sign) and for "all rights reserved"."""
+    line = line.lower()
+    if _COPYRIGHT.match(line) or _RIGHTS.fullmatch(line):
+        return []
+    line = _LIST_MARK.sub("", line, count=1) if _LIST_MARK.match(line) else line
+    line = re.sub(r"\bv(?=[0-9])", "version ", line.replace("&", " and "))
+    return [x for w in _WORD.findall(line) for x in SPELLINGS.get(w, w).split()]
+
+
+def canonical(text: str) -> tuple[list[str], list[int]]:
+    """(words, where each line with a word starts, and the number of words)."""
+    words, starts = [], []
+    for line in text.split("\n"):
+        if found := line_words(line):
+            starts.append(len(words))
+            words += found
+    return words, [*starts, len(words)]
+
+
+def _digest(words: list[str]) -> str:
+    return hashlib.sha256(" ".join(words).encode()).hexdigest()
 
 
-def normalised(text: str) -> str:
-    """SQL for the canonical form; the same in Spark and in DuckDB but for how regexp_replace is told to replace all."""
-    out = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', ' ', 'g')"
-    for a, b in SPELLINGS:
-        out = f"replace({out}, '{a}', '{b}')"
-    return f"trim(regexp_replace({out}, '[^a-z0-9à-öø-ÿ]+', ' ', 'g'))"
+def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        forms = [canonical(t or "")[0] for t in batch.column("text").to_pylist()]
+        rows = [(name, _digest(w), " ".join(w[:HEAD_WORDS]), len(w)) for name, w in zip(batch.column("licence").to_pylist(), forms, strict=True) if w]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["licence", "digest", "head", "n_words"])
 
 
-def _digest(text: str) -> Column:
-    return F.expr(f"sha2({normalised(text)}, 256)".replace(", 'g')", ")").replace("\\", "\\\\"))
+def _runs(heads: dict[str, list[int]]):
+    """Rows (doc_id, digest, whole) of the runs of whole lines that may be known texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text").to_pylist(), strict=True):
+                words, starts = canonical(text)
+                ends = set(starts)
+                title = starts[1] if len(starts) > 2 and starts[1] <= TITLE_WORDS and any(w.startswith("licen") for w in words[: starts[1]]) else 0
+                for a in starts[:-1]:
+                    for head in {" ".join(words[a : a + n]) for n in range(1, HEAD_WORDS + 1)}:
+                        for n in heads.get(head, ()):
+                            if a + n in ends:
+                                rows.append((doc_id.as_py(), _digest(words[a : a + n]), a in (0, title) and a + n == len(words)))
+            if rows:
+                ids, digests, whole = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("doc_id").type), pa.array(digests), pa.array(whole)], ["doc_id", "digest", "whole"])
 
-def known_digests(spark) -> DataFrame:
-    """Rows (digest, licence) of KNOWN."""
-    table = spark.createDataFrame([*KNOWN], "licence string, known string")
-    return table.select(_digest("known").alias("digest"), "licence").dropDuplicates(["digest"])
+    return run
 
 
-def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document and licence found in it: doc_id, licence, whole_text, n_lines.
+def scan_licences(docs: DataFrame, known: DataFrame | None = None, markers: tuple[str, ...] = MARKERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document and licence found in it: doc_id, licence, whole_text, n_places.
 
-    A text's canonical form has copyright lines removed, equivalent spellings
-    made one, and runs of anything but letters and digits made one space.  A
-    licence is found if the canonical form of the whole text (whole_text), or of
-    whole lines of it (n_lines counts them), has the digest of a known text.
-    Null and empty texts have none; rows that repeat an id count as one
-    document with the lines of each; other columns are ignored; an empty table
-    gives no rows.  The table of known texts is a constant of this module.
+    ``known`` has the columns licence and text, one row a licence text, of which
+    each holds one of ``markers``; it is a reference list of at most MOST_KNOWN
+    rows, and by default the one of this module, of short licences and notices.
+    A licence is found where whole lines of a document, however wrapped, have
+    the canonical form of a known text; n_places counts these places, and
+    whole_text says whether one takes up the whole text, but for copyright
+    lines and a title.  Null and empty texts have none; rows that repeat an id
+    count as one document with the places of each, as do rows with a null id;
+    of known texts with one canonical form the first licence in order is
+    reported; other columns are ignored; an empty table gives no rows.  Texts
+    are read whole; a very long one is held by its task as a list of words.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    marked = rows.filter(F.expr(" or ".join(f"contains(lower(text), '{m}')" for m in MARKERS)))
-    lines = marked.select("doc_id", F.lit(False).alias("whole"), F.explode(F.split("text", "\n")).alias("unit"))
-    lines = lines.filter(F.expr(" or ".join(f"contains(lower(unit), '{m}')" for m in MARKERS)))
-    units = marked.select("doc_id", F.lit(True).alias("whole"), F.col("text").alias("unit")).unionByName(lines)
-    met = units.select("doc_id", "whole", _digest("unit").alias("digest")).join(F.broadcast(known_digests(docs.sparkSession)), "digest")
-    return met.groupBy("doc_id", "licence").agg(F.bool_or("whole").alias("whole_text"), F.count_if(~F.col("whole")).alias("n_lines"))
+    spark = docs.sparkSession
+    known = spark.createDataFrame([*KNOWN], "licence string, text string") if known is None else known.select(F.col("licence").cast("string"), F.col("text").cast("string"))
+    holds = lambda c: F.expr(" or ".join(f"contains(lower(`{c}`), '{m}')" for m in markers)) if markers else F.lit(True)
+    if known.filter(~holds("text")).limit(1).count():
+        raise ValueError(f"a known text without any of {', '.join(markers)}")
+    table = known.mapInArrow(tidy(_known), "licence string, digest string, head string, n_words long").groupBy("digest", "head", "n_words").agg(F.min("licence").alias("licence"))
+    listed = table.limit(MOST_KNOWN + 1).collect()
+    if len(listed) > MOST_KNOWN:
+        raise ValueError(f"more than {MOST_KNOWN} known texts")
+    heads: dict[str, set[int]] = {}
+    for r in listed:
+        heads.setdefault(r["head"], set()).add(r.n_words)
+    digests = spark.createDataFrame([(r.digest, r.licence) for r in listed], "digest string, licence string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(holds("text"))
+    schema = StructType([rows.schema["doc_id"], StructField("digest", StringType()), StructField("whole", BooleanType())])
+    found = rows.mapInArrow(tidy(_runs({h: sorted(n) for h, n in heads.items()})), schema)
+    met = found.join(F.broadcast(digests), "digest")
+    return met.groupBy("doc_id", "licence").agg(F.bool_or("whole").alias("whole_text"), F.count("*").alias("n_places"))
 
 
 def oracle_sql() -> str:
-    """The same over ``documents`` in DuckDB."""
+    """The same over ``documents`` in DuckDB, by line runs of cumulative word counts; shares no code with the operator but the known texts."""
     known = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
-    marked = lambda c: "(" + " or ".join(f"contains(lower({c}), '{m}')" for m in MARKERS) + ")"
     return f"""
-    with known as (select distinct licence, {normalised('t')} as form from (values {known}) v(licence, t)),
-    marked as (select doc_id, text from documents where {marked('text')}),
-    lines as (select doc_id, false as whole, unnest(string_split(text, chr(10))) as unit from marked),
-    units as (select doc_id, true as whole, text as unit from marked union all select * from lines where {marked('unit')}),
-    forms as (select doc_id, whole, {normalised('unit')} as form from units)
-    select doc_id, licence, bool_or(whole) as whole_text, count(*) filter (where not whole) as n_lines
-    from forms join known using (form) group by doc_id, licence
+    with texts as (
+      select 'known ' || row_number() over () as rid, null::bigint as doc_id, licence, text from (values {known}) v(licence, text)
+      union all
+      select 'doc ' || row_number() over (), doc_id, null, text from documents where regexp_matches(lower(text), 'licen|permission|permitted|public domain')),
+    split as (select rid, doc_id, licence, unnest(string_split(lower(text), chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from texts),
+    kept as (
+      select *, regexp_replace(line, '^[^a-z0-9(]*[(]?([0-9][0-9]?|[a-z])[.)][ \t\r]+', '') as bare from split
+      where not regexp_full_match(line, '[^a-z0-9]*all rights reserved[^a-z0-9]*')
+        and not regexp_matches(line, '^[^a-z0-9(©]*(copyright[^a-z0-9]*([(]c[)]|©)|[(]c[)][ \t]*copyright|(copyright|[(]c[)]|©).*(19[0-9][0-9]|20[0-9][0-9]|<year>|[[]year[]]|[[]yyyy[]]))')),
+    plain as (select rid, doc_id, licence, pos, regexp_replace(replace(bare, '&', ' and '), '\\bv([0-9])', 'version \\1', 'g') as line from kept),
+    worded as (
+      select rid, doc_id, licence, pos, string_split(array_to_string(list_transform(list_filter(regexp_split_to_array(line, '[^a-z0-9à-öø-ÿ]+'), lambda w: w <> ''),
+        lambda w: case w when 'licence' then 'license' when 'licences' then 'licenses' when 'licenced' then 'licensed' when 'owner' then 'holder' when 'owners' then 'holders'
+          when 'organisation' then 'organization' when 'favour' then 'favor' when 'https' then 'http'
+          when 'sublicense' then 'sub license' when 'sublicence' then 'sub license' when 'noninfringement' then 'non infringement' else w end), ' '), ' ') as words from plain
+      where regexp_matches(line, '[a-z0-9à-öø-ÿ]')),
+    placed as (select *, sum(len(words)) over (partition by rid order by pos) as finish, sum(len(words)) over (partition by rid order by pos) - len(words) as begin,
+        row_number() over (partition by rid order by pos) as nth, sum(len(words)) over (partition by rid) as total from worded where len(words) > 0),
+    forms as (select licence, string_agg(array_to_string(words, ' '), ' ' order by pos) as form, sum(len(words)) as n from placed where rid like 'known %' group by rid, licence),
+    names as (select form, n, min(licence) as licence from forms group by form, n),
+    docs as (select rid, flatten(list(words order by pos)) as every from placed where rid like 'doc %' group by rid),
+    titled as (select rid, finish as title from placed where nth = 1 and finish < total and finish <= 6 and len(list_filter(words, lambda w: starts_with(w, 'licen'))) > 0),
+    runs as (
+      select a.doc_id, a.rid, a.begin, a.total, b.finish, names.licence, names.form from placed a join names on true join placed b on b.rid = a.rid and b.finish = a.begin + names.n
+      where a.rid like 'doc %' and starts_with(names.form, a.words[1]))
+    select runs.doc_id, licence, bool_or(runs.finish = runs.total and runs.begin in (0, coalesce(titled.title, 0))) as whole_text, count(*) as n_places
+    from runs join docs using (rid) left join titled using (rid)
+    where array_to_string(docs.every[runs.begin + 1 : runs.finish], ' ') = runs.form
+    group by runs.doc_id, licence
     """

@@ -1,33 +1,83 @@
 from __future__ import annotations
 
+import textwrap
+
 import duckdb
+import pytest
 from conftest import table_of
 
 from tessera.llm import licences
 
+LONG = {name: text for name, text in licences.KNOWN if len(text.split()) > 60}
+TITLES = {"MIT": "MIT License", "ISC": "ISC License", "BSD-3-Clause": "BSD 3-Clause License", "Apache-2.0": None}
+
+
+def found(df, **options):
+    return {tuple(r) for r in licences.scan_licences(df, **options).select("doc_id", "licence", "whole_text", "n_places").collect()}
+
+
+def by_sql(rows):
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [r[:2] for r in rows])
+    return set(con.sql(f"select doc_id, licence, whole_text, n_places from ({licences.oracle_sql()})").fetchall())
+
 
 def test_documents_equal_the_sql(spark, medium):
     docs = spark.read.parquet(f"{medium}/documents.parquet")
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{medium}/documents.parquet'")
-    expected = sorted(con.sql(f"select doc_id, licence, whole_text, n_lines from ({licences.oracle_sql()})").fetchall())
-    assert sorted(map(tuple, licences.scan_licences(docs).select("doc_id", "licence", "whole_text", "n_lines").collect())) == expected
-    assert expected
+    expected = set(con.sql(f"select doc_id, licence, whole_text, n_places from ({licences.oracle_sql()})").fetchall())
+    assert found(docs) == expected and expected
+
+
+def wrapped(text, width, prefix=""):
+    return "\n\n".join(textwrap.fill(p, width, initial_indent=prefix, subsequent_indent=prefix) for p in text.split("\n"))
+
+
+def test_layouts_and_blocks_inside_files(spark):
+    """Every licence of some length at widths 60 to 100: as a file with title and copyright line, and as a comment inside code."""
+    rows, expected = [], set()
+    for k, (name, text) in enumerate(LONG.items()):
+        for width in range(60, 101):
+            i = 1000 * k + width
+            title = f"{TITLES[name]}\n\n" if TITLES.get(name) else ""
+            rows.append((i, f"{title}Copyright (c) 2021, The Authors\nAll rights reserved.\n\n{wrapped(text, width)}\n", None, None))
+            rows.append((-i, f"#!/bin/sh\n#\n# Copyright 2019 Someone\n#\n{wrapped(text, width, '# ')}\n\nset -e\necho done\n", None, None))
+            places = 1 + (name == "Unlicense")  # its first paragraph is a notice of its own
+            expected |= {(i, name, True, places), (-i, name, False, places)}
+    got = found(table_of(spark, rows))
+    assert got == expected and by_sql(rows) == got
 
 
 def test_spellings_case_marks_and_copyright_lines(spark):
-    mit = licences.KNOWN[0][1]
+    mit = LONG["MIT"]
     rows = [
         (1, mit, None, None),
         (2, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("SUBLICENSE", "SUB-LICENSE").replace(",", " ;"), None, None),
         (3, "prose\nReleased under the MIT Licence!\nmore prose\nreleased UNDER the mit license", None, None),
-        (4, "we talk about the MIT License here", None, None),
+        (4, "we talk about the MIT License here, licensed under the MIT License. Or not", None, None),
         (5, mit + " and more", None, None),
-        (6, "Licensed under the Apache License, Version 2.0.\nSPDX-License-Identifier: MIT", None, None),
+        (6, "Licensed under the Apache License, v2.0.\nSPDX-License-Identifier: MIT", None, None),
+        (7, mit.replace("without restriction", "with restrictions"), None, None),
+        (8, LONG["BSD-3-Clause"].replace("HOLDERS", "OWNERS").replace("1. ", " * (1) ").replace("2. ", "b) "), None, None),
     ]
-    got = {tuple(r) for r in licences.scan_licences(table_of(spark, rows)).select("doc_id", "licence", "whole_text", "n_lines").collect()}
-    assert got == {(1, "MIT", True, 0), (2, "MIT", True, 0), (3, "MIT", False, 2), (6, "Apache-2.0", False, 1), (6, "MIT", False, 1)}
+    got = found(table_of(spark, rows))
+    assert got == {(1, "MIT", True, 1), (2, "MIT", True, 1), (3, "MIT", False, 2), (6, "Apache-2.0", False, 1), (6, "MIT", False, 1), (8, "BSD-3-Clause", True, 1)}
+    assert by_sql(rows) == got
+
+
+def test_a_table_of_licences(spark):
+    own = spark.createDataFrame([("House", "House licence one:\nall may read"), ("House", "house LICENSE one all may read"), ("None", "")], "licence string, text string")
+    df = table_of(spark, [(1, "x\nHouse license\none: all may read.\ny", None, None), (2, "Released under the MIT License.", None, None)])
+    assert found(df, known=own.filter("licence = 'House'")) == {(1, "House", False, 1)}
+    assert found(df, known=own, markers=()) == {(1, "House", False, 1)}
+    with pytest.raises(ValueError, match="without any of"):
+        licences.scan_licences(df, known=own)
 
 
-def test_odd_rows(odd, nothing):
-    assert licences.scan_licences(odd).collect() == [] and licences.scan_licences(nothing).collect() == []
+def test_odd_rows(spark, odd, nothing):
+    assert found(odd) == set() and found(nothing) == set()
+    line = "SPDX-License-Identifier: MIT"
+    rows = [(1, line, None, None), (1, line + "\nother", None, None), (None, line, None, None), (None, "no licence", None, None), (2, None, None, None), (3, "words\n" * 50_000 + line, None, None)]
+    assert found(table_of(spark, rows)) == {(1, "MIT", True, 2), (None, "MIT", True, 1), (3, "MIT", False, 1)}
