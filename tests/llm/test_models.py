@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import re
 from collections import Counter
 
 import brute
@@ -60,7 +61,16 @@ def test_bayes_equals_brute_force(spark):
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(table_of(spark, rows)).collect()}
 
     def grams(text):
-        return np.concatenate([b for b, _, _ in langid.ngram_buckets([text])])
+        """Buckets of 1- to 3-grams, written apart from the module."""
+        letters = [ord(c) if c.isalpha() else 32 for c in f" {text.lower()} "]
+        out = []
+        for n in langid.ORDERS:
+            for i in range(len(letters)):
+                h = 0
+                for c in letters[max(i - n + 1, 0) : i + 1]:
+                    h = (h + c) * 0x9E3779B1 % 2**32
+                out.append(0 if i < n - 1 else ((h ^ n * 0x85EBCA6B % 2**32) * 0xC2B2AE35 % 2**32) * langid.BUCKETS >> 32)
+        return out
 
     taught = [r for r in rows if r[2] and not brute.held_out(r[0], 4, 2)]
     counts = {lang: Counter(int(g) for r in taught if r[2] == lang for g in grams(r[1])) for lang in ("x", "y")}
@@ -74,6 +84,23 @@ def test_bayes_equals_brute_force(spark):
         assert got[i][0] == best[1] and abs(got[i][1] - 1 / sum(math.exp(x - best[0]) for x, _ in logs)) < 1e-3
 
 
+def test_any_number_of_languages(spark):
+    rows = [(4 * i + r, f"{chr(0x4E00 + i)}{chr(0x4E00 + i)} {chr(0x4E00 + i)}", f"lang{i:03}", None) for i in range(300) for r in range(4)]
+    got = langid.identify(table_of(spark, rows)).collect()
+    taught = {r[2] for r in rows if not brute.held_out(r[0], 4, 2)}
+    known = {r[0]: r[2] for r in rows}
+    assert len(taught) > 256 and langid.buckets_for(len(taught)) < langid.BUCKETS
+    assert np.mean([r.lang_pred == known[r.doc_id] for r in got if known[r.doc_id] in taught]) > 0.97
+
+
+def test_rows_are_kept_by_their_own_text(spark):
+    rows = [(i, f"the {'cat dog bird'.split()[i % 3]} is here", "en", None) for i in range(40)] + [(i + 100, "der hund ist nicht dort", "de", None) for i in range(40)]
+    rows += [(None, "the dog is here", None, None), (None, "123", None, None), (None, None, None, None), (7, "!!", None, None)]
+    kept = langid.in_known_language(table_of(spark, rows), 0.5)
+    assert kept.columns == table_of(spark, rows).columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(r[:2] for r in rows[:-3])
+
+
 WORDS = st.text("abcde", min_size=1, max_size=12)
 
 
@@ -88,6 +115,79 @@ def test_automaton_finds_what_edit_distance_finds(terms, stems, word):
     assert (found[0] if found else None) == best
 
 
+def plain_features(text, terms, stems):
+    """The features of a text by edit distances, without automaton or memory."""
+    split, out = text.lower().split(), dict.fromkeys(toxicity.FEATURES, 0.0)
+    strip = lambda w: re.sub(r"^[\W_]+|[\W_]+$", "", w)
+    allowed = lambda t: (len(t) >= 5) + (len(t) >= 10)
+    for i, w in enumerate(map(strip, split)):
+        whole = min((d for t in terms if (d := brute.levenshtein(w, t)) <= allowed(t)), default=99)
+        start = min((d for t in stems for n in range(len(w) + 1) if (d := brute.levenshtein(w[:n], t)) <= allowed(t)), default=99)
+        if min(whole, start) == 99:
+            continue
+        around = split[max(0, i - toxicity.WINDOW) : i + toxicity.WINDOW + 1]
+        quoted = any(x[0] in toxicity.QUOTE_MARKS or x[-1] in toxicity.QUOTE_MARKS or strip(x) in toxicity.REPORTING for x in around)
+        exact, stem = min(whole, start) == 0, start < whole
+        name = "exact" if exact else "near_stem" if stem else "near"
+        out[name + ("_quoted" if quoted and name != "near_stem" else "")] += 1
+        out["addressed"] += not quoted and exact and any(strip(x) in toxicity.ADDRESS for x in around)
+    out["density"] = 20 * out["exact"] / (len(split) + 20)
+    out["exact"] += toxicity.NEAR_SHARE * out["near"]
+    return [math.log1p(out[f]) for f in toxicity.FEATURES]
+
+
+def test_scores_equal_features_and_weights(spark):
+    """The lexicon by its definition, the features by edit distance, the score by the fitted weights."""
+    rng = random.Random(14)
+    bad, rows, labels = ["grobnik", "snarfling", "vlek", "mumpitzerei"], [], []
+    for i in range(500):
+        words = sentence(rng, 20).split()
+        if i % 4 == 0:
+            for w in rng.sample(bad, 2):
+                words.insert(rng.randrange(20), rng.choice([w, w, w.upper(), f'"{w}"', w[:-1] + "x", f"you {w}"]))
+        rows.append((i, " ".join(words), "en", "a"))
+        labels.append((i, int(i % 4 == 0)))
+    docs, known = table_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, known).collect()}
+    m = toxicity.fit(docs.select("doc_id", "text"), known.filter("crc32(cast(doc_id as string)) % 5 <> 0"))
+    assert all(b in m.words or any(b.startswith(t) for t in m.stems) for b in bad) and not any(w[-1].isdigit() for w in m.words)
+    for i, text, *_ in rows:
+        x = m.weights[0] + float(np.dot(m.weights[1:], plain_features(text, m.words, m.stems)))
+        assert abs(got[i] - 1 / (1 + math.exp(-x))) < 1e-9
+    other = spark.createDataFrame([(i, 1 - t if brute.held_out(i, 5, 0) else t) for i, t in labels], "doc_id long, toxic int")
+    assert {r.doc_id: r.score for r in toxicity.score_toxicity(docs, other).collect()} == got
+
+
+def test_many_rare_terms_are_all_learnt(spark):
+    """600 terms in 13 toxic texts each, far below a half per cent of them."""
+    rng = random.Random(15)
+    terms = [f"t{rng.randrange(10**6)}{'abcdefghij'[k % 10]}z" for k in range(600)]
+    rows = [(i, f"{sentence(rng, 12)} {terms[i % 600]}" if i < 7800 else sentence(rng, 12), "en", "a") for i in range(15_600)]
+    known = spark.createDataFrame([(i, int(i < 7800)) for i in range(15_600)], "doc_id long, toxic int")
+    m = toxicity.fit(table_of(spark, rows).select("doc_id", "text"), known)
+    assert all(t in m.words or any(t.startswith(x) for x in m.stems) for t in terms) and len(m.words) + len(m.stems) > 400
+
+
+def test_texts_that_share_a_header_stay_apart():
+    rng = random.Random(16)
+    head = sentence(rng, 12)
+    texts = [f"{head} {sentence(rng, 40)}" for _ in range(20)] + ["", "  "]
+    texts += [texts[0] + " end", texts[0]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array([1] * len(texts), pa.int32())], ["doc_id", "text", "toxic"])
+    keyed = pa.Table.from_batches(list(toxicity._with_key(iter([batch]))))
+    assert len(keyed) == len(texts) - 2
+    assert sorted(toxicity._unlike(keyed).column("text").to_pylist()) == sorted(texts[:20])
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    rng = random.Random(17)
+    rows = [(i, f"{sentence(rng, 20)} {'you grobnik' if i % 2 else 'you friend'} {sentence(rng, 20)}", "en", "a") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    more = [(None, "you grobnik " * 3, None, None), (None, "you friend here", None, None), (None, None, None, None), (4, "you grobnik grobnik", None, None)]
+    kept = Counter((r.doc_id, r.text) for r in toxicity.without_toxic(table_of(spark, rows + more), labels).collect())
+    assert kept == Counter([r[:2] for r in rows if r[0] % 2 == 0] + [r[:2] for r in more[1:3]])
+
+
 def auc(scores, labels):
     pairs = [(s, t) for s, x in zip(scores, labels, strict=True) if x for t, y in zip(scores, labels, strict=True) if not y]
     return np.mean([(s > t) + 0.5 * (s == t) for s, t in pairs])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import brute
 import corpus_pipeline
 import public_tokenizers
-from conftest import table_of
+from conftest import sentence, table_of
 from test_tokens import check_packing
 from tokenizers import Tokenizer
 
@@ -34,9 +37,9 @@ def test_stages_take_effect_one_after_the_other(spark, medium):
     assert {i for i, _ in rows_of(single)} == {c for _, c in brute.components(rows_of(clean)).values()} and single.columns == columns
 
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{medium}/benchmark.parquet").collect()]
-    near, _ = brute.leaks(rows_of(single), items, decontam.SIMILARITY_PERCENT, decontam.RADIUS)
+    _, leaks = brute.leaks(rows_of(single), items, decontam.SIMILARITY_PERCENT, decontam.RADIUS)
     fresh = stages["decontamination"](spark, single, medium).cache()
-    assert {i for i, _ in rows_of(fresh)} == {i for i, _ in rows_of(single)} - {i for i, _ in near} and fresh.columns == columns
+    assert {i for i, _ in rows_of(fresh)} == {i for i, _ in rows_of(single)} - {i for i, _ in leaks} and fresh.columns == columns
 
     packed = stages["packing"](spark, fresh, medium).collect()
     check_packing(rows_of(fresh), packed, {path: Tokenizer.from_file(path)}, 2048)
@@ -58,3 +61,18 @@ def test_stages_of_odd_and_empty_tables(spark, odd, nothing, small):
             docs = stage(spark, docs, small)
             assert name == "packing" or docs.columns == df.columns
         docs.collect()
+
+
+def test_rows_with_repeated_and_null_ids(spark, small):
+    """A row that goes takes no other row with it, whatever their ids."""
+    rng = random.Random(19)
+    item = next(r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect() if len(r.text.split()) > 30)
+    clean = [(None if n % 2 else n % 3, sentence(rng, 60)) for n in range(12)]
+    bad = [(None, "1234 !!"), (0, None), (None, f"{sentence(rng, 10)} {item} {sentence(rng, 10)}"), (1, clean[4][1] + " end")]
+    docs = table_of(spark, [(*r, "en", "a") for r in clean + bad])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, small).cache()
+    left = Counter((r.doc_id, r.text) for r in docs.collect())
+    near = {clean[4], bad[3]}  # of a text and its near copy one stays
+    assert sum(left[r] for r in near) == 1
+    assert left - Counter(near) == Counter(r for r in clean if r not in near)
