@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,57 +15,69 @@ from pyspark.sql import functions as F
 CHUNK_TARGET, CHUNK_OVERLAP, CHUNK_LEAST = 1200, 200, 100
 MESSAGE_MOST = 4096
 
-_PARAGRAPH_NUMBER = re.compile(r"\(?(\d{1,4})[.)]\s")
+_GAP = re.compile(r"\n[^\S\n]*\n\s*")
+_SENTENCE_END = re.compile(r"[.;।](?=\s)")
+_NUMBERED = re.compile(r"[(]?([0-9]{1,4})[.)]\s")
 
 
-def _windows(text: str) -> list[str]:
-    """Overlapping windows of a long paragraph, cut after a sentence if one ends in the second half, else at a blank."""
-    out = []
-    while len(text) > CHUNK_TARGET:
-        head = text[:CHUNK_TARGET]
-        cut = max(head.rfind(". "), head.rfind("; "))
-        if cut < CHUNK_TARGET / 2:
-            cut = head.rfind(" ")
-        if cut <= CHUNK_OVERLAP:
-            cut = CHUNK_TARGET
-        out.append(text[: cut + 1].strip())
-        text = text[cut + 1 - CHUNK_OVERLAP :].strip()
-    return out + ([text] if len(text) >= CHUNK_LEAST else [])
+def _paragraphs(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of a text's paragraphs, without the white space around them."""
+    edges = [0, *(x for gap in _GAP.finditer(text) for x in gap.span()), len(text)]
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        body = text[a:b]
+        if kept := body.strip():
+            first = a + len(body) - len(body.lstrip())
+            yield first, first + len(kept)
+
+
+def _last_in(places: list[int], low: float, high: float) -> int | None:
+    """The largest of ascending places in (low, high]."""
+    at = bisect.bisect_right(places, high) - 1
+    return places[at] if at >= 0 and places[at] > low else None
+
+
+def _cut_up(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Overlapping spans of a long paragraph: to the last sentence end of their second half, else the last blank, else the full size."""
+    stops = [m.end() for m in _SENTENCE_END.finditer(text, a, b)]
+    blanks = [a + m.start() for m in re.finditer(" ", text[a:b])]
+    while b - a > CHUNK_TARGET:
+        full = a + CHUNK_TARGET
+        end = _last_in(stops, a + CHUNK_TARGET / 2, full) or _last_in(blanks, a + CHUNK_OVERLAP, full) or full
+        yield a, end
+        a = end - CHUNK_OVERLAP
+    yield a, b
 
 
 def chunk(text: str | None) -> list[tuple[int, str, int | None]]:
-    """(index, content, paragraph number) of the chunks of a text.
+    """(index, content, paragraph number) of the chunks of a text; each is a slice of it.
 
-    Paragraphs are gathered up to the target size, the next chunk starting with
-    the end of the last; a paragraph of half as much again is cut into windows.
+    Paragraphs that follow each other share a chunk while their span keeps to
+    the target size; it begins with the end of the chunk before.  A paragraph of
+    half as much again is cut up by itself.  The number is the first that a
+    paragraph of the chunk begins with.  Slices below the least size are left out.
     """
-    chunks: list[tuple[str, int | None]] = []
-    buffer, number = "", None
-
-    def flush() -> None:
-        nonlocal buffer, number
-        if len(buffer.strip()) >= CHUNK_LEAST:
-            chunks.append((buffer.strip(), number))
-        buffer, number = "", None
-
-    for paragraph in re.split(r"\n\s*\n", (text or "").replace("\r\n", "\n").strip()):
-        paragraph = paragraph.strip()
-        if not paragraph:
-            continue
-        match = _PARAGRAPH_NUMBER.match(paragraph)
-        own = int(match[1]) if match else None
-        if len(paragraph) > 1.5 * CHUNK_TARGET:
-            flush()
-            chunks += [(w, own) for w in _windows(paragraph)]
-            continue
-        if buffer and len(buffer) + len(paragraph) > CHUNK_TARGET:
-            tail = buffer[-CHUNK_OVERLAP:]
-            flush()
-            buffer = tail
-        number = own if number is None else number
-        buffer += ("\n\n" if buffer else "") + paragraph
-    flush()
-    return [(i, content, para) for i, (content, para) in enumerate(chunks)]
+    text = (text or "").replace("\r\n", "\n")
+    spans: list[list[int]] = []
+    numbers: list[int | None] = []
+    open_to = -1  # where the chunk that takes more paragraphs begins; -1 for none
+    for a, b in _paragraphs(text):
+        found = _NUMBERED.match(text, a, b)
+        number = int(found[1]) if found else None
+        if b - a > 1.5 * CHUNK_TARGET:
+            for window in _cut_up(text, a, b):
+                spans.append([*window])
+                numbers.append(number)
+            open_to = -1
+        elif open_to >= 0 and b - open_to <= CHUNK_TARGET:
+            spans[-1][1] = b
+            numbers[-1] = number if numbers[-1] is None else numbers[-1]
+        else:
+            back = max(a - CHUNK_OVERLAP, spans[-1][0]) if open_to >= 0 else a
+            spans.append([back, b])
+            numbers.append(number)
+            open_to = back if b - back <= CHUNK_TARGET else a
+    sliced = [(text[a:b].strip(), n) for (a, b), n in zip(spans, numbers, strict=True)]
+    return [(i, content, n) for i, (content, n) in enumerate(x for x in sliced if len(x[0]) >= CHUNK_LEAST)]
 
 
 def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -78,12 +92,16 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def split_message(text: str | None, most: int = MESSAGE_MOST) -> list[str]:
-    """Parts of at most ``most`` characters, cut at a paragraph, else after a sentence, else at a blank."""
+    """Parts of at most ``most`` characters.
+
+    A part ends at a paragraph break in its last two fifths, else after a
+    sentence (a full stop or danda) or at a blank in its second half, else at its full size.
+    """
     out, rest = [], (text or "").strip()
     while len(rest) > most:
         head = rest[:most]
-        cuts = (head.rfind("\n\n"), head.rfind(". ") + 1, head.rfind(" "))
-        cut = next((c for c in cuts if c > most // 2), most)
+        ends = ((head.rfind("\n\n"), 0.6), (max(head.rfind(". "), head.rfind("।")) + 1, 0.5), (head.rfind(" "), 0.5))
+        cut = next((at for at, least in ends if at > most * least), most)
         out.append(rest[:cut].rstrip())
         rest = rest[cut:].lstrip()
     return out + ([rest] if rest else [])

@@ -46,7 +46,9 @@ def web_query(text: str) -> Query:
 
 
 def matches(tokens: Column, query: Query) -> Column:
-    """Whether an array of terms meets the query."""
+    """Whether an array of terms meets the query; a query without terms is met by none."""
+    if not query.groups and not query.never:
+        return F.lit(False)
     joined = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
     has = lambda t: F.contains(joined, F.lit(f" {t} ")) if " " in t else F.array_contains(tokens, t)
     every = [reduce(or_, map(has, g)) for g in query.groups] + [~has(t) for t in query.never]

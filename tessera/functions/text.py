@@ -17,8 +17,8 @@ def base_section(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    """Lower-case runs of a-z and 0-9."""
-    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
+    """Lower-case runs of letters and digits of any script, with the marks that belong to them."""
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
 
 
 def terms(c: Column) -> Column:

@@ -23,10 +23,10 @@ def running_balance(entries: DataFrame, user: str, order: list[str]) -> DataFram
 
 
 def idempotent(entries: DataFrame, reference: str, order: list[str]) -> DataFrame:
-    """The first entry of each reference; entries without one all stay."""
-    w = Window.partitionBy(reference).orderBy(*order)
-    marked = entries.withColumn("_rn", F.when(F.col(reference).isNull(), 1).otherwise(F.row_number().over(w)))
-    return marked.filter("_rn = 1").drop("_rn")
+    """The first entry of each reference; entries without one all stay, and don't meet in one task."""
+    first = F.row_number().over(Window.partitionBy(reference).orderBy(*order))
+    known = entries.filter(F.col(reference).isNotNull()).withColumn("_rn", first).filter("_rn = 1").drop("_rn")
+    return known.unionByName(entries.filter(F.col(reference).isNull()))
 
 
 def refunds(spends: DataFrame, requests: DataFrame, reference: str = "reference") -> DataFrame:

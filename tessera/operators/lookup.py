@@ -68,9 +68,14 @@ def covering(entries: DataFrame, words: list[str], title: str, body: str, key: s
 
 
 def verify_citations(citations: DataFrame, corpus: DataFrame, citation: str, known: str, key: str) -> DataFrame:
-    """One row per input row: the citation, found, and the smallest key of a corpus row with the same citation key."""
-    index = corpus.select(citation_key(F.col(known)).alias("_k"), key).filter("_k <> ''").groupBy("_k").agg(F.min(key).alias("match"))
+    """One row per input row: the citation, found, and the smallest key of a corpus row with the same citation key.
+
+    The corpus is cut down to the keys asked for before it is grouped; Spark
+    broadcasts these where its size limit allows.
+    """
     asked = citations.withColumn("_k", citation_key(F.col(citation)))
+    wanted = asked.select("_k").filter("_k <> ''").distinct()
+    index = corpus.select(citation_key(F.col(known)).alias("_k"), key).join(wanted, "_k", "left_semi").groupBy("_k").agg(F.min(key).alias("match"))
     return asked.join(index, "_k", "left").select(*citations.columns, F.col("match").isNotNull().alias("found"), "match")
 
 

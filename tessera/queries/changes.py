@@ -24,9 +24,9 @@ def update_where(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut_from(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    anchors = turns.filter("turn >= 1 and role = 'user' and conv_id % 2 = 0")
-    return changes.cut_from(turns, anchors, "conv_id", "turn")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    anchors = turns.filter("turn >= 1 and role = 'user' and contains(text, 'the')")
+    return changes.cut_from(turns.drop("text"), anchors, "conv_id", "turn")
 
 
 def without_owned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ ORACLES = {
         from (select *, o_orderstatus <> 'F' and o_orderpriority like '1%' as g from orders)
     """,
     "cut_from": """
-        with a as (select conv_id, min(turn) as f from conversations where turn >= 1 and role = 'user' and conv_id % 2 = 0 group by 1)
+        with a as (select conv_id, min(turn) as f from conversations where turn >= 1 and role = 'user' and contains(text, 'the') group by 1)
         select c.conv_id, turn, role from conversations c left join a on a.conv_id = c.conv_id where f is null or turn < f
     """,
     "without_owned": "select event_id, user_id || ':' || event_type as key from events where user_id not in (select c_custkey from customer where c_mktsegment = 'MACHINERY')",

@@ -10,7 +10,7 @@ from tessera.operators import lookup, retrieval
 from tessera.session import table
 
 _WORDS = ["the", "stupid", "license", "ciónue", "und"]
-_TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3)))))"
+_TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3)))))"
 _SIM = lambda a, b: f"(len(list_intersect({_TRI.format(a)}, {_TRI.format(b)}))::double / len(list_distinct(list_concat({_TRI.format(a)}, {_TRI.format(b)}))))"
 
 
@@ -44,10 +44,10 @@ def coverage_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verify_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.split("text", "\n")[0].alias("line"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("known"))
     found = lookup.verify_citations(items, docs, "line", "known", "doc_id")
-    return found.select("item_id", "found", "match")
+    return found.select("item_id", "line_no", "found", "match")
 
 
 def citation_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,9 +129,10 @@ ORACLES = {
         select doc_id, title_hits, hits, 2 * title_hits + hits as score from s where hits > 0 order by score desc, doc_id limit 12
     """,
     "verify_refs": """
-        with i as (select item_id, upper(regexp_replace(split_part(text, chr(10), 1), '[^A-Za-z0-9]', '', 'g')) as k from benchmark),
+        with l as (select item_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10)))))::int as line_no from benchmark),
+        i as (select item_id, line_no, upper(regexp_replace(line, '[^A-Za-z0-9]', '', 'g')) as k from l),
         d as (select upper(regexp_replace(line, '[^A-Za-z0-9]', '', 'g')) as k, min(doc_id) as m from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) group by 1)
-        select item_id, m is not null as found, m as match from i left join d on i.k = d.k and d.k <> ''
+        select item_id, line_no, m is not null as found, m as match from i left join d on i.k = d.k and d.k <> ''
     """,
     "citation_key": """
         with e as (select s_suppkey as k, s_name as t from supplier union all select p_partkey, p_brand from part)

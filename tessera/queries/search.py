@@ -36,8 +36,8 @@ def expanded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "benchmark")
-    return docs.select("item_id", F.array_join(search.topic(F.col("text")), " ").alias("topic"))
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.array_join(search.topic(F.col("text")), " ").alias("topic"))
 
 
 def covered_share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +46,8 @@ def covered_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.hashed_vectors(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    return found.select("item_id", "bucket", F.round("value", 6).alias("value"))
+    found = search.hashed_vectors(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", "bucket", F.round("value", 6).alias("value"))
 
 
 def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ def local_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (web_search, phrase_search, bm25_topk, expanded_search, topic_words, covered_share, hashed_vectors, intents, number_ranges, local_months)}
 _TERMS = "list_filter(string_split_regex(lower(text), '[\\s.,;:!?]+'), lambda w: w <> '')"
-_WORDS = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '')"
+_WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{M}\\p{N}]+'), lambda w: w <> '')"
 _STOP = ", ".join(f"'{w}'" for w in sorted(search.STOP))
 _EXPANDED = "'the', 'that', 'der', 'le', 'el', 'que'"
 ORACLES = {
@@ -87,14 +87,14 @@ ORACLES = {
         with h as (select doc_id, len(list_filter({_TERMS}, lambda w: w in ({_EXPANDED}))) as hits from documents)
         select doc_id, hits, row_number() over (order by hits desc, doc_id) as sparse_rank from h where hits > 0 qualify sparse_rank <= 30
     """,
-    "topic_words": f"select item_id, array_to_string(list_filter({_WORDS}, lambda w: w not in ({_STOP}) and not regexp_matches(w, '^[0-9]+$')), ' ') as topic from benchmark",
+    "topic_words": f"select doc_id, array_to_string(list_filter({_WORDS}, lambda w: w not in ({_STOP}) and not regexp_matches(w, '^[0-9]+$')), ' ') as topic from documents",
     "covered_share": f"select doc_id, round(len(list_intersect(['the', 'that', 'this', 'with'], {_WORDS})) / 4.0::double, 4) as share from documents",
     "hashed_vectors": f"""
-        with w as (select item_id, unnest({_TERMS}) as w from benchmark), c as (select item_id, sha256(w) as h, count(*) as n from w group by item_id, w),
-        b as (select item_id, ('0x' || substr(h, 1, 7))::bigint % 64 as bucket, case when ('0x' || substr(h, 8, 7))::bigint % 2 = 0 then n else -n end as v from c union all
-              select item_id, ('0x' || substr(h, 15, 7))::bigint % 64, case when ('0x' || substr(h, 22, 7))::bigint % 2 = 0 then n else -n end from c),
-        s as (select item_id, bucket, sum(v)::bigint as v from b group by 1, 2 having sum(v) <> 0)
-        select item_id, bucket, round(v / sqrt(sum(v * v) over (partition by item_id)::double), 6) as value from s
+        with w as (select doc_id, unnest({_TERMS}) as w from documents), c as (select doc_id, sha256(w) as h, count(*) as n from w group by doc_id, w),
+        b as (select doc_id, ('0x' || substr(h, 1, 7))::bigint % 64 as bucket, case when ('0x' || substr(h, 8, 7))::bigint % 2 = 0 then n else -n end as v from c union all
+              select doc_id, ('0x' || substr(h, 15, 7))::bigint % 64, case when ('0x' || substr(h, 22, 7))::bigint % 2 = 0 then n else -n end from c),
+        s as (select doc_id, bucket, sum(v)::bigint as v from b group by 1, 2 having sum(v) <> 0)
+        select doc_id, bucket, round(v / sqrt(sum(v * v) over (partition by doc_id)::double), 6) as value from s
     """,
     "intents": """
         with i as (select doc_id, case when regexp_matches(lower(text), '[0-9]{6,}') then 'numbers' when regexp_matches(lower(text), '[a-z0-9]@[a-z0-9]') then 'mail'

@@ -63,7 +63,7 @@ def content_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.context_key(F.split("text", "\n")[0])).alias("key"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.context_key(F.col("text"))).alias("key"))
     return docs.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
@@ -73,7 +73,7 @@ def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def case_name_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer against the supplier with its number, as if both were parties of a case."""
+    """Each supplier against the customer with its number, as if both were parties of a case."""
     c = table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(" v. ", F.replace("c_name", F.lit("#"), F.lit(" ")), "c_mktsegment").alias("asked"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.concat_ws(" versus ", F.replace("s_name", F.lit("#"), F.lit(" ")), F.lit("BUILDINGS")).alias("title"))
     return c.join(s, "c_custkey").select("c_custkey", F.round(legal.name_score(F.col("asked"), F.col("title")), 6).alias("score"))
@@ -107,7 +107,7 @@ ORACLES = {
     """,
     "content_dedupe": "select doc_id, source, sha256(text) as content_hash from documents qualify row_number() over (partition by text order by doc_id) = 1",
     "context_keys": """
-        with k as (select doc_id, md5(array_to_string(list_sort(list_filter(regexp_split_to_array(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+'), lambda w: w <> '')), ' ')) as key from documents)
+        with k as (select doc_id, md5(array_to_string(list_sort(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{N}]+'), lambda w: w <> '')), ' ')) as key from documents)
         select key, count(*) as n, min(doc_id) as first_doc from k group by 1
     """,
     "token_estimates": "select lang, sum(ceil(length(text) / 4.0))::bigint as tokens, max(length(text)) as longest from documents group by 1",

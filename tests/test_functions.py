@@ -22,10 +22,10 @@ def values(spark, make, inputs):
     [
         (tx.citation_key, {"(2014) 8 SCC 273": "20148SCC273", "AIR 1973 SC 1461": "AIR1973SC1461", None: None, "": ""}),
         (tx.base_section, {"318(4)": "318", "498A": "498A", "": ""}),
-        (tx.words, {"It's 2 o'Clock": ["it", "s", "2", "o", "clock"], "": []}),
+        (tx.words, {"It's 2 o'Clock": ["it", "s", "2", "o", "clock"], "ज़मानत क्या है?": ["ज़मानत", "क्या", "है"], "Été, ÇA": ["été", "ça"], "": []}),
         (tx.trigrams, {"cat": ["  c", " ca", "cat", "at "], "": []}),
         (tx.strip_html, {"<p>a &amp; b</p><script>x < 1</script> c": "a & b c", "<!-- n --> t": "t", "": ""}),
-        (tx.context_key, {"What is Bail?": "bail is what", "bail: what IS": "bail is what"}),
+        (tx.context_key, {"What is Bail?": "bail is what", "bail: what IS": "bail is what", "क्या है ज़मानत?": "क्या ज़मानत है", "धारा क्या है": "क्या धारा है"}),
         (tx.roman_value, {"XIV": 14, "xxxix": 39, "IIII": None, "": None, "MCMXC": 1990}),
         (lambda c: tx.clamp(c, 5), {"short": "short", "longer": "long…"}),
         (tx.mask_tail, {"9876543210": "******3210", "12": "12"}),
@@ -37,9 +37,9 @@ def values(spark, make, inputs):
         (lambda c: legal.valid_cnr(c, 2026), {"DLCT010001232024": True, "DLCT010001231900": False, "DLCT01": False, None: False}),
         (legal.order_reference, {"Order XXXIX Rule 1": "Order 39 Rule 1", "order 7 rule 11": "Order 7 Rule 11", "order 99": None}),
         (legal.article_reference, {"Article 21A": "Article 21A", "art. 14": "Article 14", "article 900": None}),
-        (legal.canonical_citation, {"(2014) 8 SCC 273": "SCC:2014:8:273", "2014 (8) SCC, 273": "SCC:2014:8:273", "AIR 1973 Supreme Court 1461": "AIR:1973:SC:1461"}),
+        (legal.canonical_citation, {"(2014) 8 SCC 273": "SCC:2014:8:273", "2014 (8) SCC, 273": "SCC:2014:8:273", "AIR 1973 Supreme Court 1461": "AIR:1973:SC:1461", "2019 Supp (2) SCC 100": "SCC-SUPP:2019:2:100", "(2019) SCC (Supp) 2 100": "SCC-SUPP:2019:2:100", "2023 INSC 0045": "INSC:2023:45", "ILR 5 Mad": "ilr5mad", None: None}),
         (legal.supreme_court_report, {"(2014) 8 SCC 273": True, "2020 SCC OnLine Del 5": False, "2020 SCC OnLine SC 5": True, "AIR 1990 Del 3": False}),
-        (legal.statute_refs, {"Section 302 of the IPC and BNS 103(1)": ["IPC 302", "BNS 103(1)"], "IPC 1860": []}),
+        (legal.statute_refs, {"Section 302 of the IPC and BNS 103(1)": ["IPC 302", "BNS 103(1)"], "IPC 1860": [], "u/s 302 IPC, s. 65B of IEA; Order 39 CPC and 420 of the IPC": ["IPC 302", "IEA 65B", "CPC 39", "IPC 420"], "498A": [], None: None}),
     ],
 )
 def test_function(spark, make, cases):
@@ -74,6 +74,24 @@ def test_chunks_keep_to_their_size(text):
     assert scanners.chunk(None) == [] and scanners.chunk("") == []
 
 
+def test_chunks_are_slices_that_cover_the_paragraphs():
+    numbered = [f"{n}. " + f"sentence {n} goes on. " * 12 for n in range(1, 9)]
+    text = "\n\n".join(numbered) + "\n\n" + " ".join(f"tail{n}" for n in range(400))
+    found = scanners.chunk(text)
+    assert all(c in text for _, c, _ in found) and [n for _, _, n in found][:2] == [1, 5]
+    places = [(text.find(c), text.find(c) + len(c)) for _, c, _ in found]
+    assert places[0][0] == 0 and places[-1][1] == len(text.strip())
+    assert all(b[0] <= a[1] + 3 for a, b in zip(places, places[1:]))  # no gap but a paragraph break
+    windows = [p for p in places if p[0] >= text.index("tail")]
+    assert all(scanners.CHUNK_OVERLAP - 1 <= a[1] - b[0] <= scanners.CHUNK_OVERLAP for a, b in zip(windows, windows[1:]))
+
+
+def test_messages_break_after_a_danda():
+    text = "यह एक वाक्य है। " * 30
+    parts = scanners.split_message(text, 100)
+    assert len(parts) > 3 and all(p.endswith("।") and len(p) <= 100 for p in parts)
+
+
 @settings(max_examples=100, deadline=None)
 @given(TEXT)
 def test_message_parts_hold_the_whole_message(text):

@@ -91,3 +91,9 @@ def test_cut_and_lifecycle(spark):
     assert sorted(map(tuple, changes.cut_from(turns, anchors, "c", "t").collect()), key=repr) == sorted([(1, 0), (1, 1), (2, 0), (None, 5)], key=repr)
     events = spark.createDataFrame([(1, "made", 1), (1, "paid", 3), (1, "paid", 2), (1, "other", 9), (2, "other", 1)], "o long, s string, at long")
     assert [tuple(r) for r in changes.lifecycle(events, ["made", "paid", "done"], "o", "s", "at").collect()] == [(1, "paid", 2)]
+
+
+def test_a_query_without_terms_matches_nothing(spark):
+    rows = spark.createDataFrame([("a b",), ("",), (None,)], "t string")
+    for asked in ("", "!!", '""'):
+        assert rows.filter(search.matches(terms(F.col("t")), search.web_query(asked))).count() == 0
