@@ -38,7 +38,7 @@ SEEDS = 400
 FREQUENT = 1 << 17
 HELD_WORDS = 2_000_000  # most distinct words that a task holds before it sends their counts on
 BLOCK = 256  # steps of a recursion that are in memory at once
-GROUP_ROWS, GROUP_WORDS, LONG = 1500, 400_000, 2048
+GROUP_ROWS, GROUP_WORDS, LONG = 3000, 1_500_000, 2048
 
 
 def word_classes(words: Words) -> np.ndarray:
@@ -188,39 +188,47 @@ def expected_counts(hmm: Hmm, sequences: list[np.ndarray]) -> tuple[np.ndarray,
     flat, ends = np.concatenate(sequences), np.cumsum(lengths)
     first, last, steps, k = ends - lengths, ends - 1, int(lengths[0]), len(hmm.start)
     start, move, emit = (x.astype(np.float32) for x in (hmm.start, hmm.move, hmm.emit))
-    active = np.searchsorted(-lengths, -np.arange(steps), side="left")
-
-    def forward(t0: int, alpha: np.ndarray | None):
-        """(symbols, emission probabilities, forward values, scales) of a block."""
-        n = active[t0]
-        symbol = flat[np.minimum(first[:n] + np.arange(t0, min(t0 + BLOCK, steps))[:, None], last[:n])]
-        seen = emit[symbol]
-        alphas, scales = np.zeros_like(seen), np.ones((*symbol.shape, 1), np.float32)
-        for j in range(len(symbol)):
+    back, ones = np.ascontiguousarray(move.T), np.ones(k, np.float32)
+    active = np.searchsorted(-lengths, -np.arange(steps), side="left").tolist()
+
+    def symbols(t0: int) -> np.ndarray:
+        return flat[np.minimum(first[: active[t0]] + np.arange(t0, min(t0 + BLOCK, steps))[:, None], last[: active[t0]])]
+
+    def forward(t0: int, alpha: np.ndarray | None, seen: np.ndarray, keep: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Forward values after a block; ``keep`` takes those of each step, and the scales."""
+        for j in range(len(seen)):
             m = active[t0 + j]
-            a = seen[j, :m] * (start if alpha is None else alpha[:m] @ move)
-            scales[j, :m] = a.sum(axis=1, keepdims=True)
-            alpha = alphas[j, :m] = a / scales[j, :m]
-        return symbol, seen, alphas, scales
+            a = seen[j, :m] * start if alpha is None else (alpha[:m] @ move) * seen[j, :m]
+            scale = a @ ones
+            alpha = a / scale[:, None]
+            if keep is not None:
+                keep[0][j, :m], keep[1][j, :m] = alpha, scale
+        return alpha
 
     begins = range(0, steps, BLOCK)
     edges: list[np.ndarray | None] = [None]
     for t0 in begins[:-1]:
-        edges.append(forward(t0, edges[-1])[2][-1][: active[t0 + BLOCK - 1]].copy())
+        edges.append(forward(t0, edges[-1], emit[symbols(t0)]))
     starts, moves, emits, beta = None, np.zeros((k, k)), np.zeros((CLASSES + 1, k)), np.ones((len(sequences), k), np.float32)
     for t0, edge in zip(reversed(begins), reversed(edges), strict=True):
-        symbol, seen, alphas, scales = forward(t0, edge)
-        n = active[t0]
-        later, gamma = np.zeros_like(seen), np.zeros_like(seen)  # later: emission times backward value over scale
+        symbol = symbols(t0)
+        seen, n = emit[symbol], active[t0]
+        alphas, scales = np.zeros_like(seen), np.ones(symbol.shape, np.float32)
+        forward(t0, edge, seen, (alphas, scales))
+        later = np.divide(seen, scales[:, :, None], out=seen)  # emission over scale, and below times the backward value
+        betas = np.zeros_like(later)
         for j in range(len(symbol) - 1, -1, -1):
             m = active[t0 + j]
-            gamma[j, :m] = alphas[j, :m] * beta[:m]
-            later[j, :m] = seen[j, :m] * beta[:m] / scales[j, :m]
-            beta[:m] = later[j, :m] @ move.T
-        before = np.concatenate((np.zeros((1, n, k), np.float32) if edge is None else edge[None, :n], alphas[:-1]))
-        moves += before.reshape(-1, k).T.astype(np.float64) @ later.reshape(-1, k).astype(np.float64)
-        weights = gamma.reshape(-1, k)
-        emits += np.stack([np.bincount(symbol.ravel(), weights=weights[:, j], minlength=CLASSES + 1) for j in range(k)], axis=1)
+            betas[j, :m] = beta[:m]
+            beta[:m] = (later[j, :m] * beta[:m]) @ back
+        later *= betas
+        if edge is not None:
+            moves += edge[:n].T.astype(np.float64) @ later[0]
+        for a in range(0, len(symbol) - 1, 32):  # a few steps at a time, summed in double
+            b = min(a + 32, len(symbol) - 1)
+            moves += alphas[a:b].reshape(-1, k).T.astype(np.float64) @ later[a + 1 : b + 1].reshape(-1, k)
+        gamma = np.multiply(alphas, betas, out=alphas)
+        emits += np.stack([np.bincount(symbol.ravel(), weights=gamma[:, :, j].ravel(), minlength=CLASSES + 1) for j in range(k)], axis=1)
         starts = gamma[0].sum(axis=0, dtype=np.float64)
     return starts, moves * hmm.move, emits
 
@@ -230,14 +238,14 @@ def forward_log10(hmm: Hmm, sequences: list[np.ndarray]) -> np.ndarray:
     order = np.argsort([-len(s) for s in sequences], kind="stable")
     lengths = np.array([len(sequences[i]) for i in order])
     flat, ends = np.concatenate([sequences[i] for i in order]), np.cumsum(lengths)
-    first, total = ends - lengths, np.zeros(len(order))
+    first, total, ones = ends - lengths, np.zeros(len(order)), np.ones(len(hmm.start))
+    active = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left").tolist()
     alpha = np.tile(hmm.start, (len(order), 1))
-    for t in range(int(lengths[0])):
-        m = int(np.searchsorted(-lengths, -t, side="left"))
+    for t, m in enumerate(active):
         alpha = (alpha[:m] if t == 0 else alpha[:m] @ hmm.move) * hmm.emit[flat[first[:m] + t]]
-        scale = alpha.sum(axis=1, keepdims=True)
-        alpha /= scale
-        total[:m] += np.log10(scale[:, 0])
+        scale = alpha @ ones
+        alpha /= scale[:, None]
+        total[:m] += np.log10(scale)
     out = np.empty(len(order))
     out[order] = total
     return out
