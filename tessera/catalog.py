@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.queries import changes, events, lookup, reporting, retrieval, search, text
+from tessera.queries import changes, corpus, events, lookup, reporting, retrieval, search, text
 
-_MODULES = (retrieval, search, lookup, reporting, events, changes, text)
+_MODULES = (retrieval, search, lookup, reporting, events, changes, text, corpus)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: sql for m in _MODULES for k, sql in m.ORACLES.items()}
