@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontam, hmm, langid, licences, ngram_join, packing, quality, token_counts, toxicity
+from tessera.llm import byte_bpe, chat, decontam, hmm, langid, lexical, licences, manifest, ngram_join, packing, quality, token_counts, toxicity
 from tessera.llm.shared import table
 
 BYTE_BPE, WORD_BPE, BYTE_RANKS = "byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
@@ -62,6 +62,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_RANKS))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.prove(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_licences,
         op10_toxicity,
+        op11_lexical_search,
+        op12_byte_bpe,
+        op13_merkle_manifest,
     )
 }
-ORACLES: dict[str, str] = {"op9_licences": licences.oracle_sql()}
+ORACLES: dict[str, str] = {"op9_licences": licences.oracle_sql(), "op11_lexical_search": lexical.oracle_sql(), "op13_merkle_manifest": manifest.oracle_sql()}
