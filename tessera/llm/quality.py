@@ -94,12 +94,16 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return rows.mapInArrow(tidy(_features), f"doc_id long, lang string, source string, {counts}")
 
 
-METRICS = {
-    "symbols": "n_symbols / nullif(word_chars, 0)",
-    "dup_lines": "n_dup_lines / nullif(n_lines, 0)",
-    "repeats": "n_repeat_words / nullif(n_words, 0)",
-    "word_length": "word_chars / nullif(n_words, 0)",
+#: Each metric's numerator and denominator.
+RATIOS = {
+    "symbols": ("n_symbols", "word_chars"),
+    "dup_lines": ("n_dup_lines", "n_lines"),
+    "repeats": ("n_repeat_words", "n_words"),
+    "word_length": ("word_chars", "n_words"),
 }
+METRICS = {m: f"{n} / nullif({of}, 0)" for m, (n, of) in RATIOS.items()}
+#: Metrics that count faults, with the most of them that are let pass in any text: one of each kind, or one repeated window.
+SPARED = {"symbols": 2, "dup_lines": 1, "repeats": 6}
 BIN = 1.01  # ratio of a bin's edges
 ZERO = -100_000  # the bin of 0, below every other
 
@@ -124,8 +128,10 @@ def fence(sketches: list[tuple[np.ndarray, np.ndarray]], fences: float, prior_do
 
     A level weighs as many documents as it has, the one above it ``prior_docs``.
     The fences lie ``fences`` spreads beyond the quartiles.  The spread on a
-    side is the interquartile range, or the way from the median to the outer
-    tenth where that is longer, as it is for metrics that are 0 for most.
+    side is the longest of the interquartile range, the way from the median to
+    the outer tenth, and the mean of what lies beyond the quartile.  The last is
+    above 0 as soon as any value is, and weighs values by their share: a metric
+    that is 0 for most has a fence above 0.
     """
     bins = np.unique(np.concatenate([b for b, _ in sketches]))
     blend = np.zeros(len(bins))
@@ -133,11 +139,13 @@ def fence(sketches: list[tuple[np.ndarray, np.ndarray]], fences: float, prior_do
         above = blend / blend.sum() * prior_docs if blend.any() else blend
         blend = above + np.bincount(np.searchsorted(bins, b), weights=n, minlength=len(bins))
     at = [quantile(bins, blend, q) for q in (0.1, 0.25, 0.5, 0.75, 0.9)]
-    low = [0.0 if b == ZERO else BIN ** (b - 1) for b in at]
-    high = [0.0 if b == ZERO else BIN**b for b in at]
+    edge = lambda b: np.where(b == ZERO, 0.0, BIN ** np.where(b == ZERO, 0.0, b).astype(float))
+    low, high = edge(np.where(np.array(at) == ZERO, ZERO, np.array(at) - 1)), edge(np.array(at))
     between = lambda i, j: max(high[j] - low[i], 0.0) if at[i] != at[j] else 0.0
-    middle = between(1, 3)
-    return (low[1] - fences * max(middle, between(0, 2))) * (1 - 1e-9), (high[3] + fences * max(middle, between(2, 4))) * (1 + 1e-9)
+    beyond = lambda far: float(np.average(np.maximum(far, 0.0), weights=blend))
+    middle, value = between(1, 3), edge(bins)
+    below, above = max(middle, between(0, 2), beyond(low[1] - value)), max(middle, between(2, 4), beyond(value - high[3]))
+    return float(low[1] - fences * below) * (1 - 1e-9), float(high[3] + fences * above) * (1 + 1e-9)
 
 
 def thresholds(feats: DataFrame, fences: float = 3.0, prior_docs: float = 50.0) -> DataFrame:
@@ -173,8 +181,9 @@ def judge(docs: DataFrame, fences: float = 3.0, prior_docs: float = 50.0, **colu
     base_failed: fewer than 50 words, or more than half of the words in
     repeated 3-word windows.  kept: not base_failed, and no metric outside the
     thresholds of the row's language and source; a null is a value of its own,
-    other than the empty string.  ``fences`` and ``prior_docs`` are those of
-    :func:`fence`.  Null and empty texts have no words and fail.  Ids may repeat
+    other than the empty string.  A metric that counts faults isn't above its
+    threshold for so few of them as ``SPARED`` says, whatever others do.
+    ``fences`` and ``prior_docs`` are those of :func:`fence`.  Null and empty texts have no words and fail.  Ids may repeat
     or be null; other columns are ignored; an empty table gives no rows.  Texts
     are read whole, a very long one by one task at some 60 bytes a character.
     Two runs over the same rows give the same result, however they are dealt.
@@ -182,7 +191,8 @@ def judge(docs: DataFrame, fences: float = 3.0, prior_docs: float = 50.0, **colu
     feats = materialise(features(docs, **columns), "features")
     known = materialise(thresholds(feats, fences, prior_docs), "thresholds")
     base = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    outside = [F.when((F.col(m) < F.col(f"{m}_low")) | (F.col(m) > F.col(f"{m}_high")), F.lit(m)) for m in METRICS]
+    above = {m: (F.col(m) > F.col(f"{m}_high")) & (F.col(n) > SPARED.get(m, 0)) for m, (n, _) in RATIOS.items()}
+    outside = [F.when((F.col(m) < F.col(f"{m}_low")) | above[m], F.lit(m)) for m in METRICS]
     judged = _keyed(with_metrics(feats)).join(known, ["lang", "source"], "left").withColumns({"base_failed": base, "failed": F.concat_ws(",", *outside)})
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *counts, "base_failed", (~F.col("base_failed") & (F.col("failed") == "")).alias("kept"), "failed")
