@@ -91,9 +91,14 @@ def simhash(items: list[int]) -> int:
     return sum(1 << b for b in range(64) if sum(1 if x >> b & 1 else -1 for x in items) > 0)
 
 
+def fingerprint(items: list[int]) -> int:
+    """128 bits: the hashes' own and those of their hashes."""
+    return simhash(items) | simhash([hash_long(x, 42) for x in items]) << 64
+
+
 def leaks(docs, items, percent: int, radius: int) -> tuple[dict, dict]:
     """{(doc_id, item_id): best similarity} over all windows of each document: those with a fingerprint in the radius, and all."""
-    wanted = [(i, ys := shingle_hashes(t), Counter(ys), simhash(ys)) for i, t in items if len(words(t)) >= 5]
+    wanted = [(i, ys := shingle_hashes(t), Counter(ys), fingerprint(ys)) for i, t in items if len(words(t)) >= 5]
     near, every = {}, {}
     for doc_id, text in docs:
         xs = shingle_hashes(text)
@@ -105,7 +110,7 @@ def leaks(docs, items, percent: int, radius: int) -> tuple[dict, dict]:
                 c = sum((Counter(w) & weights).values())
                 if c * 100 >= (len(w) + len(ys) - c) * percent:
                     every[doc_id, item] = max(every.get((doc_id, item), 0), c / (len(w) + len(ys) - c))
-                    if (simhash(w) ^ fp).bit_count() <= radius:
+                    if (fingerprint(w) ^ fp).bit_count() <= radius:
                         near[doc_id, item] = max(near.get((doc_id, item), 0), c / (len(w) + len(ys) - c))
     return near, every
 
