@@ -9,8 +9,10 @@ Passes over the texts, all linear in their words:
 3. inside a bucket, pairs whose parity sketches differ in more bits than linked
    sets can differ in elements are dropped, which loses no link.  Buckets with
    few remaining pairs send on all of them; of a bucket of many, a first round
-   sends on a forest, and once its links are known a second round whatever still
-   joins two components;
+   sends on a forest, and once its links are known a last round whatever still
+   joins two components.  A bucket of more than SPLIT sets is dealt into
+   sub-buckets, each looked at by itself; then one set of each component is, and
+   what is still apart meets in cells of two sub-buckets, each in a task's reach;
 4. the pairs sent on are checked on their whole shingle sets.
 
 Nodes are sets, told apart by a 64-bit hash of their shingles, and ids are met
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import partenum
@@ -40,9 +42,11 @@ SKETCH_BLOCK = 4096
 FLUSH = 1_200_000
 RANGE_SHINGLES = 4_000_000
 PAIR_ROWS = 250_000
+SPLIT = 8192
 HUB_CHUNKS = 64
 NO_ID = (1 << 63) - 1  # stands in for a null id, so that it sorts last
 BITMAP_BITS = 1 << 23
+WITHIN, LEFT, RIGHT = 0, 1, 2  # sides of a deal
 _SET_SEED = np.uint64(0x632BE59BD9B4E019)
 
 
@@ -191,14 +195,16 @@ def _shared(part: pa.Table) -> pa.Table:
     return pa.table({"bucket": np.repeat(code[pick], size[pick]).view(np.int64), "node": node[rows].astype(np.int64)})
 
 
-def _near(comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, forest: bool = False) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, places j) of one bucket: pairs over two components that the sketches can't rule out.
+def _near(comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.ndarray, forest: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, places j) of one deal: pairs over two components that the sketches can't rule out.
 
+    side is 0 throughout, or ascends from LEFT to RIGHT, and pairs are of both.
     forest: only enough of them to join those components, if all were links.
     """
-    comp = comp.copy()
-    for i in range(len(comp) - 1):
-        j = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
+    comp, right = comp.copy(), int(np.searchsorted(side, RIGHT))
+    for i in range(right if side[0] else len(comp) - 1):
+        after = right if side[0] else i + 1
+        j = after + np.flatnonzero(comp[after:] != comp[i])
         if not len(j):
             continue
         small, big = np.minimum(size[j], size[i]), np.maximum(size[j], size[i])
@@ -214,10 +220,27 @@ def _near(comp: np.ndarray, size: np.ndarray, sketch: np.ndarray, forest: bool =
             yield i, j
 
 
+def _deals(members: DataFrame, large: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (deal, side, node, n_shingles, parity) of the sets of each bucket, and of each cell of two sub-buckets.
+
+    ``large`` has the buckets that are cut, (bucket, subs).  Each pair of a
+    bucket's sets is in exactly one deal, which holds some SPLIT sets.
+    """
+    columns = ["node", "n_shingles", "parity"]
+    if large is None:
+        return members.select(F.col("bucket").alias("deal"), F.lit(WITHIN).alias("side"), *columns), None
+    cut = members.join(large, "bucket", "left").withColumn("sub", F.expr("pmod(xxhash64(node), subs)"))
+    own = F.when(F.col("subs").isNull(), F.col("bucket")).otherwise(F.xxhash64("bucket", "sub"))
+    within = cut.select(own.alias("deal"), F.lit(WITHIN).alias("side"), *columns)
+    met = cut.filter("subs is not null").withColumn("other", F.expr("explode(sequence(0L, subs - 1))")).filter("other <> sub")
+    cell = F.xxhash64("bucket", F.least("sub", "other"), F.greatest("sub", "other"))
+    return within, met.select("bucket", cell.alias("deal"), F.when(F.expr("sub < other"), LEFT).otherwise(RIGHT).alias("side"), *columns)
+
+
 def _bucket_pairs(last: bool):
-    """Rows (a, b) of nodes to check; in the first round also (bucket) of each bucket that the last round has to see.
+    """Rows (a, b) of nodes to check; but for the last round also (deal) of each deal that the last round has to see.
 
-    Rows leave in batches of some PAIR_ROWS, however many a bucket has.
+    Rows leave in batches of some PAIR_ROWS, however many a deal has.
     """
 
     def out(pairs: list[np.ndarray], again: list[int]) -> pa.RecordBatch:
@@ -226,16 +249,16 @@ def _bucket_pairs(last: bool):
         pads = pa.nulls(len(again), pa.int64())
         columns = [pa.array(np.ascontiguousarray(ab[:, i])) for i in (0, 1)] + [pa.nulls(len(ab), pa.int64())]
         more = [pads, pads, pa.array(again, pa.int64())]
-        return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(columns, more, strict=True)], ["a", "b", "bucket"])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(columns, more, strict=True)], ["a", "b", "deal"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, again, rows = [], [], 0
-        for group in whole_groups(batches, "bucket"):
-            bucket = group.column("bucket").to_numpy()
-            node, comp, size = (group.column(c).to_numpy() for c in ("node", "comp", "n_shingles"))
+        for group in whole_groups(batches, "deal"):
+            deal = group.column("deal").to_numpy()
+            node, comp, size, side = (group.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "side"))
             flat, lengths = list_values(group.column("parity"))
             ends = np.cumsum(lengths)
-            starts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+            starts = np.append(np.flatnonzero(np.append(True, deal[1:] != deal[:-1])), len(deal))
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 if (comp[a:b] == comp[a]).all():
                     continue
@@ -244,13 +267,13 @@ def _bucket_pairs(last: bool):
                 sketch = sketch.view(np.uint64)  # bitwise_count takes the absolute value of signed numbers
                 found, many = [], 0
                 if not last:
-                    for i, j in _near(comp[a:b], size[a:b], sketch):
+                    for i, j in _near(comp[a:b], size[a:b], sketch, side[a:b]):
                         found.append((i, j))
                         many += len(j)
                         if many > 4 * (b - a):
-                            again.append(int(bucket[a]))
+                            again.append(int(deal[a]))
                             break
-                for i, j in _near(comp[a:b], size[a:b], sketch, forest=not last) if last or many > 4 * (b - a) else found:
+                for i, j in _near(comp[a:b], size[a:b], sketch, side[a:b], forest=not last) if last or many > 4 * (b - a) else found:
                     pairs.append(np.column_stack((np.full(len(j), node[a + i]), node[a + j])))
                     rows += len(j)
                     if rows >= PAIR_ROWS:
@@ -352,25 +375,47 @@ def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketches = own.join(needed, "node").filter("doc_id <=> doc").dropDuplicates(["node"]).select("node", "n_shingles", "parity")
     members = materialise(buckets.join(sketches, "node").select("bucket", "node", "n_shingles", "parity"), "members")
 
+    subs = F.expr(f"cast(ceil(2 * count / {SPLIT}) as long)").alias("subs")
+    large = materialise(members.groupBy("bucket").count().filter(F.col("count") > SPLIT).select("bucket", subs), "large")
+    large = None if large.isEmpty() else large
     key = lambda c: F.struct(F.coalesce(f"{c}_doc", F.lit(NO_ID)).alias("doc"), F.col(c).alias("node"))
-    links, roots, dealt = None, None, members.withColumn("comp", F.col("node"))
-    for last in (False, True):
-        dealt = dealt.select("bucket", "node", "comp", "n_shingles", "parity").repartition(ranges, "bucket").sortWithinPartitions("bucket", "node")
-        found = materialise(dealt.mapInArrow(tidy(_bucket_pairs(last)), "a long, b long, bucket long"), "found")
-        pairs = materialise(found.filter("bucket is null").select("a", "b").distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        more = _verify(texts, reps, pairs, parts(spark))
-        for c in ("a", "b"):
-            more = more.join(reps.select(F.col("node").alias(c), F.col("doc").alias(f"{c}_doc")), c)
-        more = more.select(key("a").alias("a"), key("b").alias("b"))
-        links = materialise(more if links is None else links.unionByName(more), "links")
-        roots = materialise(connected_components(links).select("node.node", F.col("component.doc").alias("root_doc"), F.col("component.node").alias("root_node")), "components")
-        again = found.filter("bucket is not null").select("bucket").distinct()
-        if last or again.isEmpty():
-            break
-        dealt = members.join(again, "bucket", "left_semi").join(roots.select("node", F.col("root_node").alias("comp")), "node", "left")
-        dealt = dealt.withColumn("comp", F.coalesce("comp", "node"))
+    links: DataFrame | None = None
+    roots: DataFrame | None = None
+
+    def with_comp(rows: DataFrame) -> DataFrame:
+        known = rows if roots is None else rows.join(roots.select("node", F.col("root_node").alias("comp")), "node", "left")
+        return known.withColumn("comp", F.coalesce("comp", "node") if roots is not None else F.col("node"))
+
+    def settle(dealt: DataFrame, last: bool = False) -> DataFrame:
+        """Finds the links of the deals' pairs and joins their components; the deals that the last round has to see."""
+        nonlocal links, roots
+        dealt = dealt if "comp" in dealt.columns else with_comp(dealt)
+        dealt = dealt.select("deal", "side", "node", "comp", "n_shingles", "parity").repartition(ranges, "deal").sortWithinPartitions("deal", "side", "node")
+        found = materialise(dealt.mapInArrow(tidy(_bucket_pairs(last)), "a long, b long, deal long"), "found")
+        pairs = materialise(found.filter("deal is null").select("a", "b").distinct(), "pairs")
+        if not pairs.isEmpty():
+            more = _verify(texts, reps, pairs, parts(spark))
+            for c in ("a", "b"):
+                more = more.join(reps.select(F.col("node").alias(c), F.col("doc").alias(f"{c}_doc")), c)
+            more = more.select(key("a").alias("a"), key("b").alias("b"))
+            links = materialise(more if links is None else links.unionByName(more), "links")
+            roots = materialise(connected_components(links).select("node.node", F.col("component.doc").alias("root_doc"), F.col("component.node").alias("root_node")), "components")
+        return found.filter("deal is not null").select("deal").distinct()
+
+    within, across = _deals(members, large)
+    left = within.join(settle(within), "deal", "left_semi")
+    if across is not None:
+        # One set of each component first: where copies link, they are one component by then.
+        apart = with_comp(members.join(large, "bucket")).groupBy("bucket", "comp").agg(*(F.min_by(c, "node").alias(c) for c in ("node", "n_shingles", "parity")))
+        apart = materialise(apart, "apart")
+        several = apart.groupBy("bucket").count().withColumn("subs", F.expr(f"cast(ceil(count / {SPLIT}) as long)"))
+        leaders = apart.join(several, "bucket").withColumns({"deal": F.expr("xxhash64(bucket, pmod(xxhash64(comp, 1), subs))"), "side": F.lit(WITHIN)})
+        settle(leaders)
+        still = with_comp(members.join(large, "bucket", "left_semi")).groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+        across = materialise(across.join(still, "bucket", "left_semi").drop("bucket"), "across")
+        left = left.unionByName(across.join(settle(across), "deal", "left_semi"))
+    if not left.isEmpty():
+        settle(left, last=True)
 
     if roots is None:
         roots = spark.createDataFrame([], "node long, root_doc long, root_node long")
@@ -414,13 +459,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The row that stays has the component's smallest id (a null id only where
     there is no other); of rows with that id it is one with the least set hash,
     and of several with that set too the first text in order.  Only this
-    operator's last step moves whole rows, and it moves them once.
+    operator's last step moves whole rows, and it moves them once; rows without
+    words stay where they are.
     """
     _, classes = _classes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     roots = classes.filter("node = root_node").select(F.xxhash64("node", "root_doc").alias("key"), F.col("node").alias("kept"), F.col("root_doc").alias("kept_doc"))
-    rows = annotate(docs, _nodes(text_col), [text_col], "node long")
+    has_word = F.coalesce(F.col(f"`{text_col}`").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = annotate(docs.filter(has_word), _nodes(text_col), [text_col], "node long")
     doc = F.col("row").getField(id_col).cast("long")
-    keyed = rows.withColumns({"doc": doc, "key": F.when(F.col("node").isNull(), F.xxhash64(doc)).otherwise(F.xxhash64("node", doc))})
-    met = keyed.join(roots, "key", "left").filter("node is null or (node = kept and doc <=> kept_doc)")
-    first = Window.partitionBy("key", "node").orderBy(F.col("row").getField(text_col))
-    return met.withColumn("nth", F.row_number().over(first)).filter("node is null or nth = 1").select("row.*")
+    # Rows of one id and set are cut down before they move: the first text of each task goes on.
+    first = F.min_by(F.struct("row", "node", doc.alias("doc")), F.col("row").getField(text_col)).alias("first")
+    met = rows.groupBy(F.xxhash64("node", doc).alias("key")).agg(first).join(roots, "key")
+    return met.filter("first.node = kept and first.doc <=> kept_doc").select("first.row.*").unionByName(docs.filter(~has_word))

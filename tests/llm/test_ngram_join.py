@@ -10,6 +10,7 @@ import pytest
 from conftest import sentence, table_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import ngram_join, partenum
 from tessera.llm.arrowkit import list_array
@@ -28,8 +29,10 @@ def test_documents_equal_brute_force(spark, medium):
     assert len({c for _, c in expected.values()}) < len(rows)
 
 
-def test_large_groups_equal_brute_force(spark):
-    """Copies, near copies in one bucket, chains of links, and texts that share a frequent passage only."""
+@pytest.mark.parametrize("split", [ngram_join.SPLIT, 12])
+def test_large_groups_equal_brute_force(spark, monkeypatch, split):
+    """Copies, near copies in one bucket, chains of links, and texts that share a frequent passage only; buckets cut or not."""
+    monkeypatch.setattr(ngram_join, "SPLIT", split)
     rng = random.Random(3)
     word = lambda: f"w{rng.randrange(5000)}"
     base, passage = [word() for _ in range(70)], [word() for _ in range(25)]
@@ -110,13 +113,52 @@ def test_a_bucket_s_pairs_leave_in_batches(monkeypatch):
     n = 200
     same = ngram_join.parity(np.arange(1, 40, dtype=np.uint64) << np.uint64(40))
     batch = pa.RecordBatch.from_arrays(
-        [pa.array([1] * n), pa.array(range(n)), pa.array(range(n)), pa.array([39] * n), list_array(np.tile(same, n), np.arange(n + 1) * len(same), pa.int64())],
-        ["bucket", "node", "comp", "n_shingles", "parity"],
+        [pa.array([1] * n), pa.array(range(n)), pa.array(range(n)), pa.array([39] * n), list_array(np.tile(same, n), np.arange(n + 1) * len(same), pa.int64()), pa.array([0] * n)],
+        ["deal", "node", "comp", "n_shingles", "parity", "side"],
     )
     out = list(ngram_join._bucket_pairs(True)(iter([batch])))
     assert sum(b.num_rows for b in out) == n * (n - 1) // 2 and max(b.num_rows for b in out) < 500 + n
     forest = list(ngram_join._bucket_pairs(False)(iter([batch])))
-    assert sum(b.num_rows for b in forest) == n - 1 + 1  # a star, and the bucket that the last round has to see
+    assert sum(b.num_rows for b in forest) == n - 1 + 1  # a star, and the deal that the last round has to see
+
+
+def test_a_large_bucket_is_dealt_over_many_tasks(spark):
+    """20,000 sets of one bucket and 5 of another: each pair is in exactly one deal, and no deal is larger than a task's reach."""
+    rows = spark.range(20_000).selectExpr("1L as bucket", "id as node", "50L as n_shingles", "array(id) as parity")
+    rows = rows.unionByName(spark.range(5).selectExpr("2L as bucket", "id as node", "50L as n_shingles", "array(id) as parity"))
+    large = spark.createDataFrame([(1, 5)], "bucket long, subs long")
+    within, across = ngram_join._deals(rows, large)
+    own = [r["count"] for r in within.groupBy("deal").count().collect()]
+    cells = {}
+    for r in across.groupBy("deal", "side").count().collect():
+        cells.setdefault(r.deal, {})[r.side] = r["count"]
+    pairs = sum(n * (n - 1) // 2 for n in own) + sum(c[ngram_join.LEFT] * c[ngram_join.RIGHT] for c in cells.values())
+    assert pairs == 20_000 * 19_999 // 2 + 10 and len(own) == 6 and len(cells) == 10
+    assert max(own) < ngram_join.SPLIT and max(sum(c.values()) for c in cells.values()) < 1.1 * ngram_join.SPLIT
+    tasks = across.repartition(8, "deal").groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("deal")).count()
+    assert tasks > 2
+
+
+def test_sides_of_a_cell():
+    """Pairs of a cell are of both sides; a forest of them joins all that could be joined."""
+    comp, size, sketch = np.arange(10), np.full(10, 39), np.zeros((10, 2), np.uint64)
+    side = np.array([ngram_join.LEFT] * 4 + [ngram_join.RIGHT] * 6)
+    pairs = lambda s, **o: {(i, int(x)) for i, j in ngram_join._near(comp, size, sketch, s, **o) for x in j}
+    assert pairs(side) == {(i, j) for i in range(4) for j in range(4, 10)}
+    assert len(pairs(side, forest=True)) == 9 and len(pairs(side * 0)) == 45
+    assert pairs(side[:4].repeat(3)[:10]) == set() == pairs(np.full(10, ngram_join.RIGHT))
+
+
+def test_rows_without_words_stay_and_copies_are_cut_before_they_move(spark):
+    """100,000 wordless rows and as many copies of one text, all with null ids: the former aren't shuffled, the latter leave each task as one row."""
+    rows = spark.range(200_000, numPartitions=4).selectExpr("cast(null as long) as doc_id", "if(id % 2 = 0, ' . '  , 'one two three four five six') as text").selectExpr("doc_id", "if(text = ' . ', ' ', text) as text")
+    kept = ngram_join.one_of_each(rows)
+    assert kept.groupBy("text").count().orderBy("text").collect() == [(" ", 100_000), ("one two three four five six", 1)]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    union = kept._jdf.queryExecution().executedPlan().toString().split("Union")[1]
+    assert plan.count("Union") == 1 and "partial_min_by" in union
+    stay = ngram_join.one_of_each(rows.filter("text = ' '"))
+    assert stay.count() == 100_000
 
 
 @settings(max_examples=150, deadline=None)
