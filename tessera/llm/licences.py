@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from tessera.llm.arrowkit import tidy
+from tessera.llm.shared import materialise
 
 # Short public licence texts and notices by SPDX identifier.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -81,6 +83,22 @@ KNOWN = (
     ("Unlicense", "SPDX-License-Identifier: Unlicense"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+# Whole public licence texts, told by their canonical form: its first words, their number and its digest.
+KNOWN_DIGESTS = (
+    ("Apache-2.0", "apache license version", 1589, "8721befe6f5a6ff73ce51c6fc378ed7d23665ab2310b9ece2c38588897cca7d4"),
+    ("Artistic-1.0-Perl", "the artistic license", 969, "7783c16796f207f4cab765dee131052ede7a3ae766fe1e4cc9e4a526eef22581"),
+    ("CC0-1.0", "creative commons legal", 1075, "bcb34beb055cf5ea9667c444885536125c19225f7932496f5002d5ecac0d242f"),
+    ("GFDL-1.2", "gnu free documentation", 3295, "04902c1629cdf711a4813ee016f3c6320d7ef1f07f401be74d9c3efd9a01c692"),
+    ("GFDL-1.3", "gnu free documentation", 3707, "b001519fe012dc75744c57ffe2e5aedc0256b9d2d8d6d57c5690bb50b8c4bb05"),
+    ("GPL-1.0", "gnu general public", 2047, "2d878304e2724b1ef4d84dfb37b2e91bd5ed897ca818ea9d76ddbd9d619387d0"),
+    ("GPL-2.0", "gnu general public", 2955, "df1dbbcfefe2814a2912a76b4a8285f50b1cfb932a6ff4c24505e19ad119a515"),
+    ("GPL-3.0", "gnu general public", 5633, "706f92f3252f1f04c84adb5d878045c34992b271e485703697d0da753f3b1881"),
+    ("LGPL-2.0", "gnu library general", 4173, "d00ba603abae17ada13ff056197d683956220fcc32733d3650b9e333f8a816af"),
+    ("LGPL-2.1", "gnu lesser general", 4371, "f440884fefee15ad019c3c63249e6aabec73d984e1be00e6cc7317bc8cd2b727"),
+    ("LGPL-3.0", "gnu lesser general", 1211, "dd9d0b05045a0707717c8a564402d828c6b7a4e179bddaa594eb6442c9a128f1"),
+    ("MPL-1.1", "mozilla public license", 3735, "1eec0b16f05af04c716ac17a5aa8f0a30ae4355d71b1d2e6125c10f218a54959"),
+    ("MPL-2.0", "mozilla public license", 2397, "202cd6894c33b535a1e5cc5cb03acd86dd86e02584835c2b1eb92ac859b73824"),
+)
 # Words that count as equal; a hyphen parts words, so a line may end there.
 SPELLINGS = {
     "licence": "license",
@@ -97,32 +115,37 @@ SPELLINGS = {
 }
 _COPYRIGHT = re.compile(r"[^a-z0-9(©]*(copyright[^a-z0-9]*(\(c\)|©)|\(c\)\s*copyright|(copyright|\(c\)|©).*((19|20)[0-9]{2}|<year>|\[year\]|\[yyyy\]))")
 _RIGHTS = re.compile(r"[^a-z0-9]*all rights reserved[^a-z0-9]*")
-_LIST_MARK = re.compile(r"[^a-z0-9(]*\(?([0-9]{1,2}|[a-z])[.)]\s+")
+_LIST_MARK = re.compile(r"\(?([0-9]{1,2}|[a-z])[.)]")
+# A number that follows one of these is no list mark.
+NUMBERED = ("version", "section")
 _WORD = re.compile(r"[a-z0-9à-öø-ÿ]+")
 HEAD_WORDS = 3
 TITLE_WORDS = 6
-MOST_KNOWN = 100_000
-#: Other texts need no digest.  Lower case; every text of the table of known ones has to hold one.
-MARKERS = ("licen", "permission", "permitted", "public domain")
-
-
-def line_words(line: str) -> list[str]:
-    """Canonical words of a line; none for a copyright line (one with a year or a sign) and for "all rights reserved"."""
-    line = line.lower()
-    if _COPYRIGHT.match(line) or _RIGHTS.fullmatch(line):
-        return []
-    line = _LIST_MARK.sub("", line, count=1) if _LIST_MARK.match(line) else line
-    line = re.sub(r"\bv(?=[0-9])", "version ", line.replace("&", " and "))
-    return [x for w in _WORD.findall(line) for x in SPELLINGS.get(w, w).split()]
+BLOCK_KNOWN = 100_000  # known texts whose first words go to the tasks at once
+#: Other texts need no digest.  Lower case, and each inside a word, which no wrapping parts; every known text has to hold one.
+MARKERS = ("licen", "permission", "permitted", "domain")
 
 
 def canonical(text: str) -> tuple[list[str], list[int]]:
-    """(words, where each line with a word starts, and the number of words)."""
-    words, starts = [], []
-    for line in text.split("\n"):
-        if found := line_words(line):
-            starts.append(len(words))
-            words += found
+    """(words, where each line with a word starts, and the number of words).
+
+    Copyright lines (with a year or a sign) and "all rights reserved" have no
+    words.  List marks go wherever they stand, so that it doesn't matter whether
+    a line begins with one.
+    """
+    words, starts, before = [], [], ""
+    for line in text.lower().split("\n"):
+        if _COPYRIGHT.match(line) or _RIGHTS.fullmatch(line):
+            continue
+        first = len(words)
+        for token in re.sub(r"\bv(?=[0-9])", "version ", line.replace("&", " and ")).split():
+            if not _WORD.search(token):
+                continue
+            if before in NUMBERED or not _LIST_MARK.fullmatch(token):
+                words += [x for w in _WORD.findall(token) for x in SPELLINGS.get(w, w).split()]
+            before = re.sub("[^a-z0-9]+", "", token)
+        if len(words) > first:
+            starts.append(first)
     return words, [*starts, len(words)]
 
 
@@ -160,14 +183,28 @@ def _runs(heads: dict[str, list[int]]):
     return run
 
 
+def known_digests(known: DataFrame) -> DataFrame:
+    """Rows (licence, head, n_words, digest) of known texts (licence, text): the canonical form's first words, length and digest.
+
+    Texts without words have none.
+    """
+    texts = known.select(F.col("licence").cast("string"), F.col("text").cast("string"))
+    return texts.mapInArrow(tidy(_known), "licence string, digest string, head string, n_words long").select("licence", "head", "n_words", "digest")
+
+
 def scan_licences(docs: DataFrame, known: DataFrame | None = None, markers: tuple[str, ...] = MARKERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and licence found in it: doc_id, licence, whole_text, n_places.
 
-    ``known`` has the columns licence and text, one row a licence text, of which
-    each holds one of ``markers``; it is a reference list of at most MOST_KNOWN
-    rows, and by default the one of this module, of short licences and notices.
-    A licence is found where whole lines of a document, however wrapped, have
-    the canonical form of a known text; n_places counts these places, and
+    ``known`` has the columns licence and text, or those of
+    :func:`known_digests`; by default it is the table of this module, of short
+    licences and notices by their texts and of long ones by their digests.  Each
+    known text holds one of ``markers``, which are parts of single words, so a
+    line break doesn't hide one; for digests that is for the caller to see to.
+    The first words of BLOCK_KNOWN known texts at a time go to the tasks; more
+    of them are looked for in more passes over the documents.
+
+    A licence is found where whole lines of a document, however wrapped between
+    words, have the canonical form of a known text; n_places counts these places, and
     whole_text says whether one takes up the whole text, but for copyright
     lines and a title.  Null and empty texts have none; rows that repeat an id
     count as one document with the places of each, as do rows with a null id;
@@ -176,22 +213,30 @@ def scan_licences(docs: DataFrame, known: DataFrame | None = None, markers: tupl
     are read whole; a very long one is held by its task as a list of words.
     """
     spark = docs.sparkSession
-    known = spark.createDataFrame([*KNOWN], "licence string, text string") if known is None else known.select(F.col("licence").cast("string"), F.col("text").cast("string"))
+    if any(not m.isalnum() for m in markers):
+        raise ValueError("a marker has to lie inside a word")
     holds = lambda c: F.expr(" or ".join(f"contains(lower(`{c}`), '{m}')" for m in markers)) if markers else F.lit(True)
-    if known.filter(~holds("text")).limit(1).count():
-        raise ValueError(f"a known text without any of {', '.join(markers)}")
-    table = known.mapInArrow(tidy(_known), "licence string, digest string, head string, n_words long").groupBy("digest", "head", "n_words").agg(F.min("licence").alias("licence"))
-    listed = table.limit(MOST_KNOWN + 1).collect()
-    if len(listed) > MOST_KNOWN:
-        raise ValueError(f"more than {MOST_KNOWN} known texts")
-    heads: dict[str, set[int]] = {}
-    for r in listed:
-        heads.setdefault(r["head"], set()).add(r.n_words)
-    digests = spark.createDataFrame([(r.digest, r.licence) for r in listed], "digest string, licence string")
+    if known is None:
+        known = known_digests(spark.createDataFrame([*KNOWN], "licence string, text string"))
+        known = known.unionByName(spark.createDataFrame([*KNOWN_DIGESTS], "licence string, head string, n_words long, digest string"))
+    elif "text" in known.columns:
+        if known.filter(~holds("text")).limit(1).count():
+            raise ValueError(f"a known text without any of {', '.join(markers)}")
+        known = known_digests(known)
+    table = materialise(known.groupBy("digest", "head", "n_words").agg(F.min("licence").alias("licence")), "known")
+    listed = table.count()
+    blocks = listed // BLOCK_KNOWN + 1
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(holds("text"))
     schema = StructType([rows.schema["doc_id"], StructField("digest", StringType()), StructField("whole", BooleanType())])
-    found = rows.mapInArrow(tidy(_runs({h: sorted(n) for h, n in heads.items()})), schema)
-    met = found.join(F.broadcast(digests), "digest")
+
+    def runs(block: int) -> DataFrame:
+        heads: dict[str, set[int]] = {}
+        for r in table.filter(F.pmod(F.xxhash64("head", "n_words"), F.lit(blocks)) == block).select("head", "n_words").distinct().collect():
+            heads.setdefault(r["head"], set()).add(r.n_words)
+        return rows.mapInArrow(tidy(_runs({h: sorted(n) for h, n in heads.items()})), schema)
+
+    digests = table.select("digest", "licence")
+    met = reduce(DataFrame.unionByName, map(runs, range(blocks))).join(F.broadcast(digests) if listed <= BLOCK_KNOWN else digests, "digest")
     return met.groupBy("doc_id", "licence").agg(F.bool_or("whole").alias("whole_text"), F.count("*").alias("n_places"))
 
 
@@ -202,13 +247,16 @@ def oracle_sql() -> str:
     with texts as (
       select 'known ' || row_number() over () as rid, null::bigint as doc_id, licence, text from (values {known}) v(licence, text)
       union all
-      select 'doc ' || row_number() over (), doc_id, null, text from documents where regexp_matches(lower(text), 'licen|permission|permitted|public domain')),
+      select 'doc ' || row_number() over (), doc_id, null, text from documents),
     split as (select rid, doc_id, licence, unnest(string_split(lower(text), chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from texts),
     kept as (
-      select *, regexp_replace(line, '^[^a-z0-9(]*[(]?([0-9][0-9]?|[a-z])[.)][ \t\r]+', '') as bare from split
+      select rid, doc_id, licence, pos, regexp_replace(replace(line, '&', ' and '), '\\bv([0-9])', 'version \\1', 'g') as line from split
       where not regexp_full_match(line, '[^a-z0-9]*all rights reserved[^a-z0-9]*')
         and not regexp_matches(line, '^[^a-z0-9(©]*(copyright[^a-z0-9]*([(]c[)]|©)|[(]c[)][ \t]*copyright|(copyright|[(]c[)]|©).*(19[0-9][0-9]|20[0-9][0-9]|<year>|[[]year[]]|[[]yyyy[]]))')),
-    plain as (select rid, doc_id, licence, pos, regexp_replace(replace(bare, '&', ' and '), '\\bv([0-9])', 'version \\1', 'g') as line from kept),
+    cut as (select rid, doc_id, licence, pos, unnest(string_split_regex(line, '\\s+')) as token, unnest(range(len(string_split_regex(line, '\\s+')))) as nth from kept),
+    told as (select *, regexp_replace(lag(token) over (partition by rid order by pos, nth), '[^a-z0-9]+', '', 'g') as before from cut where regexp_matches(token, '[a-z0-9à-öø-ÿ]')),
+    plain as (select rid, doc_id, licence, pos, string_agg(token, ' ' order by nth) as line from told
+      where coalesce(before, '') in ('version', 'section') or not regexp_full_match(token, '[(]?([0-9][0-9]?|[a-z])[.)]') group by rid, doc_id, licence, pos),
     worded as (
       select rid, doc_id, licence, pos, string_split(array_to_string(list_transform(list_filter(regexp_split_to_array(line, '[^a-z0-9à-öø-ÿ]+'), lambda w: w <> ''),
         lambda w: case w when 'licence' then 'license' when 'licences' then 'licenses' when 'licenced' then 'licensed' when 'owner' then 'holder' when 'owners' then 'holders'

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import textwrap
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -50,6 +51,45 @@ def test_layouts_and_blocks_inside_files(spark):
     assert got == expected and by_sql(rows) == got
 
 
+def test_every_known_text_at_every_width(spark):
+    """Notices and licences of any length, wrapped from 10 characters on, plain, as a comment and with list marks on lines of their own."""
+    rows, expected = [], set()
+    for k, (name, text) in enumerate(licences.KNOWN):
+        for width in range(10, 61):
+            i = 1000 * (k + 1) + width
+            prefix = ("", "# ", " * ")[width % 3]
+            lines = [textwrap.wrap(p, width, initial_indent=prefix, subsequent_indent=prefix, break_long_words=False, break_on_hyphens=True) for p in text.split("\n")]
+            rows.append((i, "code above\n" + "\n".join(x for part in lines for x in part) + "\ncode below", None, None))
+            expected.add((i, name))
+    got = found(table_of(spark, rows))
+    assert expected <= {(i, name) for i, name, whole, _ in got if not whole}
+    assert by_sql([r for r in rows if r[0] % 10 == 0]) == {r for r in got if r[0] % 10 == 0}
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses").is_dir(), reason="no public licence texts on this machine")
+def test_long_licences_by_digest(spark):
+    """The whole texts, also wrapped anew, under a copyright line, and inside a file; one changed word is another text."""
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3"}
+    rows, expected = [], set()
+    for k, (name, file) in enumerate(files.items()):
+        text = (Path("/usr/share/common-licenses") / file).read_text()
+        paragraphs = "\n\n".join(textwrap.fill(" ".join(p.split()), 100) if "opyright" not in p else p for p in text.split("\n\n"))
+        forms = [text, "Copyright (c) 2020 Someone\n" + text, paragraphs, "/*\n" + "\n".join(f" * {x}" for x in text.split("\n")) + "\n */\nint main() {}\n", text.replace(" this ", " thus ", 1)]
+        rows += [(10 * k + j, f, None, None) for j, f in enumerate(forms)]
+        expected |= {(10 * k + j, name, j < 3) for j in range(4)}
+    got = {(i, name, whole) for i, name, whole, _ in found(table_of(spark, rows)) if name in files}
+    assert {r for r in got if r[2] or r[0] % 10 == 3} >= expected and not {i for i, _, whole in got if i % 10 == 4 and whole}
+
+
+def test_more_known_texts_than_a_block(spark, monkeypatch):
+    """Known texts beyond a block are looked for in another pass; nothing is refused."""
+    monkeypatch.setattr(licences, "BLOCK_KNOWN", 7)
+    known = spark.createDataFrame([(f"L{i}", f"licence number {i} of the house,\nall of it") for i in range(60)], "licence string, text string")
+    rows = [(i, f"before\nLicense number {i} of\nthe house, all of it\nafter", None, None) for i in range(60)]
+    assert found(table_of(spark, rows), known=known) == {(i, f"L{i}", False, 1) for i in range(60)}
+    assert found(table_of(spark, rows), known=licences.known_digests(known)) == {(i, f"L{i}", False, 1) for i in range(60)}
+
+
 def test_spellings_case_marks_and_copyright_lines(spark):
     mit = LONG["MIT"]
     rows = [
@@ -72,6 +112,8 @@ def test_a_table_of_licences(spark):
     df = table_of(spark, [(1, "x\nHouse license\none: all may read.\ny", None, None), (2, "Released under the MIT License.", None, None)])
     assert found(df, known=own.filter("licence = 'House'")) == {(1, "House", False, 1)}
     assert found(df, known=own, markers=()) == {(1, "House", False, 1)}
+    with pytest.raises(ValueError, match="inside a word"):
+        licences.scan_licences(df, known=own, markers=("public domain",))
     with pytest.raises(ValueError, match="without any of"):
         licences.scan_licences(df, known=own)
 
