@@ -62,6 +62,17 @@ class Ranks:
         self.find = regex.compile(BYTE_PATTERN)
         self.stand_ins = _StandIns()
         self.kept: dict[str, bytes] = {}
+        self.merged: dict[bytes, list[int]] = {}
+
+    def known(self, data: bytes) -> list[int]:
+        """``merge`` with a table: the same short halves and windows come up in many pre-tokens."""
+        if len(data) > 2 * LEAF:
+            return self.merge(data)
+        if data not in self.merged:
+            if len(self.merged) >= LIMIT:
+                self.merged.clear()
+            self.merged[data] = self.merge(data)
+        return self.merged[data]
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of ``data`` by merging the pair of least rank, the leftmost of equals, while there is one."""
@@ -105,7 +116,7 @@ class Ranks:
         """The product: the encoding of the bytes of ``left`` and ``right`` together."""
         a, b = len(left) - 1, 1
         while True:
-            window = self.merge(b"".join(map(self.spelling.__getitem__, left[a:] + right[:b])))
+            window = self.known(b"".join(map(self.spelling.__getitem__, left[a:] + right[:b])))
             fixed_left, fixed_right = a == 0 or window[0] == left[a], b == len(right) or window[-1] == right[b - 1]
             if fixed_left and fixed_right:
                 return left[:a] + window + right[b:]
@@ -117,7 +128,7 @@ class Ranks:
     def tree(self, data: bytes) -> list[int]:
         """Ids of ``data``, which isn't empty, by halves."""
         if len(data) <= LEAF:
-            return self.merge(data)
+            return self.known(data)
         half = len(data) // 2
         return self.join(self.tree(data[:half]), self.tree(data[half:]))
 
