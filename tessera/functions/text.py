@@ -70,16 +70,9 @@ def context_key(c: Column) -> Column:
     return F.array_join(F.array_sort(words(c)), " ")
 
 
-def keep_maximal(found: Column) -> Column:
-    """Strings of an array that are no proper part of another one in it."""
-    distinct = F.array_distinct(found)
-    return F.filter(distinct, lambda x: ~F.exists(distinct, lambda y: (x != y) & F.contains(y, x)))
-
-
-def strike(text: Column, refs: Column, mark: str = "[unverified]") -> Column:
-    """``text`` with each of the array's strings replaced by ``mark``, the longest first."""
-    longest_first = F.array_sort(refs, lambda a, b: F.length(b) - F.length(a))
-    return F.aggregate(longest_first, text, lambda t, r: F.when(r == "", t).otherwise(F.replace(t, r, F.lit(mark))))
+def single_blanks(c: Column) -> Column:
+    """White space made single blanks, none at the ends."""
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
 def roman_value(c: Column) -> Column:

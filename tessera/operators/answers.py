@@ -7,39 +7,70 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import hits, strike, terms, words
+from tessera.functions import legal
+from tessera.functions.spans import strike_places, with_brackets
+from tessera.functions.text import base_section, hits, single_blanks, terms, words
 
 NOTE = "\n\n_References that could not be verified were removed._"
 
 
-def report(answers: DataFrame, known: DataFrame, shown: DataFrame, key: str, text: str, extract: Callable[[Column], Column], same: Callable[[Column], Column], note: str = NOTE) -> DataFrame:
+def report(answers: DataFrame, known: DataFrame, shown: DataFrame, key: str, text: str, places: Callable[[Column], Column], same: Callable[[Column], Column], note: str = NOTE, asked: str | None = None) -> DataFrame:
     """Rows (key, text, removed, flagged, verified, triggered, reason), one per answer.
 
-    ``extract`` gives the references of a text, ``same`` the form in which they
-    are compared with column ref of ``known`` and of ``shown``.  A reference is
-    removed if it isn't known, and struck out of the text, which then ends with
-    ``note``; it is flagged if it is known but wasn't shown, and verified in
-    either case.  With an empty note this is the check of a draft.  Lists are
-    sorted; a null text, or one without references, has empty ones.  References
-    alone are joined; the lists of one text are as long as its references.
+    ``places`` gives the references of a text as an array of (start, stop, ref,
+    key), of one kind or several; ``same`` gives the key of column ref of
+    ``known`` and of ``shown``.  A reference is removed if it isn't known, and
+    struck out of the text where it stands, with brackets that hold nothing
+    else; the text then ends with ``note``.  It is flagged if it is known but
+    wasn't shown, and verified in either case.  With an empty note this is the
+    check of a draft.  ``asked`` names a column of ``answers`` with a key that
+    stays although it isn't known.  Lists are sorted and have white space made
+    single; a null text, or one without references, has empty ones.  Rows with
+    one key and other texts, and rows with a null key, are reports of their own.
+    References alone are joined; the lists of one text are as long as its
+    references.
     """
     of = lambda df, name: df.select(same(F.col("ref")).alias("_k")).distinct().withColumn(name, F.lit(True))
-    refs = answers.select(key, F.explode(F.array_distinct(extract(F.col(text)))).alias("_ref")).withColumn("_k", same(F.col("_ref")))
-    placed = refs.join(of(known, "_known"), "_k", "left").join(of(shown, "_shown"), "_k", "left")
+    by = [F.col(key).alias("_key"), F.xxhash64(text, *([asked] if asked else [])).alias("_text")]
+    own = [F.col(asked).alias("_asked")] if asked else [F.lit(None).cast("string").alias("_asked")]
+    refs = answers.filter(F.col(text).isNotNull()).select(*by, *own, F.col(text).alias("_t"), F.explode(places(F.col(text))).alias("_p"))
+    refs = refs.select("_key", "_text", "_asked", with_brackets(F.col("_t"), F.col("_p")).alias("_at"), single_blanks(F.col("_p")["ref"]).alias("_ref"), F.col("_p")["key"].alias("_k"))
+    placed = refs.join(of(known, "_known"), "_k", "left").join(of(shown, "_shown"), "_k", "left").filter("_known or not _k <=> _asked")
     missing, unseen = F.col("_known").isNull(), F.col("_known").isNotNull() & F.col("_shown").isNull()
     listed = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("_ref"))))
-    lists = placed.groupBy(key).agg(listed(missing).alias("removed"), listed(unseen).alias("flagged"), listed(~missing).alias("verified"))
+    lists = placed.groupBy("_key", "_text").agg(listed(missing).alias("removed"), listed(unseen).alias("flagged"), listed(~missing).alias("verified"), F.collect_set(F.when(missing, F.col("_at"))).alias("_struck"))
     none = F.array().cast("array<string>")
-    out = answers.select(key, text).join(lists, key, "left").withColumns({c: F.coalesce(c, none) for c in ("removed", "flagged", "verified")})
+    met = answers.select(F.col(key), F.col(text), *by).withColumnsRenamed({"_key": "_own_key", "_text": "_own_text"}).join(lists, F.col("_own_key").eqNullSafe(F.col("_key")) & (F.col("_own_text") == F.col("_text")), "left")
+    out = met.select(key, text, "_struck", *(F.coalesce(c, none).alias(c) for c in ("removed", "flagged", "verified")))
     n_removed, n_flagged = F.size("removed"), F.size("flagged")
     said = lambda n, what: F.when(n > 0, F.concat(n.cast("string"), F.lit(what)))
     return out.withColumns(
         {
-            text: F.concat(strike(F.col(text), F.col("removed")), F.when(n_removed > 0, note).otherwise("")),
+            text: F.when(n_removed > 0, F.concat(strike_places(F.col(text), F.col("_struck")), F.lit(note))).otherwise(F.col(text)),
             "triggered": n_removed + n_flagged > 0,
             "reason": F.concat_ws("; ", said(n_removed, " removed"), said(n_flagged, " not shown")),
         }
-    )
+    ).drop("_struck")
+
+
+def statutes_shown(answers: DataFrame, listed: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``listed`` (key, act, section and more) to show under each answer (key, text): the provisions it names.
+
+    A number after a word for section with no act beside it names the one listed
+    provision of that number, if there is only one.  An answer that names
+    provisions, none of them listed, gets none; one that names none gets all.
+    Keys of answers have to be unique; sub-sections count as their section.
+    """
+    written = legal.with_code_names(F.col(text))
+    bare = F.transform(F.regexp_extract_all(written, F.lit(r"(?i)\b(?:sections?|secs?|s\.)\s*(\d+[A-Z]?)"), F.lit(1)), lambda x: F.upper(x))
+    bases = F.transform(legal.statute_refs(written), lambda r: base_section(r))
+    named = answers.select(F.col(key).alias("_key"), bases.alias("_refs"), bare.alias("_bare"))
+    rows = listed.join(named, F.col(key) == F.col("_key")).withColumn("_base", F.upper(base_section(F.col("section"))))
+    one = F.size(F.collect_set(F.upper("act")).over(Window.partitionBy(key, "_base"))) == 1
+    hit = F.array_contains("_refs", F.concat(F.upper("act"), F.lit(" "), F.col("_base"))) | (F.array_contains("_bare", F.col("_base")) & one)
+    marked = rows.withColumn("_hit", hit).withColumn("_any", F.bool_or("_hit").over(Window.partitionBy(key)))
+    said = (F.size("_refs") > 0) | (F.size("_bare") > 0)
+    return marked.filter(F.col("_hit") | (~F.col("_any") & ~said)).select(*listed.columns)
 
 
 def by_report(cited: Column) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import strike
+from tessera.functions.spans import strike_places
+from tessera.functions.text import single_blanks
 
 
 def update_where(df: DataFrame, guard: Column, values: dict[str, Column]) -> DataFrame:
@@ -54,18 +55,18 @@ def live_tokens(tokens: DataFrame, uses: DataFrame, as_of: str, most_attempts: i
     return last.join(tried, "token_id", "left").filter(fine).select(*tokens.columns)
 
 
-def guarded(answers: DataFrame, known: DataFrame, key: str, text: str, extract: Callable[[Column], Column]) -> DataFrame:
-    """Rows (key, text, removed): references of a text that ``known`` (column ref) lacks are struck out of it and listed.
+def guarded(answers: DataFrame, known: DataFrame, key: str, text: str, places: Callable[[Column], Column]) -> DataFrame:
+    """Rows (key, text, removed): references of a text that ``known`` (column ref) lacks are struck out where they stand, and listed.
 
-    ``extract`` gives an array of references; only these travel, and the texts
-    once, to where their missing references are.
+    ``places`` gives the references of a text as an array of (start, stop, ref);
+    only these travel, and the texts once, to where their missing references
+    are.  References are compared with white space made single.  Keys have to be unique.
     """
-    refs = answers.select(key, F.explode(F.array_distinct(extract(F.col(text)))).alias("ref"))
+    refs = answers.select(key, F.explode(places(F.col(text))).alias("_p")).withColumn("ref", single_blanks(F.col("_p")["ref"]))
     missing = refs.join(known.select("ref").distinct(), "ref", "left_anti")
-    lists = missing.groupBy(key).agg(F.array_sort(F.collect_set("ref")).alias("removed"))  # the references of one text
-    none = F.array().cast("array<string>")
-    both = answers.select(key, text).join(lists, key, "left").withColumn("removed", F.coalesce("removed", none))
-    return both.withColumn(text, strike(F.col(text), F.col("removed")))
+    lists = missing.groupBy(key).agg(F.array_sort(F.collect_set("ref")).alias("removed"), F.collect_list("_p").alias("_struck"))  # the references of one text
+    both = answers.select(key, text).join(lists, key, "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<string>")))
+    return both.withColumn(text, F.when(F.col("_struck").isNull(), F.col(text)).otherwise(strike_places(F.col(text), F.col("_struck")))).drop("_struck")
 
 
 def paid_uncredited(orders: DataFrame, entries: DataFrame) -> DataFrame:

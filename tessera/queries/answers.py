@@ -6,34 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import legal
-from tessera.operators import answers, retrieval
+from tessera.operators import answers, lookup, retrieval
 from tessera.session import table
 
 DAY = "2024-01-20"
 WORDS = ["license", "data", "the", "and"]
-_ANSWER = "concat('Held in (2014) 2 SCC ', p_partkey, ' and AIR ', 1950 + p_size, ' SC ', p_partkey, '.')"
+_ANSWER = (
+    "case p_size % 4 when 0 then concat('Held in (2014) 2 SCC ', p_partkey, ' and (2014) 2 SCC ', p_partkey, '0.') when 1 then concat('See (2014)  2 SCC ', p_partkey, ' or (2014)\\n2 SCC ', p_partkey, ', u/s ', p_size, ' IPC.') "
+    "when 2 then concat('*Case* (A.I.R. ', 1950 + p_size, ' S.C. ', p_partkey, ') and ( AIR ', 1951 + p_size, ' SC ', p_partkey, ' ) hold.') else concat('AIR ', 1950 + p_size, ' SC ', p_partkey, '; section ', p_size, ' of the IPC, ', p_name) end"
+)
 _SCC, _AIR = "concat('2014 (2) SCC ', p_partkey)", "concat('AIR ', 1950 + p_size, ' SC ', p_partkey)"
 _CLASSED = "if(p_size % 2 = 0, concat('Theft is bailable. Punished as ', p_size, ' says.\\nPlain line.\\nIt is cognizable!'), 'Nothing said. Of it.')"
 _ASKED = "case p_size % 5 when 0 then 'IPC 302 ka BNS mein kya hua' when 1 then 'what is bail' when 2 then 'यह hai ka kya' when 3 then 'Hinglish, please' else 'the ki' end"
 _TITLE = "if(p_size % 4 = 0, p_name, concat('<b>', if(p_size % 2 = 0, 'Section', 'article'), '</b> ', p_size, 'a in The <b>', p_brand, '</b> Act, ', 1900 + p_size))"
 
 
-def _refs(spark: SparkSession, sf_dir: str, scc: str, air: str) -> DataFrame:
+def _refs(spark: SparkSession, sf_dir: str, scc: str, air: str, ipc: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    return part.filter(scc).select(F.expr(_SCC).alias("ref")).unionByName(part.filter(air).select(F.expr(_AIR).alias("ref")))
+    listed = [part.filter(scc).select(F.expr(_SCC)), part.filter("p_partkey % 5 = 0").select(F.expr(f"concat({_SCC}, '0')")), part.filter(air).select(F.expr(_AIR)), part.filter(ipc).select(F.expr("concat('ipc  ', p_size)")).distinct()]
+    return lookup.union_all([df.toDF("ref") for df in listed])
 
 
 def answer_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is known, and what was shown, is listed in another spelling than the answers have."""
+    """Citations and sections in one report: beginnings of real ones, blanks and line breaks in them, brackets and dots; what is known, and what was shown, is listed in another spelling."""
     texts = table(spark, sf_dir, "part").select("p_partkey", F.expr(_ANSWER).alias("answer"))
-    known, shown = _refs(spark, sf_dir, "p_partkey % 3 = 0", "p_size <= 25"), _refs(spark, sf_dir, "p_partkey % 2 = 0", "p_size % 2 = 0")
-    found = answers.report(texts, known, shown, "p_partkey", "answer", legal.citations, legal.canonical_citation)
+    known, shown = _refs(spark, sf_dir, "p_partkey % 3 = 0", "p_size <= 25", "p_size % 2 = 1"), _refs(spark, sf_dir, "p_partkey % 2 = 0", "p_size % 3 = 0", "p_size % 5 = 0")
+    found = answers.report(texts, known, shown, "p_partkey", "answer", legal.reference_places, legal.reference_key)
     return found.withColumns({c: F.array_join(c, "; ") for c in ("removed", "flagged", "verified")})
 
 
 def citation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.expr(f"array(concat('2014 INSC ', p_partkey), {_AIR}, concat('2014 SCC (Cri) ', p_size), {_SCC})")
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.slice(answers.by_report(made), 1, 3), "; ").alias("cited"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(answers.by_report(made), "; ").alias("cited"))
 
 
 def named_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,18 +125,23 @@ _LISTED = ", ".join(f"'{w}'" for w in WORDS)
 _HITS = rf"len(list_filter(regexp_split_to_array(lower({{}}), '[\s.,;:!?]+'), lambda w: w in ({_LISTED})))"
 _WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: w <> '')"
 ORACLES = {
-    "answer_reports": """
-        with s as (select p_partkey, '(2014) 2 SCC ' || p_partkey as a, 'AIR ' || (1950 + p_size) || ' SC ' || p_partkey as b,
-                   p_partkey % 3 = 0 as ka, p_size <= 25 as kb, p_partkey % 2 = 0 as sa, p_size % 2 = 0 as sb from part),
-        n as (select *, (not ka)::int + (not kb)::int as r, (ka and not sa)::int + (kb and not sb)::int as f from s)
-        select p_partkey, 'Held in ' || case when ka then a else '[unverified]' end || ' and ' || case when kb then b else '[unverified]' end || '.'
-               || case when r > 0 then chr(10) || chr(10) || '_References that could not be verified were removed._' else '' end as answer,
-               concat_ws('; ', case when not ka then a end, case when not kb then b end) as removed,
-               concat_ws('; ', case when ka and not sa then a end, case when kb and not sb then b end) as flagged,
-               concat_ws('; ', case when ka then a end, case when kb then b end) as verified, r + f > 0 as triggered,
-               concat_ws('; ', case when r > 0 then r || ' removed' end, case when f > 0 then f || ' not shown' end) as reason from n
+    "answer_reports": rf"""
+        with t as (select p_partkey, {_ANSWER.replace(chr(92) + "n", "', chr(10), '")} as t from part),
+        r as (select distinct p_partkey, unnest(regexp_extract_all(t, '\(2014\)\s+2 SCC [0-9]+|A[.]?I[.]?R[.]? [0-9]{{4}} S[.]?C[.]? [0-9]+|(?:u/s|section) [0-9]+ (?:of the )?IPC')) as said from t),
+        k as (select p_partkey, said, regexp_replace(said, '\s+', ' ', 'g') as ref, case when said like '%SCC%' then 'SCC:' || regexp_extract(said, '([0-9]+)$', 1)
+              when said like 'A%' then 'AIR:' || regexp_extract(said, '[0-9]{{4}}') || ':' || regexp_extract(said, '([0-9]+)$', 1) else 'IPC:' || regexp_extract(said, '[0-9]+') end as k from r),
+        listed as (select 'SCC:' || p_partkey as k, p_partkey % 3 = 0 as known, p_partkey % 2 = 0 as shown from part union all select 'SCC:' || p_partkey || '0', p_partkey % 5 = 0, p_partkey % 5 = 0 from part
+              union all select 'AIR:' || (1950 + p_size) || ':' || p_partkey, p_size <= 25, p_size % 3 = 0 from part union all select 'IPC:' || p_size, p_size % 2 = 1, p_size % 5 = 0 from part),
+        m as (select k, bool_or(known) as known, bool_or(shown) as shown from listed group by k),
+        s as (select p_partkey, list(said order by said desc) filter (not coalesce(known, false)) as bad, list(distinct ref order by ref) filter (not coalesce(known, false)) as removed,
+              list(distinct ref order by ref) filter (known and not shown) as flagged, list(distinct ref order by ref) filter (known) as verified from k left join m using (k) group by p_partkey),
+        f as (select p_partkey, t, coalesce(bad, []) as bad, coalesce(removed, []) as removed, coalesce(flagged, []) as flagged, coalesce(verified, []) as verified from t left join s using (p_partkey)),
+        u as (select *, list_reduce(list_prepend(t, bad), lambda x, w: regexp_replace(regexp_replace(x, '\(\s*' || regexp_escape(w) || '\s*\)', '[unverified]', 'g'), regexp_escape(w) || '\b', '[unverified]', 'g')) as struck from f)
+        select p_partkey, struck || case when len(removed) > 0 then chr(10) || chr(10) || '_References that could not be verified were removed._' else '' end as answer,
+               array_to_string(removed, '; ') as removed, array_to_string(flagged, '; ') as flagged, array_to_string(verified, '; ') as verified, len(removed) + len(flagged) > 0 as triggered,
+               concat_ws('; ', case when len(removed) > 0 then len(removed) || ' removed' end, case when len(flagged) > 0 then len(flagged) || ' not shown' end) as reason from u
     """,
-    "citation_order": "select p_partkey, '2014 (2) SCC ' || p_partkey || '; AIR ' || (1950 + p_size) || ' SC ' || p_partkey || '; 2014 INSC ' || p_partkey as cited from part",
+    "citation_order": "select p_partkey, '2014 (2) SCC ' || p_partkey || '; AIR ' || (1950 + p_size) || ' SC ' || p_partkey || '; 2014 INSC ' || p_partkey || '; 2014 SCC (Cri) ' || p_size as cited from part",
     "named_cases": """
         with r as (select o_custkey, o_orderkey, o_orderkey % 100 as score, o_orderpriority as court, year(o_orderdate)::int as day from orders where o_orderkey % 100 >= 50),
         t as (select * from r qualify court = '1-URGENT' or not bool_or(court = '1-URGENT') over (partition by o_custkey)),

@@ -54,7 +54,7 @@ def guarded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = part.select("p_partkey", F.expr(_ANSWER).alias("answer"))
     known = part.filter("p_size <= 25").select(F.expr("concat('AIR ', 1950 + p_size, ' SC ', p_partkey)").alias("ref"))
     known = known.unionByName(part.filter("p_partkey % 3 = 0").select(F.expr("concat('(2014) 2 SCC ', p_partkey)").alias("ref")))
-    found = changes.guarded(answers, known, "p_partkey", "answer", legal.citations)
+    found = changes.guarded(answers, known, "p_partkey", "answer", legal.citation_places)
     return found.select("p_partkey", "answer", F.array_join("removed", "; ").alias("removed"))
 
 

@@ -9,7 +9,7 @@ from tessera.operators import answers
 
 
 def report(texts, known, shown, **more):
-    return {r.id: r for r in answers.report(texts, known, shown, "id", "said", legal.citations, legal.canonical_citation, **more).collect()}
+    return {r.id: r for r in answers.report(texts, known, shown, "id", "said", legal.reference_places, legal.reference_key, **more).collect()}
 
 
 def test_report_strikes_unknown_references_and_flags_those_not_shown(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import search
+from tessera.functions import search, spans
 from tessera.functions.text import terms
 from tessera.operators import changes, retrieval
 
@@ -81,7 +81,7 @@ def test_tokens(spark):
 def test_guard_strikes_what_is_not_known(spark):
     answers = spark.createDataFrame([(1, "see A1 and B2"), (2, "nothing"), (3, None)], "k long, t string")
     known = spark.createDataFrame([("A1",), ("A1",)], "ref string")
-    found = {r.k: (r.t, r.removed) for r in changes.guarded(answers, known, "k", "t", lambda c: F.regexp_extract_all(c, F.lit(r"[A-Z]\d"), F.lit(0))).collect()}
+    found = {r.k: (r.t, r.removed) for r in changes.guarded(answers, known, "k", "t", lambda c: spans.places(c, r"[A-Z]\d")).collect()}
     assert found == {1: ("see A1 and [unverified]", ["B2"]), 2: ("nothing", []), 3: (None, [])}
 
 
