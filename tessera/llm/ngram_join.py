@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import partenum
@@ -444,11 +444,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def _nodes(text: str):
+    """Rows (row, node, rank) of those whose rank is below all before them in the task with their set and id: of n copies in any order some log n."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[tuple[int, int | None], int] = {}
         for batch in batches:
+            docs, ranks = batch.column("doc").to_pylist(), batch.column("rank").to_pylist()
             for a, b, values, bounds in _sets(field(batch, text)):
-                node = pa.array(_set_hashes(values, bounds), mask=np.diff(bounds) == 0)
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), node], ["row", "node"])
+                nodes, kept = _set_hashes(values, bounds), []
+                for i, (key, rank) in enumerate(zip(zip(nodes.tolist(), docs[a:b], strict=True), ranks[a:b], strict=True)):
+                    if rank < least.get(key, 1 << 63):
+                        least[key] = rank
+                        kept.append(i)
+                at = pa.array(kept, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a).take(at), pa.array(nodes).take(at), batch.column("rank").slice(a, b - a).take(at)], ["row", "node", "rank"])
 
     return run
 
@@ -458,16 +467,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     The row that stays has the component's smallest id (a null id only where
     there is no other); of rows with that id it is one with the least set hash,
-    and of several with that set too the first text in order.  Only this
+    and of several with that set too the text with the least hash.  Only this
     operator's last step moves whole rows, and it moves them once; rows without
     words stay where they are.
     """
     _, classes = _classes(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     roots = classes.filter("node = root_node").select(F.xxhash64("node", "root_doc").alias("key"), F.col("node").alias("kept"), F.col("root_doc").alias("kept_doc"))
     has_word = F.coalesce(F.col(f"`{text_col}`").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = annotate(docs.filter(has_word), _nodes(text_col), [text_col], "node long")
+    # Copies of one id and set are cut down where they are; those that go on are few in any task.
+    rows = annotate(docs.filter(has_word), _nodes(text_col), [text_col], "node long, rank long", doc=F.col(f"`{id_col}`").cast("long"), rank=F.xxhash64(F.col(f"`{text_col}`")))
     doc = F.col("row").getField(id_col).cast("long")
-    # Rows of one id and set are cut down before they move: the first text of each task goes on.
-    first = F.min_by(F.struct("row", "node", doc.alias("doc")), F.col("row").getField(text_col)).alias("first")
-    met = rows.groupBy(F.xxhash64("node", doc).alias("key")).agg(first).join(roots, "key")
-    return met.filter("first.node = kept and first.doc <=> kept_doc").select("first.row.*").unionByName(docs.filter(~has_word))
+    met = rows.withColumns({"doc": doc, "key": F.xxhash64("node", doc)}).join(roots, "key").filter("node = kept and doc <=> kept_doc")
+    first = met.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("rank"))).filter("nth = 1")
+    return first.select("row.*").unionByName(docs.filter(~has_word))
