@@ -49,7 +49,7 @@ def named_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def two_meanings(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     mapping = part.select(F.lit("IPC").alias("old_act"), F.col("p_size").cast("string").alias("old_section"), F.lit("BNS").alias("new_act"), F.expr("cast(if(p_size % 5 = 0, p_size, p_partkey % 3 + p_size) as string)").alias("new_section"))
-    sections = part.filter("p_size % 2 = 0").select(F.lit("BNS").alias("act"), F.col("p_size").cast("string").alias("section"), F.col("p_type").alias("title"))
+    sections = part.filter("p_size % 2 = 0").select(F.lit("BNS").alias("act"), F.col("p_size").cast("string").alias("section"), F.col("p_name").alias("title"))
     return answers.ambiguous_numbers(mapping, sections, "IPC", "BNS").withColumn("now", F.array_join("now", "; "))
 
 
@@ -92,8 +92,8 @@ def searches_on_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("date").cast("string")).alias("archived"), "o_orderpriority")
-    return answers.page(plans, [F.asc_nulls_first("archived"), F.asc("o_orderpriority"), F.asc("o_orderkey")], 50, 10)
+    plans = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") >= 50, F.year("o_orderdate").cast("string")).alias("archived"), "o_orderpriority")
+    return answers.page(plans, [F.asc_nulls_first("archived"), F.asc("o_orderpriority"), F.asc("o_orderkey")], 100, 10)
 
 
 def pending_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,7 @@ ORACLES = {
     "two_meanings": """
         with m as (select distinct p_size::varchar as number, (case when p_size % 5 = 0 then p_size else p_partkey % 3 + p_size end)::varchar as s from part),
         w as (select number, string_agg(s, '; ' order by s) as now from m group by 1 having bool_or(s <> number))
-        select number, now, min(p_type) as title from w join part on p_size::varchar = number where p_size % 2 = 0 group by 1, 2
+        select number, now, min(p_name) as title from w join part on p_size::varchar = number where p_size % 2 = 0 group by 1, 2
     """,
     "field_weights": f"""
         with s as (select doc_id, {_HITS.format("split_part(text, chr(10), 1)")} * 1.0::double + {_HITS.format("text")} * 0.25::double as score from documents)
@@ -175,8 +175,8 @@ ORACLES = {
     """,
     "searches_on_day": f"select user_id, count(*) as n from events where ts::timestamp >= timestamp '{DAY}' group by 1",
     "plan_listing": """
-        with p as (select o_orderkey, case when o_orderstatus = 'F' then o_orderdate::date::varchar end as archived, o_orderpriority from orders)
-        select * from p order by archived nulls first, o_orderpriority, o_orderkey limit 50 offset 10
+        with p as (select o_orderkey, case when o_orderkey >= 50 then year(o_orderdate)::varchar end as archived, o_orderpriority from orders)
+        select * from p order by archived nulls first, o_orderpriority, o_orderkey limit 100 offset 10
     """,
     "pending_decisions": """
         with u as (select c_custkey, c_custkey % 3 = 0 as asked, c_custkey % 2 = 0 as ok, case c_custkey % 4 when 1 then 'ADVOCATE' when 2 then 'ADMIN' else 'GUEST' end as role from customer)

@@ -9,7 +9,7 @@ from tessera.operators import corpus
 from tessera.session import table
 
 AS_OF = "2024-01-20 00:00:00"
-LISTED = ["ECONOMY ANODIZED BRASS", "STANDARD PLATED TIN"]
+LISTED = ["ECONOMY", "PROMO"]
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +19,7 @@ def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _sections(spark, sf_dir).withColumnsRenamed({"act": "old_act", "section": "old_section"})
-    return made.select("old_act", "old_section", F.lit("NEW").alias("new_act"), F.expr("regexp_extract(old_section, '^[0-9]+', 0)").alias("new_section")).distinct()
+    return made.select("old_act", "old_section", F.expr("if(length(old_section) > 2, 'NEWER', 'NEW')").alias("new_act"), F.expr("regexp_extract(old_section, '^[0-9]+', 0)").alias("new_section")).distinct()
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def section_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = table(spark, sf_dir, "part").select("p_partkey", F.split("p_type", " ").alias("tags"))
-    return corpus.having_any(tagged, "tags", ["STEEL", "PLATED"]).select("p_partkey", F.array_join("tags", " ").alias("tags"))
+    tagged = table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("tags"))
+    return corpus.having_any(tagged, "tags", ["ring", "red"]).select("p_partkey", F.array_join("tags", " ").alias("tags"))
 
 
 def leading_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delayed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = _jobs(spark, sf_dir).filter("job_id % 16 = 0")
+    jobs = _jobs(spark, sf_dir).withColumn("state", F.expr("case job_id % 191 when 0 then 'QUEUED' when 1 then 'ACTIVE' else state end")).filter("job_id % 191 <= 1 or state in ('DEAD', 'DONE')")
     new = table(spark, sf_dir, "events").select("event_id", F.expr("if(event_id % 10 = 0, null, concat('u', user_id))").alias("dedupe"), F.col("ts").cast("timestamp_ntz").alias("ts"))
     return corpus.enqueue(new, jobs, "dedupe", "ts", ["ts", "event_id"], "30 seconds").select("event_id", "dedupe", "state", "attempts", "run_at")
 
@@ -80,12 +80,12 @@ QUERIES = {
     for f in (section_positions, shared_tags, leading_orders, recodified, other_laws, grounded, delayed_jobs, renewed_leases, revived_jobs, unverified_answers)
 }
 _S = "(select p_type as act, p_size || case when p_partkey % 3 = 0 then 'A' else '' end || case when p_partkey % 5 = 0 then '(1)' else '' end as section from part)"
-_M = f"(select distinct act as old_act, section as old_section, 'NEW' as new_act, regexp_extract(section, '^[0-9]+') as new_section from {_S})"
+_M = f"(select distinct act as old_act, section as old_section, case when length(section) > 2 then 'NEWER' else 'NEW' end as new_act, regexp_extract(section, '^[0-9]+') as new_section from {_S})"
 _J = """(select event_id as job_id, 'u' || user_id as dedupe, case event_id % 4 when 0 then 'QUEUED' when 1 then 'ACTIVE' when 2 then 'DEAD' else 'DONE' end as state,
     'w' || (user_id % 3) as worker, (event_id % 5)::int as attempts, ts::timestamp as lease_until from events)"""
 ORACLES = {
     "section_positions": f"select act, section, row_number() over (partition by act order by regexp_extract(section, '^[0-9]+')::bigint, section)::int as position from (select distinct * from {_S})",
-    "shared_tags": "select p_partkey, p_type as tags from part where list_has_any(string_split(p_type, ' '), ['STEEL', 'PLATED'])",
+    "shared_tags": "select p_partkey, p_name as tags from part where list_has_any(string_split(p_name, ' '), ['ring', 'red'])",
     "leading_orders": """
         select o_custkey, floor(o_totalprice / 50000)::bigint as cited, year(o_orderdate)::int as year, o_orderkey from orders
         qualify row_number() over (partition by o_custkey order by floor(o_totalprice / 50000) desc, abs(year(o_orderdate) - 1995), o_orderkey) = 1
@@ -98,7 +98,7 @@ ORACLES = {
     "grounded": f"select act, split_part(section, '(', 1) as section from {_S} union select new_act, new_section from {_M}",
     "delayed_jobs": f"""
         with n as (select event_id, case when event_id % 10 = 0 then null else 'u' || user_id end as dedupe, ts::timestamp as ts from events),
-        live as (select dedupe from {_J} where job_id % 16 = 0 and state in ('QUEUED', 'ACTIVE'))
+        live as (select dedupe from {_J} where job_id % 191 <= 1)
         select event_id, dedupe, 'QUEUED' as state, 0 as attempts, ts + interval 30 seconds as run_at from n where dedupe is null or dedupe not in (select dedupe from live)
         qualify dedupe is null or row_number() over (partition by dedupe order by ts, event_id) = 1
     """,

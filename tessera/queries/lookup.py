@@ -24,12 +24,17 @@ def _mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size 1..25 of a brand maps to size + 25."""
     part = table(spark, sf_dir, "part").filter("p_size <= 10").select("p_type", "p_brand", "p_size").distinct()
     number = F.split_part("p_brand", F.lit("#"), F.lit(2))
-    return part.select(F.col("p_type").alias("old_act"), number.alias("old_section"), F.col("p_type").alias("new_act"), F.col("p_size").cast("string").alias("new_section"))
+    return part.select(F.col("p_type").alias("old_act"), number.alias("old_section"), F.col("p_type").alias("new_act"), (F.col("p_size") + 25).cast("string").alias("new_section"))
+
+
+LOOKUPS = {"a": ("small ring", "23"), "b": ("blue bolt", "30"), "c": ("red widget", "99")}
 
 
 def multi_strategy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = _statutes(spark, sf_dir)
-    return lookup.lookup(entries, "part 12", "23", None, _mapping(spark, sf_dir), 40).select("id", "section", "strategy", F.round("score", 6).alias("score"))
+    """A number that is a section, one that only a mapping has, and one that nothing has, so that the titles decide."""
+    entries, mapping = _statutes(spark, sf_dir), _mapping(spark, sf_dir)
+    found = [lookup.lookup(entries, text, section, None, mapping, 80).withColumn("asked", F.lit(k)) for k, (text, section) in LOOKUPS.items()]
+    return lookup.union_all(found).select("asked", "id", "section", "strategy", F.round("score", 6).alias("score"))
 
 
 def trigram_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,20 +112,23 @@ QUERIES = {
     for f in (multi_strategy_lookup, trigram_matches, coverage_rank, verify_refs, citation_key, section_references, or_join_pairs, year_band_join, topn_enrich, unique_only, as_of_previous, exists_and_not)
 }
 _STATUTES = "(select p_partkey as id, p_type as act, split_part(p_brand, '#', 2) as section, p_name as title from part)"
-_MAP = "(select distinct p_type as old_act, split_part(p_brand, '#', 2) as old_section, p_type as new_act, p_size::varchar as new_section from part where p_size <= 10)"
+_MAP = "(select distinct p_type as old_act, split_part(p_brand, '#', 2) as old_section, p_type as new_act, (p_size + 25)::varchar as new_section from part where p_size <= 10)"
 ORACLES = {
-    "multi_strategy_lookup": f"""
+    "multi_strategy_lookup": " union all ".join(
+        f"""
+        select '{k}' as asked, * from (
         with s as {_STATUTES}, m as {_MAP},
         u as (
-            select id, section, 'EXACT' as strategy, 1000.0::double as score from s where section = '23' union all
-            select id, section, 'EXACT', 990 from s where split_part(section, '(', 1) = '23' union all
-            select id, section, 'RECODIFIED', 950 from s where (act, section) in (select (new_act, new_section) from m where old_section = '23') union all
-            select id, section, 'RECODIFIED', 900 from s where (act, section) in (select (old_act, old_section) from m where new_section = '23') union all
-            select id, section, 'FULLTEXT', 20 from s where list_has_all(string_split_regex(lower(title), '[\\s.,;:!?]+'), ['part', '12']) union all
-            select id, section, 'FUZZY', sim from (select *, {_SIM('title', "'part 12'")} as sim from s) where sim > 0.3)
+            select id, section, 'EXACT' as strategy, 1000.0::double as score from s where section = '{section}' union all
+            select id, section, 'EXACT', 990 from s where split_part(section, '(', 1) = '{section}' union all
+            select id, section, 'RECODIFIED', 950 from s where (act, section) in (select (new_act, new_section) from m where old_section = '{section}') union all
+            select id, section, 'RECODIFIED', 900 from s where (act, section) in (select (old_act, old_section) from m where new_section = '{section}') union all
+            select id, section, 'FULLTEXT', 20 from s where list_has_all(string_split_regex(lower(title), '[\\s.,;:!?]+'), string_split('{text}', ' ')) union all
+            select id, section, 'FUZZY', sim from (select *, {_SIM('title', repr(text))} as sim from s) where sim > 0.3)
         select id, section, strategy, round(score, 6) as score from
-            (select * from u qualify row_number() over (partition by id order by score desc, strategy) = 1) order by score desc, id limit 40
-    """,
+            (select * from u qualify row_number() over (partition by id order by score desc, strategy) = 1) order by score desc, id limit 80)"""
+        for k, (text, section) in LOOKUPS.items()
+    ),
     "trigram_matches": f"select s_suppkey, round(s, 6) as similarity from (select s_suppkey, {_SIM('s_name', chr(39) + 'Supplier 000000012' + chr(39))} as s from supplier) where s > 0.3",
     "coverage_rank": """
         with d as (select doc_id, string_split_regex(lower(split_part(text, chr(10), 1)), '[\\s.,;:!?]+') as t, string_split_regex(lower(text), '[\\s.,;:!?]+') as b from documents),
