@@ -65,14 +65,18 @@ def running_balances(entries: DataFrame, ttl_ms: int | None = None) -> DataFrame
     return grouped.applyInPandasWithState(fold, "user_id long, balance long, entries long", "balance long, n long", "update", timeout)
 
 
-def rate_limited(events: DataFrame, key: str, seconds: int, limit: int) -> DataFrame:
+def rate_limited(events: DataFrame, key: str, seconds: int, limit: int, late: str = "10 minutes") -> DataFrame:
     """Rows (key, event_id, allowed): fixed windows that start with the first hit after the last window ran out.
 
     ``events`` has the key, event_id and a timestamp ts; a batch's hits of a key
-    are taken in the order of ts.
+    are taken in the order of ts.  Hits later than ``late`` are left out, and a
+    key is forgotten when the watermark has passed its window.
     """
 
     def fold(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, used = state.get if state.exists else (None, 0)
         hits = pd.concat(list(batches)).sort_values(["us", "event_id"])  # one key's hits of one micro-batch
         allowed = []
@@ -82,29 +86,9 @@ def rate_limited(events: DataFrame, key: str, seconds: int, limit: int) -> DataF
             used += 1
             allowed.append(used <= limit)
         state.update((start, used))
+        state.setTimeoutTimestamp(max(start // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": k[0], "event_id": hits["event_id"], "allowed": allowed})
 
-    rows = events.select(F.col(key).cast("long").alias("key"), F.col("event_id").cast("long"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return rows.groupBy("key").applyInPandasWithState(fold, "key long, event_id long, allowed boolean", "start long, used long", "append", GroupStateTimeout.NoTimeout)
-
-
-BREAKER = {"failures": 3, "open_seconds": 60}
-
-
-def breaker_states(calls: pd.DataFrame, failures: int = BREAKER["failures"], open_seconds: int = BREAKER["open_seconds"]) -> pd.DataFrame:
-    """Circuit breaker over one service's calls (seq, seconds, ok), in order: state before each call and whether it was let through."""
-    state, bad, opened, out = "CLOSED", 0, 0, []
-    for c in calls.sort_values("seq").itertuples():
-        if state == "OPEN" and c.seconds - opened >= open_seconds:
-            state = "HALF_OPEN"
-        passed = state != "OPEN"
-        out.append((c.seq, state, passed))
-        if not passed:
-            continue
-        if c.ok:
-            state, bad = "CLOSED", 0
-        else:
-            bad += 1
-            if state == "HALF_OPEN" or bad >= failures:
-                state, opened, bad = "OPEN", c.seconds, 0
-    return pd.DataFrame(out, columns=["seq", "state", "passed"])
+    rows = events.select(F.col(key).cast("long").alias("key"), F.col("event_id").cast("long"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("ts").cast("timestamp").alias("at"))
+    return rows.withWatermark("at", late).groupBy("key").applyInPandasWithState(fold, "key long, event_id long, allowed boolean", "start long, used long", "append", GroupStateTimeout.EventTimeTimeout)
+

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,10 +72,3 @@ def test_fan_out(spark):
     body = {"entry": [{"changes": [{"value": {"messages": [{"id": "m1", "type": "text", "from": "9", "timestamp": 5}, {"id": "m2", "type": "reaction", "timestamp": 6}], "statuses": [{"id": "s1", "status": "read", "timestamp": 7}]}}, {"value": {}}]}]}
     rows = spark.createDataFrame([(json.dumps(body),), ("not json",), (None,)], "body string")
     assert sorted((r.kind, r.id, r.status) for r in sv.fan_out(rows).collect()) == [("messages", "m1", None), ("statuses", "s1", "read")]
-
-
-def test_breaker_opens_and_tries_again():
-    calls = pd.DataFrame({"seq": range(7), "seconds": [0, 1, 2, 3, 70, 71, 72], "ok": [False, False, False, True, False, True, True]})
-    states = sv.breaker_states(calls)
-    assert states["state"].tolist() == ["CLOSED", "CLOSED", "CLOSED", "OPEN", "HALF_OPEN", "OPEN", "OPEN"]
-    assert states["passed"].tolist() == [True, True, True, False, True, False, False]
