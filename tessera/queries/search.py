@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tessera.functions import search
 from tessera.functions.text import terms
 from tessera.operators import retrieval
-from tessera.session import table
+from tessera.operators.lookup import union_all
+from tessera.session import scratch, table
+from tessera.sources import postings
 
 RULES = [("numbers", "[0-9]{6,}"), ("mail", "[a-z0-9]@[a-z0-9]"), ("long", "(?s)^.{3000}"), ("question", "[?]")]
 SYNONYMS = [["the", "der", "le", "el"], ["that", "que"], ["zebra", "quagga"]]
@@ -19,6 +21,24 @@ def web_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter(search.matches(terms(F.col("text")), query)).select("doc_id", "lang")
 
 
+INDEXED = ("the or der -that", '"of the" -nd', "-the", "ciónnñ or absent")
+
+
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several searches by one stored index of terms."""
+    path = scratch(spark, "terms")
+    postings.build_terms(table(spark, sf_dir, "documents"), path, "doc_id", "text")
+    found = [postings.web_search(spark, path, search.web_query(q), "doc_id").withColumn("search", F.lit(i)) for i, q in enumerate(INDEXED)]
+    return union_all(found).select("search", "doc_id")
+
+
+def indexed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose name is like a misspelt one, by a stored index of trigrams."""
+    path = scratch(spark, "trigrams")
+    postings.build_trigrams(table(spark, sf_dir, "customer"), path, "c_custkey", "c_name")
+    return postings.similar(spark, path, "Custommer 000000123", 0.6, "c_custkey").select("c_custkey", F.round("similarity", 6).alias("similarity"))
+
+
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = search.web_query('"of the"')
     return table(spark, sf_dir, "documents").filter(search.matches(terms(F.col("text")), query)).select("doc_id")
@@ -68,13 +88,23 @@ def local_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("day", "month").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (web_search, phrase_search, bm25_topk, expanded_search, topic_words, covered_share, hashed_vectors, intents, number_ranges, local_months)}
+QUERIES = {f.__name__: f for f in (web_search, indexed_search, indexed_names, phrase_search, bm25_topk, expanded_search, topic_words, covered_share, hashed_vectors, intents, number_ranges, local_months)}
 _TERMS = "list_filter(string_split_regex(lower(text), '[\\s.,;:!?]+'), lambda w: w <> '')"
 _WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{M}\\p{N}]+'), lambda w: w <> '')"
+_TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(generate_series(1, length(w) + 1), lambda i: substr('  ' || w || ' ', i, 3)))))"
+_SIM = lambda a, b: f"(len(list_intersect({_TRI.format(a)}, {_TRI.format(b)}))::double / len(list_distinct(list_concat({_TRI.format(a)}, {_TRI.format(b)}))))"
 _STOP = ", ".join(f"'{w}'" for w in sorted(search.STOP))
 _EXPANDED = "'the', 'that', 'der', 'le', 'el', 'que'"
 ORACLES = {
     "web_search": f"with t as (select doc_id, lang, {_TERMS} as t from documents) select doc_id, lang from t where (list_contains(t, 'the') or list_contains(t, 'der')) and not list_contains(t, 'that')",
+    "indexed_search": f"""
+        with t as (select doc_id, {_TERMS} as t from documents)
+        select 0 as search, doc_id from t where (list_contains(t, 'the') or list_contains(t, 'der')) and not list_contains(t, 'that')
+        union all select 1, doc_id from t where contains(' ' || array_to_string(t, ' ') || ' ', ' of the ') and not list_contains(t, 'nd')
+        union all select 2, doc_id from t where not list_contains(t, 'the')
+        union all select 3, doc_id from t where list_contains(t, 'ciónnñ') or list_contains(t, 'absent')
+    """,
+    "indexed_names": f"select c_custkey, round(s, 6) as similarity from (select c_custkey, {_SIM('c_name', chr(39) + 'Custommer 000000123' + chr(39))} as s from customer) where s > 0.6",
     "phrase_search": f"with t as (select doc_id, ' ' || array_to_string({_TERMS}, ' ') || ' ' as t from documents) select doc_id from t where contains(t, ' of the ')",
     "bm25_topk": f"""
         with t as (select doc_id, {_TERMS} as t from documents),
