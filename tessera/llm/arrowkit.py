@@ -20,10 +20,23 @@ def give_back() -> None:
         trim(0)
 
 
-def tidy(run: Callable) -> Callable:
-    """``run`` for mapInArrow, giving memory back after its last batch."""
+#: Large tables that a worker keeps from one task to the next, by name.
+KEPT: dict[str, dict] = {}
+
+
+def drop_tables(but: str | None) -> None:
+    """A worker goes from one operator to another; the tables of those before go with them."""
+    for name, table in KEPT.items():
+        if name != but and table:
+            table.clear()
+            give_back()
+
+
+def tidy(run: Callable, keeps: str | None = None) -> Callable:
+    """``run`` for mapInArrow, without the tables that other operators keep, and giving memory back after its last batch."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_tables(keeps)
         yield from run(batches)
         give_back()
 

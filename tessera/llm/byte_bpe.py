@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrowkit import tidy
+from tessera.llm.arrowkit import KEPT, tidy
 from tessera.llm.pieces import _PLAIN as SETTLED
 from tessera.llm.pieces import BYTE_PATTERN, id_bytes
 from tessera.llm.wordhash import chunks, text_buffer
@@ -188,7 +188,7 @@ class _StandIns(dict):
         return self[code]
 
 
-_ranks: dict[str, Ranks] = {}
+_ranks: dict[str, Ranks] = KEPT.setdefault("ranks", {})
 
 
 def ranks_of(path: str) -> Ranks:
@@ -247,7 +247,7 @@ def encode_texts(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col:
     unless all of it depends on its first bytes, and n log² n at most.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(tidy(_encode(ranks)), "doc_id long, ids binary")
+    return rows.mapInArrow(tidy(_encode(ranks), "ranks"), "doc_id long, ids binary")
 
 
 def decode_ids(encoded: DataFrame, ranks: str) -> DataFrame:
@@ -255,7 +255,7 @@ def decode_ids(encoded: DataFrame, ranks: str) -> DataFrame:
 
     Null ids count as none.  An id that the file doesn't have is an error.
     """
-    return encoded.select("doc_id", "ids").mapInArrow(tidy(_decode(ranks)), "doc_id long, ids binary, spelt binary")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(_decode(ranks), "ranks"), "doc_id long, ids binary, spelt binary")
 
 
 def round_trip(docs: DataFrame, ranks: str, **columns: str) -> DataFrame:

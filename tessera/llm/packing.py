@@ -172,7 +172,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long"
-    pieces = materialise(rows.mapInArrow(tidy(_cut(tokenizer, capacity, end_id)), schema), "pieces")
+    pieces = materialise(rows.mapInArrow(tidy(_cut(tokenizer, capacity, end_id), "pieces"), schema), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = materialise(counts.select("length", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift")), "shift")

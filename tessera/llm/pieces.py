@@ -22,6 +22,8 @@ from array import array
 import numpy as np
 import regex
 
+from tessera.llm.arrowkit import KEPT
+
 LIMIT = 1_200_000
 LIMIT_CHARS = 16 * LIMIT
 
@@ -152,7 +154,7 @@ class PieceTable:
         return self.ids
 
 
-_tables: dict[str, PieceTable] = {}
+_tables: dict[str, PieceTable] = KEPT.setdefault("pieces", {})
 
 
 def piece_table(path: str) -> PieceTable:

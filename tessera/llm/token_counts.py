@@ -52,4 +52,4 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     more bytes than the texts themselves.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(tidy(_count(tokenizer, limit)), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(tidy(_count(tokenizer, limit), "pieces"), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

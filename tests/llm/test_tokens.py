@@ -193,3 +193,15 @@ def test_chat_masks_and_marks(spark):
         assert [i for i in r.ids if i in chat.MARKS.values()] == [chat.TURN, chat.TEXT, chat.END]
     enc = chat.encoding(RANKS)
     assert chat.unescape(enc.decode(b.ids[b.loss_from - b.start : b.loss_to - b.start])) == "yes <|turn|>"
+
+
+def test_a_worker_drops_the_tables_of_other_operators():
+    from tessera.llm import arrowkit, byte_bpe
+
+    pieces.piece_table(WORDS)
+    byte_bpe.ranks_of(RANKS)
+    assert arrowkit.KEPT["pieces"] and arrowkit.KEPT["ranks"]
+    assert list(arrowkit.tidy(lambda batches: batches, "pieces")(iter([1, 2]))) == [1, 2]
+    assert arrowkit.KEPT["pieces"] and not arrowkit.KEPT["ranks"]
+    list(arrowkit.tidy(lambda batches: batches)(iter([])))
+    assert not arrowkit.KEPT["pieces"]
