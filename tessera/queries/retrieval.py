@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import hits, terms
 from tessera.operators import arrange, retrieval
-from tessera.session import table
+from tessera.session import scratch, table
+from tessera.sources import vectors
 
 QUERY = ["the", "that", "tion", "this"]
 _IN = ", ".join(f"'{t}'" for t in QUERY)
@@ -84,7 +85,14 @@ def page_of_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.orderBy(F.desc("n_chars"), "doc_id").offset(20).limit(10)
 
 
-QUERIES = {f.__name__: f for f in (precedent_search, hybrid_passages, lexical_only, dense_topk, closest_to_best, fallback_priority, arrange_by_group, home_group_first, page_of_results)}
+def probed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every twentieth one, by stored cells; recall is measured in the tests."""
+    stored, path = table(spark, sf_dir, "embeddings"), scratch(spark, "vectors")
+    vectors.build(stored, path, "vec_id", "embedding", 32)
+    return vectors.neighbours(stored.filter("vec_id % 20 = 0"), path, "vec_id", "embedding", 10, 20)
+
+
+QUERIES = {f.__name__: f for f in (precedent_search, probed_neighbours, hybrid_passages, lexical_only, dense_topk, closest_to_best, fallback_priority, arrange_by_group, home_group_first, page_of_results)}
 ORACLES = {
     "precedent_search": f"""
         with docs as (select * from documents where lang = 'en'), {_DENSE.format(k=60, semi="where vec_id in (select doc_id from docs)")}, {_SPARSE.format(k=60)}, {_FUSED},
