@@ -145,9 +145,22 @@ def ledger_spend_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.spend_fold(actions)
 
 
+def charged_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as searches that cost something; a user asks the same several times, and some were charged for before."""
+    e = table(spark, sf_dir, "events")
+    ref = F.expr("concat('u', user_id, '-', event_id % 40)")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    actions = e.select("user_id", seq.alias("seq"), (F.col("event_id") % 4).alias("cost"), ref.alias("reference"))
+    balances = e.filter("user_id % 5 > 0").select("user_id", F.lit(10).alias("free"), (F.col("user_id") % 7 * 3).alias("paid"), F.lit(True).alias("granted")).distinct()
+    spent = e.filter("event_id % 40 = 7").select(F.concat(ref, F.lit(":free")).alias("reference"))
+    found = ledger.charges(actions, balances, spent, 20)
+    return found.select("user_id", "seq", "allowed", "charged", "free_left", "paid_left", "already_spent", F.size("entries").alias("n_entries"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        charged_actions,
         claim_first,
         latest_state,
         upsert_customers,
@@ -175,6 +188,19 @@ _JOBS = """(select event_id as job_id, user_id as lock_key, case event_type when
 _ENTRIES = """(select event_id, user_id, ts, kind, case kind when 'SPEND' then -cents else cents end as delta from (
             select *, case event_type when 'purchase' then 'GRANT' when 'click' then 'SPEND' when 'view' then 'SPEND' when 'error' then 'REFUND' end as kind, round(value * 100)::bigint as cents from events) where kind is not null)"""
 ORACLES = {
+    "charged_actions": """
+        with recursive a as (select user_id, event_id % 4 as cost, 'u' || user_id || '-' || (event_id % 40) as ref, row_number() over (partition by user_id order by event_id) as n from events),
+        past as (select distinct 'u' || user_id || '-' || (event_id % 40) as ref from events where event_id % 40 = 7),
+        r as (
+          select user_id, 0::bigint as seq, case when user_id % 5 > 0 then 10 else 20 end::bigint as free_left, case when user_id % 5 > 0 then user_id % 7 * 3 else 0 end::bigint as paid_left, []::varchar[] as held, true as allowed, 0::bigint as charged, false as already_spent, 0 as n_entries
+          from (select distinct user_id from a)
+          union all
+          select user_id, n, free_left - own, paid_left - bought, case when own + bought > 0 then list_append(held, ref) else held end, seen or fits, own + bought, seen,
+            (own > 0)::int + (bought > 0)::int + (n = 1 and user_id % 5 = 0)::int
+          from (select *, case when not seen and fits then least(free_left, cost) else 0 end as own, case when not seen and fits then cost - least(free_left, cost) else 0 end as bought
+            from (select r.*, a.n, a.cost, a.ref, a.ref in (select ref from past) or list_contains(held, a.ref) as seen, r.free_left + r.paid_left >= a.cost as fits from r join a on a.user_id = r.user_id and a.n = r.seq + 1)))
+        select user_id, seq, allowed, charged, free_left, paid_left, already_spent, n_entries from r where seq > 0
+    """,
     "claim_first": "select user_id, event_type, event_id from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1",
     "latest_state": "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
     "upsert_customers": """

@@ -23,12 +23,12 @@ def extract_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def legal_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("t")
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_NUMBERED).alias("t"))
-    return rows.select("p_partkey", legal.section(t).alias("section"), legal.named_act(t).alias("act"), legal.cnr(t).alias("cnr"), F.array_join(F.array_sort(legal.citations(t)), "; ").alias("citations"), legal.canonical_citation(legal.citations(t)[0]).alias("key"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_NUMBERED).alias("t")).withColumn("cited", legal.citations(t))
+    return rows.select("p_partkey", legal.section(t).alias("section"), legal.named_act(t).alias("act"), legal.cnr(t).alias("cnr"), F.array_join(F.array_sort("cited"), "; ").alias("citations"), legal.canonical_citation(F.col("cited")[0]).alias("key"))
 
 
 def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.strip_html(F.col("html"))).alias("digest"), F.length(tx.strip_html(F.col("html"))).alias("chars"))
+    return table(spark, sf_dir, "pages").select("page_id", tx.strip_html(F.col("html")).alias("plain")).select("page_id", F.md5("plain").alias("digest"), F.length("plain").alias("chars"))
 
 
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:

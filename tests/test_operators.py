@@ -111,3 +111,26 @@ def test_rebuild_replaces_only_its_parents(spark, tmp_path):
     assert rows(spark.read.parquet(path), "parent", "v") == [(1, "a"), (2, "c")]
     files.write_json(spark.range(3), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 3
+
+
+def test_charges_take_free_credits_first_and_once_a_reference(spark):
+    actions = [(1, 1, 3, "a"), (1, 2, 3, "a"), (1, 3, 9, "b"), (1, 4, 4, "b"), (1, 5, 0, "c"), (1, 6, 1, None), (1, 7, 1, None), (2, 1, 2, "x"), (2, 2, 30, "y"), (3, 1, 1, "old"), (None, 1, 1, "z")]
+    df = spark.createDataFrame(actions, "user_id long, seq long, cost long, reference string").repartition(3)
+    balances = spark.createDataFrame([(1, 4, 5, True), (3, 0, 0, True)], "user_id long, free long, paid long, granted boolean")
+    spent = spark.createDataFrame([("old:paid",), ("x%:free",), (None,), ("grant:1",)], "reference string")
+    charged = ledger.charges(df, balances, spent, 20).cache()
+    got = {(r.user_id, r.seq): (r.allowed, r.charged, r.free_left, r.paid_left, r.already_spent) for r in charged.collect()}
+    assert got == {
+        (1, 1): (True, 3, 1, 5, False),
+        (1, 2): (True, 0, 1, 5, True),
+        (1, 3): (False, 0, 1, 5, False),
+        (1, 4): (True, 4, 0, 2, False),
+        (1, 5): (True, 0, 0, 2, False),
+        (1, 6): (True, 1, 0, 1, False),
+        (1, 7): (True, 1, 0, 0, False),
+        (2, 1): (True, 2, 18, 0, False),
+        (2, 2): (False, 0, 18, 0, False),
+        (3, 1): (True, 0, 0, 0, True),
+    }
+    made = sorted(tuple(r) for r in ledger.entries_of(charged).filter("user_id < 3 and seq < 5").collect())
+    assert made == sorted([(1, 1, "SPEND", "FREE", -3, 1, "a:free"), (1, 4, "SPEND", "FREE", -1, 0, "b:free"), (1, 4, "SPEND", "PAID", -3, 2, "b:paid"), (2, 1, "GRANT", "FREE", 20, 20, "grant:2"), (2, 1, "SPEND", "FREE", -2, 18, "x:free")])
