@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 SAMPLE = 64  # vectors a cell that the centroids are found on
 ROUNDS = 8
-CHUNK = 20_000  # stored vectors that queries meet in one task
+CHUNK = 20_000  # stored vectors that queries meet in one task, and queries
+BLOCK = 200  # queries that are placed or compared at a time
 
 
 def _unit(rows) -> np.ndarray:
@@ -50,9 +51,10 @@ def _placed(rows: DataFrame, key: str, vector: str, c: np.ndarray, n: int) -> Da
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             frame = frame[[np.linalg.norm(v) > 0 for v in frame["vector"]]]
-            if len(frame):
-                near = np.argsort(-(_unit(frame["vector"]) @ c.T), axis=1, kind="stable")[:, :n]
-                yield pd.DataFrame({"cell": near.ravel().astype(np.int32), "key": frame["key"].repeat(near.shape[1]).to_numpy(), "vector": frame["vector"].repeat(near.shape[1]).to_numpy()})
+            for a in range(0, len(frame), BLOCK):
+                some = frame.iloc[a : a + BLOCK]
+                near = np.argsort(-(_unit(some["vector"]) @ c.T), axis=1, kind="stable")[:, :n]
+                yield pd.DataFrame({"cell": near.ravel().astype(np.int32), "key": some["key"].repeat(near.shape[1]).to_numpy(), "vector": some["vector"].repeat(near.shape[1]).to_numpy()})
 
     known = rows.filter(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
     kind = known.schema["key"].dataType.simpleString()
@@ -79,12 +81,38 @@ def probed(spark: SparkSession, path: str, asked: list[float], probes: int) -> D
     return spark.read.parquet(f"{path}/cells").filter(F.col("cell").isin([int(i) for i in near]))
 
 
+def _least(distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of the ``k`` smallest of each row, the first columns of equal ones; those that are no number come last."""
+    d = np.where(np.isnan(distance), np.inf, distance)
+    if d.shape[1] <= k:
+        return np.nonzero(np.ones(d.shape, dtype=bool))
+    last = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    below, level = d < last, d == last
+    return np.nonzero(below | level & (np.cumsum(level, axis=1, dtype=np.int32) <= k - below.sum(axis=1, keepdims=True)))
+
+
+def _nearest(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Rows (query, key, distance) of the ``k`` nearest on the right of each query, found for a BLOCK of queries at a time."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"query": [], "key": [], "distance": []})
+    order = right.sort_values("key")
+    keys, stored, found = order["key"].to_numpy(), _unit(order["vector"]).T, []
+    for a in range(0, len(left), BLOCK):
+        some = left.iloc[a : a + BLOCK]
+        distance = np.round(1 - _unit(some["asked"]) @ stored, 9) + 0.0
+        row, column = _least(distance, k)
+        found.append(pd.DataFrame({"query": some["query"].to_numpy()[row], "key": keys[column], "distance": distance[row, column]}))
+    return pd.concat(found)
+
+
 def neighbours(queries: DataFrame, path: str, key: str, vector: str, k: int, probes: int) -> DataFrame:
     """Rows (query, key, distance, rank) of the ``k`` stored vectors nearest to each query, as far as its ``probes`` cells hold them.
 
     Queries are sent to their cells.  A cell of many vectors is met in chunks of
-    some CHUNK, so no task holds more of them, and each chunk sends on its ``k``
-    best.  Equal distances (to nine digits) go by key.
+    some CHUNK, by as many queries at most, so no task holds more of either, and
+    each chunk sends on its ``k`` best.  All queries meet all vectors of their
+    cells, which is work by the product of both.  Equal distances (to nine
+    digits) go by key.
     """
     spark = queries.sparkSession
     asked = _placed(queries, key, vector, _centroids(spark, path), probes).withColumnsRenamed({"key": "query", "vector": "asked"})
@@ -92,17 +120,15 @@ def neighbours(queries: DataFrame, path: str, key: str, vector: str, k: int, pro
     sizes = stored.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("long").alias("chunks"))
     chunked = stored.join(F.broadcast(sizes), "cell").withColumn("chunk", F.expr("pmod(xxhash64(key), chunks)"))  # a row a cell
     counts = sizes.select(F.col("cell").alias("at"), F.col("chunks").alias("many"))
-    sent = asked.join(F.broadcast(counts), F.col("cell") == F.col("at")).select("at", "query", "asked", F.explode(F.expr("sequence(0L, many - 1)")).alias("part"))
+    share = -(-max(queries.count(), 1) // CHUNK)  # a query is in a cell once, so no share of a cell has more than its share of all
+    dealt = F.pmod(F.xxhash64("query"), F.lit(share)).alias("share")
+    sent = asked.join(F.broadcast(counts), F.col("cell") == F.col("at")).select("at", "query", "asked", F.explode(F.expr("sequence(0L, many - 1)")).alias("part"), dealt)
+    chunked = chunked.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(share - 1).cast("long"))))
     kinds = [sent.schema["query"].dataType.simpleString(), chunked.schema["key"].dataType.simpleString()]
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "key": [], "distance": []})
-        order = right.sort_values("key")
-        distance = np.round(1 - _unit(left["asked"]) @ _unit(order["vector"]).T, 9) + 0.0
-        best = np.argsort(distance, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query": left["query"].repeat(best.shape[1]).to_numpy(), "key": order["key"].to_numpy()[best.ravel()], "distance": np.take_along_axis(distance, best, 1).ravel()})
-
-    met = sent.groupBy("at", "part").cogroup(chunked.groupBy("cell", "chunk")).applyInPandas(nearest, f"query {kinds[0]}, key {kinds[1]}, distance double")
+        return _nearest(left, right, k)
+
+    met = sent.groupBy("at", "part", "share").cogroup(chunked.groupBy("cell", "chunk", "share")).applyInPandas(nearest, f"query {kinds[0]}, key {kinds[1]}, distance double")
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "key")))
     return ranked.filter(F.col("rank") <= k)

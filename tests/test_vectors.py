@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +70,25 @@ def test_null_short_and_equal_vectors(spark, tmp_path):
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50)], "vec_id long, embedding array<double>")
     vectors.build(same, str(tmp_path / "b"), "vec_id", "embedding", 8)
     assert found(same.limit(1), str(tmp_path / "b"), 3, 2) == {0: [0, 1, 2]}
+
+
+def test_many_queries_are_compared_in_blocks():
+    rng = np.random.default_rng(3)
+    n = 3000
+    side = pd.DataFrame({"query": np.arange(n), "asked": list(rng.integers(-2, 3, (n, 3)).astype(float))})
+    right = pd.DataFrame({"key": np.arange(n)[::-1], "vector": list(rng.integers(-2, 3, (n, 3)).astype(float))})
+    tracemalloc.start()
+    got = vectors._nearest(side, right, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < n * n * 8 / 2, peak  # a table of all distances takes n * n * 8 bytes
+    rows = list(zip(right["key"], right["vector"], strict=True))
+    expected = brute(rows, list(zip(side["query"][:50], side["asked"][:50], strict=True)), 10)
+    found_ = {q: [int(i) for i in g.sort_values(["distance", "key"])["key"]] for q, g in got[got["query"] < 50].groupby("query")}
+    assert found_ == expected
+
+
+def test_least_puts_no_numbers_last():
+    d = np.array([[np.nan, 2.0, 1.0, 1.0], [np.nan, np.nan, np.nan, 0.5]])
+    row, column = vectors._least(d, 2)
+    assert list(zip(row.tolist(), column.tolist(), strict=True)) == [(0, 2), (0, 3), (1, 0), (1, 3)]
