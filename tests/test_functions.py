@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -99,3 +100,17 @@ def test_html_sections():
     html = "<h1>One</h1>a <b>b</b><script>no</script><h2>Two <i>x</i></h2>&amp; c"
     assert scanners.html_sections(html) == [(1, "One", "a b"), (2, "Two x", "& c")]
     assert scanners.html_sections(None) == []
+
+
+def test_texts_are_scanned_a_few_at_a_time(spark):
+    texts = [None, "", *(f"Paragraph {i} has words. " * 70 for i in range(300))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["k", "t"])
+    schema = pa.schema([("chunk_index", pa.int32()), ("content", pa.string()), ("para_number", pa.int32())])
+    made = list(scanners._scanned(iter([batch]), scanners.chunk, schema))
+    assert max(len(set(b.column("k").to_pylist())) for b in made) <= scanners.STEP
+    expected = [(k, *c) for k, t in enumerate(texts) for c in scanners.chunk(t)]
+    assert [tuple(r.values()) for b in made for r in b.to_pylist()] == expected
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").repartition(1)
+    cut = scanners.chunk_documents(df, "k", "t")
+    assert "MapInArrow" in cut._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r)[:4] for r in cut.collect()) == sorted(expected)
