@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import terms, words
+from tessera.session import dealt
 
 # Words that carry no topic.
 STOP = frozenset("a an and are as at be by can do does for from has how i in is it me my of on or section that the this to under was what when which who will with".split())
@@ -74,9 +75,11 @@ def covered_share(wanted: Column, c: Column) -> Column:
 def hashed_vectors(df: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
     """Rows (key, bucket, value) of unit vectors: each term adds its number, with a sign, to two buckets of its SHA-256.
 
-    Terms are counted per text before their digests are taken, and buckets that come to 0 have no row.
+    Texts are dealt by key once; terms, buckets and lengths are of one key and
+    stay where it is.  Terms are counted per text before their digests are
+    taken, and buckets that come to 0 have no row.
     """
-    counted = df.select(key, F.explode(terms(F.col(text))).alias("_w")).groupBy(key, "_w").agg(F.count("*").alias("_n"))
+    counted = dealt(df.select(key, text), key).select(key, F.explode(terms(F.col(text))).alias("_w")).groupBy(key, "_w").agg(F.count("*").alias("_n"))
     digest = F.sha2("_w", 256)
     number = lambda at: F.conv(F.substring(digest, at, 7), 16, 10).cast("long")
     entry = lambda at: F.struct((number(at) % dims).alias("bucket"), F.when(number(at + 7) % 2 == 0, F.col("_n")).otherwise(-F.col("_n")).alias("_v"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import search, spans
 from tessera.functions.text import terms
 from tessera.operators import changes, retrieval
+from tessera.plans import checks
+from tessera.session import dealt
 
 
 @pytest.mark.parametrize(
@@ -97,3 +99,18 @@ def test_a_query_without_terms_matches_nothing(spark):
     rows = spark.createDataFrame([("a b",), ("",), (None,)], "t string")
     for asked in ("", "!!", '""'):
         assert rows.filter(search.matches(terms(F.col("t")), search.web_query(asked))).count() == 0
+
+
+def test_vectors_of_texts_are_dealt_once(spark):
+    docs = spark.createDataFrame([(1, "one two two"), (1, "two"), (None, "three"), (2, None)], "k long, t string")
+    found = search.hashed_vectors(docs, "k", "t", 16)
+    assert checks.exchanges(found) == 1
+    rows = {(r.k, r.bucket): r.value for r in found.collect()}
+    whole = {(r.k, r.bucket): r.value for r in search.hashed_vectors(spark.createDataFrame([(1, "one two two two"), (None, "three")], "k long, t string"), "k", "t", 16).collect()}
+    assert rows == whole
+
+
+def test_dealt_rows_get_more_partitions_as_they_grow(spark):
+    few, many = (dealt(spark.range(n), "id", each=100) for n in (50, 5000))
+    assert few.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and many.rdd.getNumPartitions() == 50
+    assert many.agg({"id": "sum"}).first()[0] == sum(range(5000))
