@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import words
+from tessera.session import DEALT, dealt
 
 CANDIDATES = 12  # entries of a question that are looked at: the best by score
 MOST = 4
@@ -21,10 +22,13 @@ def coverage(questions: DataFrame, entries: DataFrame, question: str, asked: str
 
     ``questions`` has the question's id and ``asked``, an array of words.  hits
     are the words in title or body, title_hits those in the title, occurrences
-    how often the words stand in either.  Words meet by equality, so entries are
-    cut to the words that are asked for, and counted where they are, before they
-    are shuffled; pairs without a common word don't arise.
+    how often the words stand in either.  Words meet by equality; pairs without
+    a common word don't arise.  Entries are dealt by key once, into partitions
+    that hold the fewer the more questions there are; their words are cut to those
+    that are asked for, counted and met with the questions where they lie.
     """
+    each = max(1, DEALT * 100 // max(100, questions.count()))
+    entries = dealt(entries.select(*dict.fromkeys([key, title, body])), key, each=each)
     wanted = questions.select(question, F.explode(F.array_distinct(asked)).alias("_w"))
     counts = questions.select(question, F.size(F.array_distinct(asked)).alias("asked"))
     in_title = words(F.coalesce(F.col(title), F.lit("")))
@@ -36,6 +40,12 @@ def coverage(questions: DataFrame, entries: DataFrame, question: str, asked: str
     return met.agg(F.sum("_t").alias("title_hits"), F.count("*").alias("hits"), F.sum("_n").alias("occurrences")).join(counts, question)
 
 
+def candidates(scored: DataFrame, question: str, key: str) -> DataFrame:
+    """The CANDIDATES best entries of each question; equal scores go by key."""
+    place = F.row_number().over(Window.partitionBy(question).orderBy(F.desc("score"), F.asc(key)))
+    return scored.withColumn("_rn", place).filter(F.col("_rn") <= CANDIDATES).drop("_rn")
+
+
 def most_covered(scored: DataFrame, questions: DataFrame, question: str, asked: str, key: str, title: str) -> DataFrame:
     """Rows (question, key, score, place) of the entries that cover a question best, MOST at most.
 
@@ -47,8 +57,7 @@ def most_covered(scored: DataFrame, questions: DataFrame, question: str, asked:
     Equal scores go by key.  Null titles have no words.
     """
     best = F.struct((-F.col("score")).alias("minus"), F.col(key).alias("key"), F.coalesce(F.col(title), F.lit("")).alias("title"))
-    ranked = scored.withColumn("_rn", F.row_number().over(Window.partitionBy(question).orderBy(F.desc("score"), F.asc(key)))).filter(F.col("_rn") <= CANDIDATES)
-    rows = ranked.groupBy(question).agg(F.array_sort(F.collect_list(best)).alias("_rows")).join(questions.select(question, F.col(asked).alias("_asked")), question)
+    rows = candidates(scored, question, key).groupBy(question).agg(F.array_sort(F.collect_list(best)).alias("_rows")).join(questions.select(question, F.col(asked).alias("_asked")), question)
 
     def fill(taken: Column, word: Column) -> Column:
         top = -F.get("_rows", F.lit(0))["minus"]
@@ -70,14 +79,14 @@ def on_subject(questions: DataFrame, entries: DataFrame, question: str, asked: s
     :func:`most_covered` by twice the words in the title plus the words anywhere.
     Questions without words have no rows, and ids of both sides have to be unique.
     """
-    found = coverage(questions, entries, question, asked, key, title, body).join(entries.select(key, title), key)
+    found, titles = coverage(questions, entries, question, asked, key, title, body), entries.select(key, title)
     own = Window.partitionBy(question)
     every = found.filter("hits = asked").withColumn("score", F.col("occurrences")).withColumn("_best", F.max("score").over(own)).filter("score >= 0.3 * _best")
-    every = every.withColumn("place", F.row_number().over(own.orderBy(F.desc("score"), F.asc(key)))).filter(F.col("place") <= MOST)
+    every = every.withColumn("place", F.row_number().over(own.orderBy(F.desc("score"), F.asc(key)))).filter(F.col("place") <= MOST).join(titles, key)
     told = every.join(questions.select(question, F.col(asked).alias("_asked")), question)
     titled = told.groupBy(question).agg(F.bool_or((F.col("asked") < 2) | F.exists("_asked", lambda w: title_has(F.coalesce(F.col(title), F.lit("")), w))).alias("_titled"))
     scored = found.withColumn("score", 2 * F.col("title_hits") + F.col("hits"))
     several = scored.filter("asked >= 2").join(titled.filter("_titled"), question, "left_anti")
-    covered = most_covered(several, questions, question, asked, key, title).withColumn("way", F.lit("most words"))
+    covered = most_covered(candidates(several, question, key).join(titles, key), questions, question, asked, key, title).withColumn("way", F.lit("most words"))
     exact = every.join(covered.select(question).distinct(), question, "left_anti").select(question, key, "score", "place", F.lit("all words").alias("way"))
     return exact.unionByName(covered)

@@ -26,9 +26,9 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions, entries = _questions(spark, sf_dir), _entries(spark, sf_dir)
-    scored = subjects.coverage(questions, entries, "item_id", "asked", "doc_id", "title", "text").join(entries.select("doc_id", "title"), "doc_id")
-    scored = scored.withColumn("score", 2 * F.col("title_hits") + F.col("hits"))
-    return subjects.most_covered(scored, questions, "item_id", "asked", "doc_id", "title")
+    scored = subjects.coverage(questions, entries, "item_id", "asked", "doc_id", "title", "text").withColumn("score", 2 * F.col("title_hits") + F.col("hits"))
+    best = subjects.candidates(scored, "item_id", "doc_id").join(entries.select("doc_id", "title"), "doc_id")
+    return subjects.most_covered(best, questions, "item_id", "asked", "doc_id", "title")
 
 
 def questions_on_subject(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 
 from tessera.operators import subjects
+from tessera.plans import checks
+from tessera.queries import subjects as queries
 
 
 def has(title, word):
@@ -65,3 +67,13 @@ def test_an_uncovered_word_adds_the_entry_titled_with_it(spark):
     asked = spark.createDataFrame([(1, ["bail", "theft", "appeal", "of"]), (2, ["bail"])], "q int, asked array<string>")
     got = subjects.most_covered(scored, asked, "q", "asked", "key", "title").collect()
     assert sorted((r.q, r.place, r.key) for r in got) == [(1, 1, 1), (1, 2, 3), (1, 3, 2)]
+
+
+def test_entries_are_dealt_once_and_titles_come_last(spark, small):
+    entries = spark.createDataFrame([(1, "Theft", "theft of goods"), (1, None, "goods"), (2, "Bail", None)], "k long, title string, body string")
+    asked = spark.createDataFrame([("a", ["goods", "bail"]), ("b", ["theft", "nothing"])], "q string, asked array<string>")
+    met = subjects.coverage(asked, entries, "q", "asked", "k", "title", "body")
+    real = subjects.coverage(queries._questions(spark, small), queries._entries(spark, small), "item_id", "asked", "doc_id", "title", "text")
+    moved = [line for line in checks.plan(real).splitlines() if line.startswith("Arguments: hashpartitioning") and "doc_id#" in line]
+    assert len(moved) == 1 and "hashpartitioning(doc_id#" in moved[0]
+    assert sorted((r.q, r.k, r.title_hits, r.hits, r.occurrences, r.asked) for r in met.collect()) == [("a", 1, 0, 1, 2, 2), ("a", 2, 1, 1, 1, 2), ("b", 1, 1, 1, 2, 2)]
