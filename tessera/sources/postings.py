@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.search import Query
 from tessera.functions.text import terms, trigram_similarity, trigrams
+from tessera.session import dealt
 
 BUCKETS = 64
 
@@ -27,10 +28,16 @@ def _write(rows: DataFrame, path: str, buckets: int) -> None:
     placed.repartitionByRange(n, *by).sortWithinPartitions(*by).write.partitionBy("bucket").parquet(path)
 
 
+def term_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (term, key, positions) of the texts' terms.  Texts are dealt by key, so their terms meet where they are."""
+    texts = dealt(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key")
+    rows = texts.select("key", F.posexplode(terms(F.col("text"))).alias("at", "term"))
+    return rows.groupBy("term", "key").agg(F.array_sort(F.collect_list("at")).alias("positions"))  # of one text
+
+
 def build_terms(docs: DataFrame, path: str, key: str, text: str, buckets: int = BUCKETS) -> None:
     """Writes the postings (term, key, positions) of the texts' terms, and the keys of all documents.  Keys have to be unique."""
-    rows = docs.select(F.col(key).alias("key"), F.posexplode(terms(F.col(text))).alias("at", "term"))
-    _write(rows.groupBy("term", "key").agg(F.array_sort(F.collect_list("at")).alias("positions")), f"{path}/postings", buckets)  # of one text
+    _write(term_rows(docs, key, text), f"{path}/postings", buckets)
     docs.select(F.col(key).alias("key")).write.parquet(f"{path}/keys")
 
 

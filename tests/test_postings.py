@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import search
 from tessera.functions.text import terms, trigram_similarity
+from tessera.plans import checks
 from tessera.sources import postings
 
 
@@ -47,3 +48,12 @@ def test_similar_texts_equal_a_scan(spark, index, text, least):
     expected = {(r.doc_id, round(r.s, 9)) for r in scored.collect()}
     got = {(r.doc_id, round(r.similarity, 9)) for r in postings.similar(spark, f"{path}/grams", text, least, "doc_id").collect()}
     assert got == expected
+
+
+def test_terms_meet_where_their_text_is(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, "a"), (3, None), (4, "")], "k long, t string")
+    made = postings.term_rows(docs, "k", "t")
+    assert checks.exchanges(made) == 1
+    moved = [line for line in checks.plan(made).splitlines() if line.startswith("Arguments: hashpartitioning")]
+    assert len(moved) == 1 and "term" not in moved[0]
+    assert sorted((r.term, r.key, r.positions) for r in made.collect()) == [("a", 1, [1]), ("a", 2, [0]), ("b", 1, [0, 2])]
