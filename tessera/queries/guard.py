@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import legal, spans
 from tessera.operators import answers, differences
-from tessera.session import table
+from tessera.session import dealt, table
 
 #: Mail addresses, host names, network addresses and long numbers; a host name inside a mail address is no place of its own.
 PLACES = (r"[A-Za-z0-9._]+@[A-Za-z0-9.]+", r"[A-Za-z0-9]+\.[a-z]+\.(?:com|org|net)\b", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", r"\b\d{10,}\b")
 BROKEN = r"[a-z]+[,.]?\n[A-Za-z]+ [a-z]+"  # a name that a line break parts
 LOOKAHEAD = 24
+PAIRS = 1000  # versions of a partition, as comparing them is what takes time
 _ASKED = (
     "case p_size % 9 when 0 then concat('IPC ', p_size, ' ka BNS mein kya hua') when 1 then concat('CrPC section ', p_size, 'A maintenance - which section in BNSS?') "
     "when 2 then concat('BNSS ', p_size, ' in CrPC?') when 3 then concat('IPC ', p_size, ' vs BNS ', p_partkey) when 4 then concat('2023 mein ', p_size, ' IPC, BNS?') "
@@ -59,7 +60,8 @@ def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows (doc_id, first_id, ours, theirs): each text with that of the first document that begins with the same 24 characters."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.substring("text", 1, 24).alias("start"))
     first = docs.groupBy("start").agg(F.min(F.struct("doc_id", "text")).alias("first"))
-    return docs.join(first, "start").select("doc_id", F.col("first.doc_id").alias("first_id"), F.col("text").alias("ours"), F.col("first.text").alias("theirs"))
+    pairs = docs.join(first, "start").select("doc_id", F.col("first.doc_id").alias("first_id"), F.col("text").alias("ours"), F.col("first.text").alias("theirs"))
+    return dealt(pairs, "doc_id", each=PAIRS, rows=docs.count())  # a frequent beginning joins many in one task
 
 
 def version_differences(spark: SparkSession, sf_dir: str) -> DataFrame:

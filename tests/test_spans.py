@@ -193,3 +193,14 @@ def test_differences_replay_and_ratios_of_tables(spark):
     assert ratio[2] == ratio[5] == 1 and ratio[3] == ratio[4] == 0 and ratio[6] == pytest.approx(4 / 7) and 0.97 < ratio[1] < 1
     assert [tuple(r)[:6] for r in found.filter("id = 6").collect()] == [(6, "replace", 1, 2, 1, 2), (6, "delete", 3, 4, 3, 3)]
     assert found.filter("id in (2, 5)").count() == 0 and differences.differences(df.limit(0), "id", "a", "b").count() == 0
+
+
+def test_versions_of_one_beginning_are_dealt_evenly(spark, tmp_path):
+    from tessera.queries import guard
+
+    rows = [(i, f"The very same beginning of all texts {i % 7} and {i}") for i in range(4000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    pairs = guard._versions(spark, str(tmp_path))
+    sizes = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 1500, sizes  # one key; a task had all of them
+    assert guard.version_differences(spark, str(tmp_path)).count() > 0
