@@ -122,7 +122,7 @@ def _cut(path: str, capacity: int, end_id: int):
             _, off = text_buffer(batch.column("text"))
             texts = pc.fill_null(batch.column("text"), "")
             ids = batch.column("doc_id").to_pylist()
-            for a, b in chunks(off, 1 << 22):
+            for a, b in chunks(off, 1 << 20):
                 split = [table.pretokens(t) for t in texts.slice(a, b - a).to_pylist()]
                 known = table.add_ids(set().union(*split))
                 rows = []

@@ -3,8 +3,8 @@
 A tokenizer cuts a text at special strings, normalises what lies between, cuts
 it into pre-tokens and each of them into pieces, whatever stands around it.  So
 pieces are found once per distinct pre-token and kept; the table of a worker
-holds at most ``LIMIT`` entries of ``LIMIT_CHARS`` characters in all and starts
-anew beyond that.
+holds at most ``LIMIT`` entries of ``LIMIT_CHARS`` characters in all, or those
+of the words at hand; beyond that it keeps what these need and drops the rest.
 
 Any file is cut by its own normaliser and pre-tokenizer.  For the two pre-token
 rules known here, texts of characters on which regular-expression engines and
@@ -24,7 +24,7 @@ import regex
 
 from tessera.llm.arrowkit import KEPT
 
-LIMIT = 1_200_000
+LIMIT = 800_000
 LIMIT_CHARS = 16 * LIMIT
 
 # The pre-token pattern that the byte-level file states, and the
@@ -105,11 +105,15 @@ class PieceTable:
         parts = [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)] if tokenizer.pre_tokenizer else [text] if text else []
         return [p.encode() for p in parts]
 
-    def _full(self, held: int, new: list) -> bool:
-        more = sum(len(w) for w in new if not isinstance(w, int))
-        full = held + len(new) > LIMIT or self.chars + more > LIMIT_CHARS
-        self.chars = more if full else self.chars + more
-        return full and held > 0
+    def _kept(self, table: dict, words: set, new: list) -> dict:
+        """The table that ``new`` ones of ``words`` enter: if it would be too large, what it knows of ``words`` alone."""
+        chars = lambda ws: sum(len(w) for w in ws if not isinstance(w, int))
+        more = chars(new)
+        if len(table) + len(new) > LIMIT or self.chars + more > LIMIT_CHARS:
+            table = {w: table[w] for w in words if w in table}
+            self.chars = chars(table)
+        self.chars += more
+        return table
 
     def _others(self, words: list) -> list[tuple[bytes | int, list[int]]]:
         """Ids of those of ``words`` that aren't strings of a text."""
@@ -118,8 +122,7 @@ class PieceTable:
     def add_counts(self, words: set) -> dict[str | bytes | int, int]:
         """Number of pieces of at least ``words``, each counted once."""
         new = [w for w in words if w not in self.counts]
-        if self._full(len(self.counts), new):
-            self.counts, new = {}, list(words)
+        self.counts = self._kept(self.counts, words, new)
         self.counts.update((w, len(ids)) for w, ids in self._others(new))
         plain = [w for w in new if isinstance(w, str)]
         for a in range(0, len(plain), 20_000):
@@ -134,8 +137,7 @@ class PieceTable:
         them, at whose id the ids are cut; no word holds one.
         """
         new = [w for w in words if w not in self.ids]
-        if self._full(len(self.ids), new):
-            self.ids, new = {}, list(words)
+        self.ids = self._kept(self.ids, words, new)
         self.ids.update((w, id_bytes(ids)) for w, ids in self._others(new))
         plain = [w for w in new if isinstance(w, str)]
         if not plain:
