@@ -41,7 +41,7 @@ from tessera.llm.wordhash import chunks, text_buffer
 
 LEAF = 8  # bytes merged by rank at once; longer strings are cut into halves
 SHORT = 64  # pre-tokens up to this many characters are kept in the table
-LIMIT = 1_000_000
+LIMIT = 1_000_000  # entries of each of the two tables of a worker
 SEGMENT = 1 << 20
 BATCH_BYTES = 1 << 22
 
@@ -63,16 +63,22 @@ class Ranks:
         self.stand_ins = _StandIns()
         self.kept: dict[str, bytes] = {}
         self.merged: dict[bytes, list[int]] = {}
+        self.merged_before: dict[bytes, list[int]] = {}
 
     def known(self, data: bytes) -> list[int]:
-        """``merge`` with a table: the same short halves and windows come up in many pre-tokens."""
+        """``merge`` with a table: the same short halves and windows come up in many pre-tokens.
+
+        The table has two halves: when the one that is filled is full, it takes
+        the other's place, and what is asked for again comes back from there.
+        """
         if len(data) > 2 * LEAF:
             return self.merge(data)
-        if data not in self.merged:
-            if len(self.merged) >= LIMIT:
-                self.merged.clear()
-            self.merged[data] = self.merge(data)
-        return self.merged[data]
+        ids = self.merged.get(data)
+        if ids is None:
+            if len(self.merged) >= LIMIT // 2:
+                self.merged, self.merged_before = {}, self.merged
+            ids = self.merged[data] = self.merged_before.get(data) or self.merge(data)
+        return ids
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of ``data`` by merging the pair of least rank, the leftmost of equals, while there is one."""
@@ -234,6 +240,14 @@ def _decode(path: str):
     return run
 
 
+def _both(path: str):
+    return lambda batches: _decode(path)(_encode(path)(batches))
+
+
+def _texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def encode_texts(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, ids (binary: little-endian unsigned 32-bit ids, one after the other).
 
@@ -246,8 +260,7 @@ def encode_texts(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col:
     characters by one task; a pre-token of n bytes takes some n log n steps
     unless all of it depends on its first bytes, and n log² n at most.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(tidy(_encode(ranks), "ranks"), "doc_id long, ids binary")
+    return _texts(docs, id_col, text_col).mapInArrow(tidy(_encode(ranks), "ranks"), "doc_id long, ids binary")
 
 
 def decode_ids(encoded: DataFrame, ranks: str) -> DataFrame:
@@ -259,7 +272,12 @@ def decode_ids(encoded: DataFrame, ranks: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks: str, **columns: str) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, and SHA-256 of the packed ids and of the bytes they decode to (lowercase hex)."""
-    spelt = decode_ids(encode_texts(docs, ranks, **columns), ranks)
+    """One row per input row: doc_id, n_tokens, and SHA-256 of the packed ids and of the bytes they decode to (lowercase hex).
+
+    The rows of :func:`decode_ids` of :func:`encode_texts`, but a task does both
+    in one worker.  Two operators in a row have two workers a task, which change
+    places from task to task, so that in the end each holds the tables of the encoder.
+    """
+    spelt = _texts(docs, **columns).mapInArrow(tidy(_both(ranks), "ranks"), "doc_id long, ids binary, spelt binary")
     n_tokens = F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens")
     return spelt.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("spelt", 256).alias("decoded_sha256"))

@@ -116,6 +116,25 @@ def test_segments_and_a_full_table(spark, monkeypatch):
         assert len(ranks.kept) < 1000
 
 
+def test_a_round_trip_takes_one_worker_a_task(documents):
+    """Workers change places from task to task: with two in a row both would hold the encoder's tables."""
+    assert byte_bpe.round_trip(documents, PATH)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    apart = byte_bpe.decode_ids(byte_bpe.encode_texts(documents, PATH), PATH)
+    told = apart.selectExpr("doc_id", "cast(octet_length(ids) div 4 as long)", "sha2(ids, 256)", "sha2(spelt, 256)")
+    assert got(documents) == sorted((tuple(r) for r in told.collect()), key=repr)
+
+
+def test_the_table_of_merges_is_bounded_and_keeps_what_is_in_use(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "LIMIT", 40)
+    ranks, asked, merge = byte_bpe.Ranks(PATH), [], byte_bpe.Ranks.merge
+    monkeypatch.setattr(byte_bpe.Ranks, "merge", lambda self, data: asked.append(data) or merge(self, data))
+    for i in range(200):
+        for data in (b"often", b"n%d" % i):
+            assert ranks.known(data) == merge(ranks, data)
+        assert len(ranks.merged) + len(ranks.merged_before) <= 40
+    assert asked.count(b"often") == 1
+
+
 def test_files_without_all_bytes_and_unknown_ids_are_refused(tmp_path):
     (tmp_path / "few").write_bytes(base64.b64encode(b"a") + b" 0\n")
     with pytest.raises(ValueError, match="every byte"):
