@@ -78,6 +78,9 @@ class PieceTable:
         if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
             raise ValueError(f"{path}: added tokens that depend on what stands around them")
         self.rule = next((n for n, r in (("byte", BYTE_RULE), ("word", WORD_RULE)) if r == (spec["normalizer"], spec["pre_tokenizer"])), None)
+        self.bare = self.tokenizer
+        if self.rule and spec["normalizer"]:  # strings that a known rule cuts are normal as they are
+            self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))
         self.find = regex.compile(BYTE_PATTERN).findall
         self.special_ids = {t.content: i for i, t in added.items()}
         listed = sorted(self.special_ids, key=len, reverse=True)
@@ -127,14 +130,15 @@ class PieceTable:
         plain = [w for w in new if isinstance(w, str)]
         for a in range(0, len(plain), 20_000):
             part = plain[a : a + 20_000]
-            self.counts.update(zip(part, (len(e.ids) for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
+            self.counts.update(zip(part, (len(e.ids) for e in self.bare.encode_batch_fast(part, add_special_tokens=False)), strict=True))
         return self.counts
 
     def add_ids(self, words: set) -> dict[str | bytes | int, bytes]:
         """Little-endian uint32 ids of at least ``words``.
 
         Plain words are encoded many at a time with a special string between
-        them, at whose id the ids are cut; no word holds one.
+        them, at whose id the ids are cut; no word holds one.  Ids alone are
+        asked for, not the places they stand at.
         """
         new = [w for w in words if w not in self.ids]
         self.ids = self._kept(self.ids, words, new)
@@ -143,13 +147,13 @@ class PieceTable:
         if not plain:
             return self.ids
         if not self.special_ids:
-            encoded = self.tokenizer.encode_batch(plain, add_special_tokens=False)
+            encoded = self.bare.encode_batch_fast(plain, add_special_tokens=False)
             self.ids.update((w, id_bytes(e.ids)) for w, e in zip(plain, encoded, strict=True))
             return self.ids
         mark, mark_id = next(iter(self.special_ids.items()))
         for a in range(0, len(plain), 500):
             part = plain[a : a + 500]
-            ids = np.array(self.tokenizer.encode(mark.join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.bare.encode_batch_fast([mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = (4 * np.flatnonzero(ids == mark_id)).tolist()
             raw = ids.tobytes()
             self.ids.update((w, raw[i:j]) for w, i, j in zip(part, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True))

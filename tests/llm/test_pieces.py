@@ -30,6 +30,20 @@ def test_a_full_table_keeps_the_words_at_hand(monkeypatch):
     assert encoded == [20] + [10] * 19
 
 
+def test_plain_words_are_encoded_without_the_normaliser():
+    """It changes none of them: not one settled character, and no two of them where they meet."""
+    table = pieces.PieceTable(tokenizer_path(WORD_BPE))
+    assert table.bare.normalizer is None and table.tokenizer.normalizer is not None
+    settled = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000 and pieces._PLAIN.fullmatch(chr(i))]
+    words = [w for i in range(len(settled)) for w in table.pretokens(settled[i] + settled[i * 7919 % len(settled)])]
+    assert len(words) > 30_000 and all(isinstance(w, str) for w in words)
+    assert [w for w in words if table.tokenizer.normalizer.normalize_str(w) != w] == []
+    known, counts = table.add_ids(set(words)), table.add_counts(set(words))
+    for w in words[::37]:
+        ids = table.tokenizer.encode(w, add_special_tokens=False).ids
+        assert (known[w], counts[w]) == (pieces.id_bytes(ids), len(ids))
+
+
 def test_packing_cuts_a_megabyte_at_a_time(monkeypatch):
     monkeypatch.setattr(packing, "TaskContext", Context)
     batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(["some words of text " * 500] * 400)], ["doc_id", "text"])
