@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import legal
 from tessera.functions.spans import strike_places, with_brackets
 from tessera.functions.text import base_section, hits, single_blanks, terms, words
+from tessera.session import dealt
 
 NOTE = "\n\n_References that could not be verified were removed._"
 
@@ -28,12 +29,14 @@ def report(answers: DataFrame, known: DataFrame, shown: DataFrame, key: str, tex
     single; a null text, or one without references, has empty ones.  Rows with
     one key and other texts, and rows with a null key, are reports of their own.
     References alone are joined; the lists of one text are as long as its
-    references.
+    references.  Texts are dealt into partitions of some thousands before they
+    are searched, as a file of many short ones would be one task.
     """
     of = lambda df, name: df.select(same(F.col("ref")).alias("_k")).distinct().withColumn(name, F.lit(True))
     by = [F.col(key).alias("_key"), F.xxhash64(text, *([asked] if asked else [])).alias("_text")]
     own = [F.col(asked).alias("_asked")] if asked else [F.lit(None).cast("string").alias("_asked")]
-    refs = answers.filter(F.col(text).isNotNull()).select(*by, *own, F.col(text).alias("_t"), F.explode(places(F.col(text))).alias("_p"))
+    read = dealt(answers.filter(F.col(text).isNotNull()).select(*by, *own, F.col(text).alias("_t")), "_key", "_text")
+    refs = read.select("_key", "_text", "_asked", "_t", F.explode(places(F.col("_t"))).alias("_p"))
     refs = refs.select("_key", "_text", "_asked", with_brackets(F.col("_t"), F.col("_p")).alias("_at"), single_blanks(F.col("_p")["ref"]).alias("_ref"), F.col("_p")["key"].alias("_k"))
     placed = refs.join(of(known, "_known"), "_k", "left").join(of(shown, "_shown"), "_k", "left").filter("_known or not _k <=> _asked")
     missing, unseen = F.col("_known").isNull(), F.col("_known").isNotNull() & F.col("_shown").isNull()

@@ -35,3 +35,13 @@ def test_named_case_keeps_rows_without_a_day_apart(spark):
     rows = spark.createDataFrame([("q", 1, 0.9, "X", None), ("q", 2, 0.8, "X", None), ("q", 3, 0.7, "X", 5), ("q", 4, 0.6, "X", 5), ("r", 5, 0.1, "X", 1)], "asked string, id int, score double, court string, day int")
     got = answers.named_case(rows, "asked", "score", F.col("court") == "S", "court", "day", "id").collect()
     assert sorted((r.position, r.id) for r in got) == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_texts_of_one_file_are_dealt_before_they_are_searched(spark):
+    """A file of many short texts is one partition, and would be searched by one task."""
+    texts = spark.range(50).selectExpr("id", "concat('See (2014) 2 SCC ', id) as said").coalesce(1)
+    listed = spark.createDataFrame([("2014 (2) SCC 7",)], "ref string")
+    found = answers.report(texts, listed, listed, "id", "said", legal.reference_places, legal.reference_key)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan[plan.index("Generate explode") :]
+    assert [r.id for r in found.filter("not triggered").collect()] == [7]
