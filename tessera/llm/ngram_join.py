@@ -4,7 +4,7 @@ Passes over the texts, all linear in their words:
 
 1. shingle sets -> one row a document (size, set hash, parity sketch) and a
    fixed-size count sketch of all shingles;
-2. PartEnum signatures, shuffled as packed arrays by signature range; a range
+2. PartEnum signatures, shuffled as packed arrays of 32 bits by signature range; a range
    keeps the signatures that two different sets share (``buckets``);
 3. inside a bucket, pairs whose parity sketches differ in more bits than linked
    sets can differ in elements are dropped, which loses no link.  Buckets with
@@ -132,6 +132,12 @@ def _count_sketch(profile: DataFrame) -> np.ndarray:
 
 
 def _signature_rows(sketch, ranges: int):
+    """Signatures by range, of which 32 bits travel: other bits than those that tell the range.
+
+    As a range holds a bounded number of them, few unlike ones come to be alike,
+    and these make buckets larger; a bucket that is too large loses no pair.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, first = sketch.value, partenum.bands(1 << 40)
         sigs: list[np.ndarray] = []
@@ -151,7 +157,7 @@ def _signature_rows(sketch, ranges: int):
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(used.astype(np.int32)),
-                    list_array(all_sigs.view(np.int64), np.append(start, len(owner)), pa.int64()),
+                    list_array(all_sigs.astype(np.uint32).view(np.int32), np.append(start, len(owner)), pa.int32()),
                     list_array(np.array(nodes, np.int64)[owner[run_start]], run_bounds, pa.int64()),
                     list_array(run_len, run_bounds, pa.int32()),
                 ],
@@ -368,7 +374,7 @@ def _classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Ranges hold a bounded part of the signatures, however many the shuffle partitions.
     ranges = max(parts(spark), int((own.agg(F.sum("n_shingles")).first()[0] or 0) // RANGE_SHINGLES) + 1)
     sketch = spark.sparkContext.broadcast(_count_sketch(profile))
-    packed = texts.mapInArrow(tidy(_signature_rows(sketch, ranges)), "part int, sigs array<long>, nodes array<long>, runs array<int>")
+    packed = texts.mapInArrow(tidy(_signature_rows(sketch, ranges)), "part int, sigs array<int>, nodes array<long>, runs array<int>")
     buckets = packed.groupBy("part").applyInArrow(_shared, "bucket long, node long").dropDuplicates(["bucket", "node"])
     buckets = materialise(buckets, "buckets")
     needed = buckets.select("node").distinct().join(reps, "node")

@@ -6,6 +6,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from conftest import sentence, table_of
 from hypothesis import given, settings
@@ -95,6 +96,18 @@ def test_one_of_each_keeps_columns_and_smallest_ids(odd, odd_rows):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([*expected, *wordless])
 
 
+def test_half_of_a_signature_travels_and_loses_no_shared_one():
+    texts = [" ".join(f"w{i}" for i in range(a, a + 60)) for a in (0, 3, 500)]
+    sketch = type("Sketch", (), {"value": np.zeros(ngram_join.SKETCH_CELLS, np.uint32)})
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    rows = pa.Table.from_batches(ngram_join._signature_rows(sketch, 3)(iter([batch])))
+    assert rows.schema.field("sigs").type.value_type == pa.int32()
+    found = [ngram_join._shared(rows.filter(pc.equal(rows["part"], p))).column("node").to_pylist() for p in range(3)]
+    (_, _, values, bounds), = ngram_join._sets(pa.array(texts))
+    near = set(ngram_join._set_hashes(values, bounds)[:2].tolist())
+    assert {n for nodes in found for n in nodes} == near
+
+
 def test_a_hub_meets_its_partners_in_chunks(spark):
     """One set with many near copies that are no near copies of each other: each link is found."""
     rng = random.Random(21)
