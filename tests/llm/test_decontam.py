@@ -8,6 +8,7 @@ from conftest import sentence, table_of
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam
+from tessera.llm.shared import materialise
 
 ITEMS = "item_id long, text string, ys int, m string"
 
@@ -144,6 +145,21 @@ def test_blocks_find_all_within_the_radius_and_few_others(spark):
     assert met.select("w", "item").distinct().count() < 0.1 * len(windows) * len(items)
 
 
+def test_listed_items_do_not_pass_the_driver(spark):
+    """200 stored items are a small file, but over a million rows of block values: more than may be broadcast here."""
+    windows, items = fingerprints(random.Random(3), 200, 36)
+    near = {(w, i) for w, a in windows for i, b in items if (a ^ b).bit_count() <= decontam.RADIUS}
+    rows = [(w, 50, as_struct(f)) for w, f in windows] + [(w + 1000, 50, as_struct(f)) for w, f in windows]  # each fingerprint twice
+    left = spark.createDataFrame(rows, "w long, m int, fp struct<lo: long, hi: long>")
+    right = materialise(spark.createDataFrame([(n, 50, as_struct(f)) for n, f in items], "item long, m int, ifp struct<lo: long, hi: long>"), "items")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "100m")
+    try:
+        got = sorted((r.w, r.item) for r in decontam.near_texts(left, right).collect())
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert got == sorted(near | {(w + 1000, i) for w, i in near})
+
+
 def test_recall_of_fingerprints_over_all_windows_of_edited_passages():
     """Of all windows whose similarity is just enough, at least 0.95 lie within the radius; of those above 0.8, 0.995; of unlike ones none."""
     rng = random.Random(5)
